@@ -5,6 +5,11 @@ listed under every choice of m - d blocks, rows that share a listing are compare
 distance, and links give components. m is the smallest number for which a listing has at least as
 many bits as the number of fingerprints needs, so listings stay short as the table grows.
 
+Fingerprints may have several words of 64 bits. Near copies by the usual measure (four fifths of the shingles in
+common) differ in about a seventh of the bits, which no choice of blocks of 64 bits can list; with four words each
+fingerprint is listed under single blocks. Pairs that differ in fewer bits than there are blocks are then found
+for certain, others with the chance that some block agrees.
+
 A listing that many fingerprints share (near copies agree in most blocks) is dealt to tasks by pairs of
 chunks of its members. A task returns, instead of all links among its members, a spanning forest of
 them, which has the same components.
@@ -31,61 +36,77 @@ CHUNK = 512
 PIECE_SHINGLES = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """SimHash over shingles of words, A-Z in lower case; repeats count, a shorter text is one shingle, no words give 0."""
+def fingerprint(text: str | None, shingle: int = 3, words_out: int = 1) -> np.ndarray:
+    """SimHash (``words_out`` numbers of 64 bits) over shingles of words, A-Z in lower case; repeats count, a shorter text is one shingle, no words give 0."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(words_out, np.uint64)
     line = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     starts = ends - size
     n = max(1, len(words) - shingle + 1)
     lows, highs = starts[:n].tolist(), (ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]).tolist()
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros(64 * words_out, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, PIECE_SHINGLES):
         part = np.array([digest(line[a:b], SEED) for a, b in zip(lows[at : at + PIECE_SHINGLES], highs[at : at + PIECE_SHINGLES], strict=True)], "<u8")
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        for i in range(0, len(part), 4096):  # sums of short runs in small numbers are quick
+        if words_out > 1:
+            part = np.stack([part, *(_remix(part, k) for k in range(1, words_out))], axis=1)
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8 * words_out), axis=1, bitorder="little")
+        for i in range(0, len(bits), 4096):  # sums of short runs in small numbers are quick
             ones += bits[i : i + 4096].sum(0, dtype=np.uint16)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8")
+
+
+def _remix(h: np.ndarray, k: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93 + 2 * k)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
 
 
-def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """The columns ``keep`` and ``fp`` (the 64 bits as a signed long) of each row."""
+def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
+    """The columns ``keep`` and ``fp`` (``words`` signed longs) of each row."""
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(x, shingle) for x in batch.column(batch.num_columns - 1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp.view(np.int64))], [*keep, "fp"])
+            fp = [fingerprint(x, shingle, words).view(np.int64) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp, pa.list_(pa.int64()))], [*keep, "fp"])
 
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("fp", T.LongType())])
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("fp", T.ArrayType(T.LongType()))])
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
-def block_choices(n: int, distance: int = DISTANCE) -> list[int]:
-    """Masks over 64 bits, one for each choice of blocks that must agree, fine enough for n fingerprints."""
+def block_choices(n: int, distance: int = DISTANCE, words: int = 1) -> list[tuple[int, int]]:
+    """(word, mask) of the listings: one for each choice of blocks that must agree, fine enough for n fingerprints; single blocks for more words than one."""
     need = max(1, n).bit_length()
+    if words > 1:
+        size = next(b for b in (16, 21, 32) if b >= need or b == 32)
+        return [(w, ((1 << size) - 1) << at) for w in range(words) for at in range(0, 64 - size + 1, size)]
     for m in range(distance + 1, 17):
         edges = [64 * i // m for i in range(m + 1)]
         block = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
         masks = [sum(c) for c in itertools.combinations(block, m - distance)]
         if min(x.bit_count() for x in masks) >= need:
             break
-    return masks
+    return [(0, x) for x in masks]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+
+
 def _forest(fps: np.ndarray, reps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among the members of one listing."""
     label = np.arange(len(fps))
     out = []
     for i in range(len(fps) - 1):
-        near = np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= distance) + i + 1
+        near = np.flatnonzero(_differ(fps[i + 1 :], fps[i]) <= distance) + i + 1
         others, first = np.unique(label[near], return_index=True)
         for other, j in zip(others.tolist(), near[first].tolist(), strict=True):
             if other != label[i]:
@@ -105,7 +126,7 @@ def _pairs_of(batches, distance: int):
         run = np.repeat(edge + size, size)
         for step in range(1, int(size[size <= 16].max(initial=1))):  # short listings: neighbours at each distance, all at once
             i = np.flatnonzero((np.arange(len(key)) + step < run) & (np.repeat(size, size) <= 16))
-            i = i[np.bitwise_count(fps[i] ^ fps[i + step]) <= distance]
+            i = i[_differ(fps[i], fps[i + step]) <= distance]
             a.append(reps[i])
             b.append(reps[i + step])
         for at, n in zip(edge[size > 16].tolist(), size[size > 16].tolist(), strict=True):
@@ -116,21 +137,24 @@ def _pairs_of(batches, distance: int):
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     for batch in batches:
-        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        if not batch.num_rows:
+            continue
+        fps = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).view(np.uint64)
+        now = [batch.column(0).to_numpy(zero_copy_only=False), fps, batch.column(2).to_numpy(zero_copy_only=False)]
         held = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
         if len(held[0]) and held[0][0] != held[0][-1]:
             cut = int(np.searchsorted(held[0], held[0][-1]))
-            yield links(held[0][:cut], held[1][:cut].view(np.uint64), held[2][:cut])
+            yield links(held[0][:cut], held[1][:cut], held[2][:cut])
             held = [x[cut:] for x in held]
     if held and len(held[0]):
-        yield links(held[0], held[1].view(np.uint64), held[2])
+        yield links(*held)
 
 
-def near_links(reps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def near_links(reps: DataFrame, distance: int = DISTANCE, words: int = 1) -> DataFrame:
     """(fp, rep), both unique, to links (a, b) between reps whose components are those of all pairs within the distance."""
-    masks = block_choices(reps.count(), distance)
-    listed = reps.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(masks)])).alias("c"))
-    listed = listed.select(F.xxhash64(F.col("c.k"), F.col("fp").bitwiseAND(F.col("c.mask"))).alias("key"), "fp", "rep")
+    choices = block_choices(reps.count(), distance, words)
+    keys = [F.xxhash64(F.lit(i), F.element_at("fp", w + 1).bitwiseAND(F.lit(_signed(m)))) for i, (w, m) in enumerate(choices)]
+    listed = reps.select("fp", "rep", F.explode(F.array(*keys)).alias("key"))
     sizes = listed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     listed = listed.join(sizes, "key")
     parts = F.ceil(F.col("n") / CHUNK).cast("int")
@@ -145,22 +169,23 @@ def near_links(reps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return dealt.mapInArrow(lambda batches: _pairs_of(batches, distance), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = DISTANCE) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = DISTANCE, words: int = 1) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of (doc_id, text).
 
-    The fingerprint is 16 lowercase hex digits; component_id is the smallest doc_id that links lead to, the own one included. A null
+    The fingerprint is 16 lowercase hex digits a word; component_id is the smallest doc_id that links lead to, the own one included. A null
     text has no words; texts without words have fingerprint zero and are linked like others. Repeated rows
     each give one. Rows with a null doc_id link as others do but lend no name; a component of such rows only has a null component_id.
     """
-    prints, _ = common.store(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], "text", shingle), "prints")
+    prints, _ = common.store(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], "text", shingle, words), "prints")
     lowest = prints.groupBy("fp").agg(F.min("doc_id").alias("name"))
-    # fingerprints are linked by their own numbers, so that rows without an id can link too
-    reps, _ = common.store(lowest.select("fp", "name", F.col("fp").alias("rep")), "reps")
-    found = components(near_links(reps.select("fp", "rep"), distance))
+    # fingerprints are linked by numbers of their own, so that rows without an id can link too
+    rep = F.element_at("fp", 1) if words == 1 else F.xxhash64("fp")
+    reps, _ = common.store(lowest.select("fp", "name", rep.alias("rep")), "reps")
+    found = components(near_links(reps.select("fp", "rep"), distance, words))
     joined = reps.join(found, reps["rep"] == found["node"], "left").select("fp", "name", F.coalesce("component", "rep").alias("root"))
     least = joined.groupBy("root").agg(F.min("name").alias("component_id"))
     of_print = joined.join(least, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(of_print, "fp").select("doc_id", F.array_join(F.transform("fp", lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "").alias("fingerprint"), "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
