@@ -8,19 +8,23 @@ a text are the ids of its units in a row:
   reaches over such a place, and the look-ahead for white space never leaves its unit;
 * word vocabulary, which drops white space: at spaces and line feeds.
 
-Units are encoded by ``encode_batch`` and remembered up to ``REMEMBER`` of them in a worker.
+Units are encoded by ``encode_batch_fast``, words of plain letters many at a time. A worker remembers up to ``REMEMBER`` of them; beyond that it forgets those
+that it has met once. A full stop or comma after a letter is a token of its own, so a unit that ends with one
+takes the ids of the word before it.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
 import numpy as np
 
-REMEMBER = 300_000
+REMEMBER = 400_000
+#: Words encoded as one text.
+JOINED = 64
 
-_SPACES = re.compile(r"\s\s|[\x00\x1c-\x1f]|^\s|\s$")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
@@ -34,61 +38,119 @@ class UnitTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
+        #: Tokens at which a word of letters ends (or, with spaces, starts), so that many words can be encoded in one go.
+        self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.edge[i] = token.endswith("</w>") if drops_space else token.startswith("\u0120")
         self._forget()
 
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 12, np.int64)
         self.size = np.zeros(1 << 12, np.int64)
+        self.met = np.zeros(1 << 12, np.int64)
+        self.unsure = np.zeros(1 << 12, bool)
+
+    def _make_room(self) -> None:
+        """Forget the units met once since the last time."""
+        known = len(self.index)
+        keep = np.flatnonzero(self.met[:known] > 1)
+        if len(keep) > REMEMBER // 2:
+            keep = np.sort(keep[np.argsort(self.met[keep], kind="stable")[-(REMEMBER // 2) :]])
+        units = list(self.index)
+        sizes = self.size[keep]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.arange(total) + np.repeat(self.start[keep] - (ends - sizes), sizes)]
+        met, unsure = self.met[keep] // 2, self.unsure[keep]
+        self._forget()
+        self.index = {units[i]: n for n, i in enumerate(keep.tolist())}
+        self.ids = np.concatenate([ids, np.zeros(1 << 16, np.uint32)])
+        self.used = total
+        spare = np.zeros(1 << 12, np.int64)
+        self.start, self.size, self.met = np.concatenate([ends - sizes, spare]), np.concatenate([sizes, spare]), np.concatenate([met, spare])
+        self.unsure = np.concatenate([unsure, spare > 0])
+
+    def _ids_of(self, units: list[str]) -> list[list[int]]:
+        """Ids of units that aren't known, those that end with a stop from the word before it."""
+        stem = {x: x[:-1] for x in units if x[-1:] in (".", ",") and x[-2:-1].isalpha() and x[-2] < "\u0130"}
+        got, single, words = {}, [], []
+        for x in {stem.get(x, x) for x in units}:
+            (words if x.isalpha() and max(x) < "\u0130" else single).append(x)
+        for at in range(0, len(words), JOINED):
+            part = words[at : at + JOINED]
+            ids = self._encode([" " + " ".join(part)])[0]
+            edge = np.flatnonzero(self.edge[ids])
+            if len(edge) != len(part):
+                single += part
+                continue
+            cuts = [0, *(edge + 1).tolist()] if self.drops_space else [*edge.tolist(), len(ids)]  # a word's last token, or its first
+            got.update({x: ids[a:b] for x, a, b in zip(part, cuts, cuts[1:], strict=False)})
+        got.update(zip(single, self._encode(single if self.drops_space else [_spelled(x) for x in single]), strict=True))
+        stop = dict(zip(".,", self._encode([".", ","]), strict=True)) if stem else {}
+        return [got[stem[x]] + stop[x[-1]] if x in stem else got[x] for x in units]
 
     def _learn(self, units: list[str]) -> None:
         for at in range(0, len(units), 20_000):
             part = units[at : at + 20_000]
-            spelled = part if self.drops_space else [_spelled(x) for x in part]
-            got = [x.ids for x in self.tokenizer.encode_batch(spelled, add_special_tokens=False)]
+            got = self._ids_of(part)
             sizes = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
+            flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(sizes.sum()))
             first, n = len(self.index), len(part)
             if self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint32)])
             if first + n > len(self.start):
                 more = np.zeros(max(len(self.start), n), np.int64)
-                self.start, self.size = np.concatenate([self.start, more]), np.concatenate([self.size, more])
+                self.start, self.size, self.met = (np.concatenate([x, more]) for x in (self.start, self.size, self.met))
+                self.unsure = np.concatenate([self.unsure, more > 0])
             self.ids[self.used : self.used + len(flat)] = flat
             self.size[first : first + n] = sizes
             self.start[first : first + n] = self.used + np.cumsum(sizes) - sizes
             self.used += len(flat)
+            self.unsure[first : first + n] = False if self.drops_space else [self._unsure(x) for x in part]
             self.index.update(zip(part, range(first, first + n), strict=True))
 
-    def _units(self, text: str) -> list[str]:
+    def _units(self, text: str, with_care: bool = False) -> list[str]:
+        """A unit is named by what follows its space; \\x00 stands for a line feed, and \\x00\\x00 opens a text."""
         if self.drops_space:
             return text.replace("\n", " ").split(" ")
         if not text:
             return []
-        if _SPACES.search(text) is None:
-            # a unit is named by what follows its space; \x00 stands for a line feed, and \x00\x00 opens a text
-            units = text.replace("\n", " \x00").split(" ")
-            units[0] = "\x00\x00" + units[0]
-            return units
-        return ["\x00\x00" + x for x in _CUT.split(text)]
+        if with_care or "\x00" in text:
+            return ["\x00\x00" + x for x in _CUT.split(text)]
+        units = text.replace("\n", " \x00").split(" ")
+        units[0] = "\x00\x00" + units[0]
+        return units
+
+    def _unsure(self, unit: str) -> bool:
+        """Whether white space touches an end of the unit, so that the places where it was cut may not be cuts."""
+        bare = unit.lstrip("\x00")
+        return not bare or bare[0].isspace() or bare[-1].isspace()
+
+    def _indices(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        units = list(itertools.chain.from_iterable(split))
+        missing = [x for x in set(units) if x not in self.index]
+        if missing:
+            self._learn(missing)
+        return np.fromiter(map(self.index.__getitem__, units), np.int64, len(units)), np.fromiter(map(len, split), np.int64, len(split))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
         if len(self.index) > REMEMBER:
-            self._forget()
-        units: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            before = len(units)
-            units += self._units(text)
-            counts[i] = len(units) - before
-        missing = set(units)
-        missing.difference_update(self.index)
-        if missing:
-            self._learn(list(missing))
-        at = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+            self._make_room()
+        split = [self._units(x) for x in texts]
+        at, counts = self._indices(split)
+        if not self.drops_space and self.unsure[at].any():
+            where = np.repeat(np.arange(len(texts)), counts)[self.unsure[at]]
+            for i in np.unique(where).tolist():
+                split[i] = self._units(texts[i], True)
+            at, counts = self._indices(split)
+        self.met[: len(self.index)] += np.bincount(at, minlength=len(self.index))
         sizes = self.size[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
