@@ -16,6 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,15 +32,33 @@ BLOCK_BYTES = 1 << 20
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + np.uint8(1)
 
 
-def encode_numbers(numbers: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data) of unsigned 32-bit numbers."""
+def encode_all(numbers: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
+    """(control, data, control bytes of each document, data bytes of each document) of documents with ``counts`` numbers each, in a row."""
     numbers = np.ascontiguousarray(numbers, "<u4")
     size = 1 + (numbers > 0xFF).astype(np.uint8) + (numbers > 0xFFFF) + (numbers > 0xFFFFFF)
-    codes = np.zeros(-(-len(numbers) // 4) * 4, np.uint8)
-    codes[: len(numbers)] = size - 1
+    slots = -(-counts // 4) * 4
+    codes = np.zeros(int(slots.sum()), np.uint8)
+    codes[np.arange(len(numbers)) + np.repeat(np.cumsum(slots - counts) - (slots - counts), counts)] = size - 1
     control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
     data = numbers.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
-    return control.tobytes(), data.tobytes()
+    ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.concatenate([[0], np.cumsum(counts)])]
+    return control.tobytes(), data.tobytes(), slots // 4, np.diff(ends)
+
+
+def encode_numbers(numbers: np.ndarray) -> tuple[bytes, bytes]:
+    """(control, data) of the unsigned 32-bit numbers of one document."""
+    return encode_all(numbers, np.array([len(numbers)]))[:2]
+
+
+def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all 16-bit ids of a binary column in a row, number of ids of each row)."""
+    lengths = pa.compute.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2"), lengths
+
+
+def _cut(data: bytes, lengths: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(lengths)
+    return [data[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
 
 
 def decode_numbers(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
@@ -82,10 +101,7 @@ def frequency_ranks(tokens: DataFrame) -> DataFrame:
     def count(batches):
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=1 << 16) if len(x.as_buffer()) > 1 << 14 else 0
-            small = b"".join(bytes(x.as_buffer()) for x in batch.column(0) if len(x.as_buffer()) <= 1 << 14)
-            total += np.bincount(np.frombuffer(small, "<u2"), minlength=1 << 16)
+            total += np.bincount(_joined(batch.column(0))[0], minlength=1 << 16)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
@@ -114,9 +130,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
 
     def code(batches):
         for batch in batches:
-            rows = [(len(x.as_buffer()) // 2, *encode_numbers(held.value[np.frombuffer(x.as_buffer(), "<u2")])) for x in batch.column(1)]
-            n, control, data = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["doc_id", "n", "control", "data"])
+            ids, counts = _joined(batch.column(1))
+            control, data, control_bytes, data_bytes = encode_all(held.value[ids], counts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(_cut(control, control_bytes), pa.binary()), pa.array(_cut(data, data_bytes), pa.binary())], ["doc_id", "n", "control", "data"])
 
     def block(batches):
         part, before = TaskContext.get().partitionId(), 0

@@ -21,9 +21,9 @@ import re
 
 import numpy as np
 
-REMEMBER = 400_000
+REMEMBER = 800_000
 #: Words encoded as one text.
-JOINED = 64
+JOINED = 512
 
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
