@@ -75,37 +75,46 @@ def decode_numbers(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarra
     return out
 
 
+TOKENS = "doc_id long, ids binary, used array<long>, n array<long>"
+
+
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids): ids of the word vocabulary as little-endian unsigned 16-bit numbers, the end id last."""
+    """(doc_id, ids, used, n): ids of the word vocabulary as little-endian unsigned 16-bit numbers, the end id last.
+
+    The last row of a partition has, in place of a document's ids, the ids in use there and how often each stands in it.
+    """
+
+    names = [x.split()[0] for x in TOKENS.split(", ")]
 
     def run(batches):
         encoder = unit_tokens.encoder(tokenizer, True)
         if encoder.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary does not fit 16 bits")
         tail = end_id.to_bytes(2, "little")
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for at, to in unit_tokens.chunks(texts, CHUNK_CHARS):
                 ids, counts = encoder.encode(texts[at:to])
+                total += np.bincount(ids, minlength=1 << 16)
+                total[end_id] += to - at
                 data = ids.astype("<u2").tobytes()
                 ends = 2 * np.cumsum(counts)
                 out = [data[a:b] + tail for a, b in zip((ends - 2 * counts).tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at).cast(pa.int64()), pa.array(out, pa.binary())], ["doc_id", "ids"])
+                doc_ids = batch.column(0).slice(at, to - at).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(out, pa.binary()), pa.nulls(to - at, pa.list_(pa.int64())), pa.nulls(to - at, pa.list_(pa.int64()))], names)
+        used = np.flatnonzero(total)
+        counts = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (used, total[used])]
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), *counts], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, TOKENS)
 
 
 def frequency_ranks(tokens: DataFrame) -> DataFrame:
     """(rank, id, n) over all documents: falling frequency, then id. It has a row for each id in use, so a vocabulary's size at most."""
 
-    def count(batches):
-        total = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            total += np.bincount(_joined(batch.column(0))[0], minlength=1 << 16)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
-
-    counts = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.where(F.col("used").isNotNull()).select(F.explode(F.arrays_zip(F.col("used").alias("id"), F.col("n").alias("n"))).alias("x"))
+    counts = counts.groupBy(F.col("x.id").alias("id")).agg(F.sum("x.n").alias("n"))
     return counts.select((F.row_number().over(Window.orderBy(F.col("n").desc(), "id")) - 1).cast("long").alias("rank"), "id", "n")
 
 
@@ -121,7 +130,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     spark = docs.sparkSession
     at = f"{path}/tokens"
     tokenized(docs, tokenizer, end_id).write.option("compression", "zstd").parquet(at)
-    tokens = spark.read.schema("doc_id long, ids binary").parquet(at)
+    tokens = spark.read.schema(T._parse_datatype_string(TOKENS)).parquet(at)
     frequency_ranks(tokens).write.parquet(f"{path}/ranks")
     found = spark.read.schema("rank long, id long, n long").parquet(f"{path}/ranks").select("rank", "id").toArrow()
     rank_of = np.zeros(1 << 16, np.uint32)
@@ -158,7 +167,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
         if rows:
             yield made()
 
-    coded = tokens.mapInArrow(code, "doc_id long, n long, control binary, data binary")
+    coded = tokens.where(F.col("ids").isNotNull()).select("doc_id", "ids").mapInArrow(code, "doc_id long, n long, control binary, data binary")
     order = coded.repartitionByRange(common.shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "n", "data")
     order.mapInArrow(block, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     common.discard(spark, at)
