@@ -121,17 +121,14 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def repeated_suffixes(text: np.ndarray, length: int) -> np.ndarray:
-    """Whether the ``length`` symbols from each place on also start elsewhere."""
+    """Whether the ``length`` symbols (below 511) from each place on also start elsewhere."""
+    text = np.concatenate([text + np.uint16(1), np.zeros(1, np.uint16)])  # an end that is least and unique, so that every prefix of every suffix ends somewhere
     n = len(text)
-    if n < 2:
-        return np.zeros(n, bool)
     order = suffix_order(text, length + 1)
     row_of = np.empty(n, np.int64)
     row_of[order] = np.arange(n)
-    before = np.concatenate([text[-1:], text[:-1]]).astype(np.int64)[order]  # the transform
+    before = np.concatenate([text[-1:], text[:-1]]).astype(np.int64)[order]  # the transform, with the end before the start
     back = row_of[np.where(order == 0, n - 1, order - 1)]  # row of the suffix one symbol longer
-    ends = before.copy()
-    ends[order == 0] = -1  # nothing stands before the text
     unset = np.ones(n + 1, bool)
     unset[n] = False
     low, high = np.array([0]), np.array([n])
@@ -140,12 +137,8 @@ def repeated_suffixes(text: np.ndarray, length: int) -> np.ndarray:
         total = int(size.sum())
         offset = np.cumsum(size) - size
         rows = np.arange(total) + np.repeat(low - offset, size)
-        symbol = ends[rows]
-        some = symbol >= 0
-        key = (np.repeat(np.arange(len(low)), size) * 512 + symbol)[some]
-        if not len(key):
-            break
-        to = back[rows[some]]
+        key = np.repeat(np.arange(len(low)), size) * 512 + before[rows]
+        to = back[rows]
         sort = np.argsort(key, kind="stable")
         key, to = key[sort], to[sort]
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -159,7 +152,7 @@ def repeated_suffixes(text: np.ndarray, length: int) -> np.ndarray:
     shared = np.concatenate([[False], unset[1:n], [False]])
     out = np.empty(n, bool)
     out[order] = shared[:-1] | shared[1:]
-    return out
+    return out[:-1]
 
 
 def repeated_starts(segments: list[bytes], counts: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
@@ -182,30 +175,37 @@ def _encoded(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _digest(data: bytes) -> bytes:
+    """Names a text: 96 bits, so that two texts of even 10**11 share one with a chance below 10**-6."""
+    return hashlib.blake2b(data, digest_size=12).digest()
+
+
 def _pieces(n: int, length: int):
     """(from, to) of pieces whose windows of ``length`` bytes, taken together, are those of n bytes, each once."""
     for at in range(0, n - length + 1, PIECE):
         yield at, min(n, at + PIECE + length - 1)
 
 
-_ROWS = "doc_id long, digest binary, n_bytes long, sha string, hashes array<long>, firsts array<long>, runs array<int>, offsets array<int>"
+#: A run of windows as one number: first window, number of windows, offset of the anchor (10 bits each of the latter).
+_BITS = 10
+_ROWS = "doc_id long, digest binary, n_bytes long, sha string, hashes array<long>, windows array<long>"
 
 
 def _scan(length: int):
     def run(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(6)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = _encoded(text)
                 found = []
                 for a, b in _pieces(len(data), length):
                     h, first, count, offset = anchors(np.frombuffer(data[a:b], np.uint8), length)
-                    found.append((h, first + a, count, offset))
-                parts = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else [()] * 4)]
-                row = (doc_id, hashlib.md5(data, usedforsecurity=False).digest(), len(data), hashlib.sha256(data).hexdigest(), *parts)
+                    found.append((h, (first + a) << 2 * _BITS | count << _BITS | offset))
+                parts = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else [()] * 2)]
+                row = (doc_id, _digest(data), len(data), hashlib.sha256(data).hexdigest(), *parts)
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [x.split()[0] for x in _ROWS.split(", ")])
 
     return run
@@ -220,10 +220,11 @@ def _segments(length: int):
             held = 0
             for text, digest, listed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = _encoded(text)
-                if hashlib.md5(data, usedforsecurity=False).digest() != digest:
+                if _digest(data) != digest:
                     continue  # another text under the same id
                 for x in listed:
-                    h, first, runs, offset, places = x["h"], x["first"], x["runs"], x["offset"], x["places"]
+                    h, places, low = x["h"], x["places"], (1 << _BITS) - 1
+                    first, runs, offset = x["windows"] >> 2 * _BITS, x["windows"] >> _BITS & low, x["windows"] & low
                     if places <= HOT:
                         cut = [(h, first, runs)]
                     else:
@@ -303,7 +304,7 @@ def _cut(length: int):
             out: list[list] = [[] for _ in range(6)]
             for doc_id, text, digest, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = _encoded(text)
-                if hashlib.md5(data, usedforsecurity=False).digest() != digest:
+                if _digest(data) != digest:
                     continue
                 gone = np.zeros(len(data) + 1, np.int32)
                 for r in ranges:
@@ -334,12 +335,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows, _ = common.store(docs.mapInArrow(_scan(length), _ROWS), "anchors")
-    listed = ("hashes", "firsts", "runs", "offsets")
-    texts = rows.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("rep"), F.first(F.struct(*listed)).alias("x"))
-    places = texts.select("digest", "copies", "rep", F.explode(F.arrays_zip(*[F.col(f"x.{c}").alias(c) for c in listed])).alias("a"))
-    places = places.select("digest", "copies", "rep", F.col("a.hashes").alias("h"), F.col("a.firsts").alias("first"), F.col("a.runs").alias("runs"), F.col("a.offsets").alias("offset"))
+    texts = rows.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("rep"), F.first(F.struct("hashes", "windows")).alias("x"))
+    places = texts.select("digest", F.explode(F.arrays_zip(F.col("x.hashes").alias("h"), F.col("x.windows").alias("windows"))).alias("a")).select("digest", "a.*")
     twice = places.groupBy("h").agg(F.count("*").alias("places")).where(F.col("places") > 1)
-    found = places.join(twice, "h").groupBy("rep", "digest").agg(F.collect_list(F.struct("h", "first", "runs", "offset", "places")).alias("listed"))
+    found = places.join(twice, "h").groupBy("digest").agg(F.collect_list(F.struct("h", "windows", "places")).alias("listed")).join(texts.select("digest", "rep"), "digest")
     keyed = docs.withColumn("rep", F.coalesce("doc_id", F.lit(_NO_ID))).select("rep", "text")
     segments = keyed.join(found, "rep").select("text", "digest", "listed").mapInArrow(_segments(length), "digest binary, first long, key long, seg_hash binary, segment binary")
     segments, _ = common.store(segments, "segments")

@@ -1,0 +1,299 @@
+"""Operators for training data against brute force on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from nodeloom.llm import chat, components, fingerprints, language, mixing, packing, pii, registry, repeats, simhash, tokenfile, topk, unit_tokens
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, rank string"
+random.seed(5)
+WORDS = "the of and red blue alpha beta gamma über été señor token data spark node path list heap tree".split()
+
+
+def prose(n):
+    return " ".join(random.choice(WORDS) + random.choice(["", "", ".", ",", "\n"]) for _ in range(n))
+
+
+BASE = prose(120)
+TEXTS = [None, "", " ", "a", "aaaa" * 200, BASE, BASE, BASE[:300] + " other " + BASE[300:], prose(3), prose(2000), "123 !!!", "<|endoftext|> x", "tab\tand  two\r\nlines ", "\x00z \x00", prose(90) + BASE + prose(60)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "xy"[i % 2], [None, "s", "t"][i % 3], None, "x", "y") for i, t in enumerate(TEXTS)]
+    rows += [rows[5], (None, "no id " + BASE, None, None, None, "x", "y")]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_topk(spark):
+    vectors = [(i, [random.randint(-5, 5) for _ in range(4)]) for i in range(60)] + [(7, [1, 1, 1, 1]), (60, None), (None, [1, 2, 3, 4]), (61, []), (62, [3])]
+    df = spark.createDataFrame(vectors, "vec_id long, vector array<long>")
+    queries = df.where("vec_id in (0, 5, 61)")
+    got = {}
+    for r in topk.exact_top_k(df, queries, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    whole = [(i, v) for i, v in vectors if i is not None and v is not None]
+    for q, v in {0: vectors[0][1], 5: vectors[5][1], 61: []}.items():
+        want = sorted(((sum(a * b for a, b in zip(v, w)), i) for i, w in whole if i != q), key=lambda x: (-x[0], x[1]))[:5]
+        assert got[q] == want
+    assert topk.exact_top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_topk_large_numbers():
+    q, r = np.array([[2**40, 1]]), np.array([[2**20, 3], [2**20, 4], [-1, 0]])
+    score, ids = topk.tile_top(q, np.array([9]), r, np.array([3, 2, 1]), 2)
+    assert ids.tolist() == [[2, 3]] and score[0, 0] == 2**60 + 4
+
+
+def test_fingerprints(spark, docs, none):
+    got = fingerprints.compare_with_edits(docs, 4).collect()
+    assert len(got) == docs.count()
+    rows = sorted(((-(1 << 63) if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda x: (-x[0], x[1]))
+    want = Counter()
+    for i, (_, t) in enumerate(rows):
+        want[hashlib.sha256(fingerprints.edited_text(t, rows[(i + 1) % len(rows)][1]).encode()).hexdigest()] += 1
+    assert Counter(r["edited_sha256"] for r in got) == want
+    assert len({r["fingerprint"] for r in got if r["doc_id"] in (5, 6)}) == 1
+    assert fingerprints.compare_with_edits(none, 4).count() == 0
+
+
+def test_fingerprint_ignores_offset():
+    text = prose(400)
+    a, b = fingerprints.fingerprints([text, "q" * 7 + text])
+    assert fingerprints.likeness(a[None], b[None])[0] > 0.8
+    assert fingerprints.likeness(*fingerprints.fingerprints([prose(400), "zz yy xx " * 150])[:, None])[0] < 0.1
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(docs.where(~language.held_out("doc_id")))
+    out = language.identify(docs.where(language.held_out("doc_id")), model, ["doc_id", "lang"])
+    assert out.where("lang = lang_pred").count() / out.count() > 0.98
+
+
+def test_language_edges(docs, none):
+    model = language.train(docs)
+    got = {r["doc_id"]: r for r in language.identify(docs, model, ["doc_id"]).collect()}
+    assert [got[i]["lang_pred"] for i in (0, 1, 2, 10)] == ["und"] * 4
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    empty = language.train(none)
+    assert {r["lang_pred"] for r in language.identify(docs, empty, ["doc_id"]).collect()} == {"und"}
+    assert all(len(np.unique(language.codewords(k), axis=0)) == k for k in (2, 4, 6, 9, 30))
+
+
+def test_pii(spark, none):
+    texts = ["mail Ann.B7@mail3.example.com now", "ann.b7@mail3.example.com and 10.1.2.3.", "card 4111 1111 1111 1111, 4111111111111111", "+1 (017) 555-7713 or +1-017-555-7713", "Mrs. Smith met Herr Braun-Weber", 'token = "' + "0a1b2c3d" * 5 + '"', "plain", None, "", "господин Иванов 12"]
+    df = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)], "doc_id long, text string, n_entities int")
+    got = [r["text"] for r in pii.replace_pii(df).orderBy("doc_id").collect()]
+    found = [r["n_entities"] for r in pii.replace_pii(df).orderBy("doc_id").collect()]
+    assert found == [1, 2, 2, 2, 2, 1, 0, 0, 0, 1]
+    assert got[6:9] == ["plain", None, ""]
+    for old, new in zip(texts, got, strict=True):
+        if old and old not in ("plain",):
+            assert new != old and len(old.split()) == len(new.split())
+    digits = lambda s: "".join(c for c in s if c.isdigit())
+    cards = got[2].replace("card ", "").split(", ")
+    assert digits(cards[0]) == digits(cards[1]) and cards[0][4] == " "
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10
+    assert luhn(digits(cards[0])) == 0
+    phones = got[3].split(" or ")
+    assert digits(phones[0]) == digits(phones[1]) and phones[0].startswith("+1 (")
+    assert got[0].split()[1].lower() == got[1].split()[0].lower()
+    assert got[4].startswith("Mrs. ") and "Herr " in got[4] and got[9].startswith("господин ")
+    assert pii.replace_pii(none).count() == 0
+
+
+def test_pii_distinct(spark):
+    df = spark.createDataFrame([(i, f"a{i % 10}@b.example.com x{i}@b.example.com") for i in range(60)], "doc_id long, text string")
+    got = set()
+    for r in pii.replace_pii(df).collect():
+        got |= set(r["text"].split())
+    assert len(got) == len({w for i in range(60) for w in (f"a{i % 10}", f"x{i}")})
+
+
+def test_mix(docs, none):
+    rows = mixing.mix(docs.select("doc_id", "text", "source")).collect()
+    assert len(rows) == docs.count() and mixing.mix(none).count() == 0
+    sizes = {r["doc_id"]: len([w for w in (r["text"] or "").translate({c: " " for c in range(9, 14)}).split(" ") if w]) for r in docs.collect()}
+    by_source = {}
+    for r in rows:
+        assert r["size"] == sizes[r["doc_id"]] and 0 <= r["taken"] <= 2 * r["size"]
+        by_source.setdefault((r["source_size"], r["target"]), 0)
+        by_source[r["source_size"], r["target"]] += r["taken"]
+    assert all(abs(taken - target) < 1 for (_, target), taken in by_source.items())
+    assert abs(sum(t for _, t in by_source) - 1.5 * sum(s for s, _ in by_source)) < 1e-6
+
+
+@pytest.mark.parametrize("drops, name", [(False, "byte_bpe_50k.json"), (True, "word_bpe_49k.json")])
+def test_unit_tokens(drops, name):
+    e = unit_tokens.UnitTokens(public_tokenizers.path(name), drops)
+    texts = [t or "" for t in TEXTS] + ["don't. stop, İ, fin", "!. ?, ,.", "a\n\n\nb", "日本 語。 x", "\x1c a", "é é x", " \n lead", "'S 'll we'll."]
+    ids, counts = e.encode(texts)
+    want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    e._make_room()
+    assert e.encode(texts)[0].tolist() == ids.tolist()
+
+
+def test_pack(docs, none):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = packing.pack(docs, path, with_ids=True).collect()
+    assert packing.pack(none, path).count() == 0
+    sequences, total = {}, Counter()
+    for r in rows:
+        assert r["length"] * 4 == len(r["ids"]) and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        total[r["doc_id"]] += r["length"]
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    tokens = {r["doc_id"]: r["doc_tokens"] for r in rows}
+    assert total == Counter({d: n * (2 if d == 5 else 1) for d, n in tokens.items()}) and tokens[0] == tokens[1] == 1
+
+
+def brute_repeats(texts, n=200):
+    datas = [(t or "").encode() for t in texts]
+    seen = Counter(d[i : i + n] for d in datas for i in range(len(d) - n + 1))
+    out = []
+    for d in datas:
+        gone = np.zeros(len(d), bool)
+        for i in range(len(d) - n + 1):
+            if seen[d[i : i + n]] > 1:
+                gone[i : i + n] = True
+        out.append((len(d), int(gone.sum()), hashlib.sha256(bytes(np.frombuffer(d, np.uint8)[~gone])).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", [512, 1])
+def test_repeats(docs, none, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    got = sorted((r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in repeats.remove_repeats(docs).collect())
+    assert got == brute_repeats([r["text"] for r in docs.collect()])
+    assert repeats.remove_repeats(none).count() == 0
+
+
+def test_repeat_kernel():
+    rng = np.random.default_rng(3)
+    for length in (1, 3, 8):
+        text = rng.integers(0, 3, 400).astype(np.uint16) + 1
+        seen = Counter(text[i : i + length].tobytes() for i in range(len(text)) if i + length <= len(text))
+        want = [seen[text[i : i + length].tobytes()] > 1 for i in range(len(text) - length + 1)]
+        assert repeats.repeated_suffixes(text, length)[: len(want)].tolist() == want
+
+
+def test_chat(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    told = chat.as_transcript(turns, unmarked=10**9)
+    hmm = chat.train(told.where("conv_id % 3 <> 1"))
+    got = chat.format_transcripts(told.where("conv_id % 3 = 1"), hmm)
+    rows = {(r["conv_id"], r["turn"]): r["role"] for r in got.collect()}
+    want = {(r["conv_id"], r["turn"]): r["role"] for r in turns.where("conv_id % 3 = 1").collect()}
+    assert sum(rows.get(k) == v for k, v in want.items()) / len(want) > 0.95
+    assert chat.format_transcripts(told.limit(0), hmm).count() == 0
+    odd = spark.createDataFrame([(1, 0, None), (None, 0, "User: hi"), (2, 0, ""), (2, 0, "Assistant: a\n\nb")], "conv_id long, turn long, text string")
+    assert chat.format_transcripts(odd, hmm).count() >= 3
+
+
+def brute_simhash(text):
+    import re
+
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [b" ".join(words)]
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << j for j in range(64) if 2 * sum(x >> j & 1 for x in h) > len(h))
+
+
+def test_simhash(docs, none):
+    rows = [(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()]
+    assert len(rows) == docs.count() and simhash.near_duplicates(none).count() == 0
+    prints = {d: int(f, 16) for d, f, _ in rows if d is not None}
+    assert all(prints[i] == brute_simhash(TEXTS[i]) for i in prints)
+    name = {i: i for i in prints}
+    for _ in prints:
+        for i in prints:
+            name[i] = min(name[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 3)
+    assert {d: c for d, _, c in rows if d is not None} == name
+
+
+def test_near_links_keep_components(spark):
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 4).tolist()
+    fps = {x ^ (1 << int(a)) ^ (1 << int(b)) for x in base for a, b in rng.integers(0, 60, (900, 2))}
+    rows = [([x], x) for x in sorted(fps)]
+    found = components.components(simhash.near_links(spark.createDataFrame(rows, "fp array<long>, rep long"))).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r["component"], set()).add(r["node"])
+    assert sorted(map(len, groups.values())) == sorted(len([y for y in fps if (x ^ y).bit_count() <= 2 or (x ^ y).bit_count() <= 4]) for x in base)
+
+
+def test_components_of_a_path(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
+    got = {r["node"]: r["component"] for r in components.components(links).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_token_numbers():
+    rng = np.random.default_rng(2)
+    parts = [rng.integers(0, 1 << int(b), n).astype(np.uint32) for b, n in ((8, 5), (16, 0), (24, 9), (32, 4))]
+    control, data = zip(*map(tokenfile.encode_numbers, parts), strict=True)
+    back = tokenfile.decode_numbers(b"".join(control), b"".join(data), np.array([len(p) for p in parts]))
+    assert back.tolist() == np.concatenate(parts).tolist()
+
+
+def test_token_files(spark, docs, none, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenfile.write_token_files(docs, path, str(tmp_path / "t"))
+    rows = tokenfile.read_token_files(spark, str(tmp_path / "t"), with_ids=True).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == sorted([r["doc_id"] for r in docs.collect()], key=lambda x: -1 if x is None else x)
+    e = unit_tokens.encoder(path, True)
+    at = 0
+    for r in rows:
+        assert r["start"] == at and r["ids_crc32"] == zlib.crc32(r["ids"])
+        at += r["n_tokens"]
+        if r["doc_id"] is not None:
+            assert np.frombuffer(r["ids"], "<u4").tolist() == [*e.tokenizer.encode(TEXTS[r["doc_id"]] or "", add_special_tokens=False).ids, 1]
+    tokenfile.write_token_files(none, path, str(tmp_path / "u"))
+    assert tokenfile.read_token_files(spark, str(tmp_path / "u")).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n, s in registry.ORACLE_SQL.items() if s])
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got = registry.QUERIES[name](spark, SF).toArrow()
+    columns = ", ".join(sorted(got.column_names))
+    f = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
+    assert sorted(map(f, con.sql(f"select {columns} from got").fetchall())) == sorted(map(f, con.sql(f"select {columns} from ({registry.ORACLE_SQL[name]})").fetchall()))
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "surrogates", "mixing_sources", "packing_sequences"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == corpus_pipeline.COLUMNS
+    assert kept.select("text").distinct().count() == kept.count()
+    assert corpus_pipeline.run(spark, SF).agg(F.count("*")).first()[0] > 0
