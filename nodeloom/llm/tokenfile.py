@@ -125,7 +125,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     """Encode (doc_id, text) into the folder ``path``, in ascending doc_id order.
 
     A null text is empty and has only the end id. A null doc_id comes first; rows with one doc_id
-    follow each other by length and content, and repeated rows are all kept. No rows give no blocks.
+    follow each other by content, and repeated rows are all kept. No rows give no blocks.
     """
     spark = docs.sparkSession
     at = f"{path}/tokens"
@@ -137,12 +137,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
     rank_of[found.column("id").to_numpy()] = found.column("rank").to_numpy()
     held = spark.sparkContext.broadcast(rank_of)  # 256 KB
 
-    def code(batches):
-        for batch in batches:
-            ids, counts = _joined(batch.column(1))
-            control, data, control_bytes, data_bytes = encode_all(held.value[ids], counts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(_cut(control, control_bytes), pa.binary()), pa.array(_cut(data, data_bytes), pa.binary())], ["doc_id", "n", "control", "data"])
-
     def block(batches):
         part, before = TaskContext.get().partitionId(), 0
         rows: list[tuple] = []
@@ -159,7 +153,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [x.split()[0] for x in BLOCKS.split(", ")])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ids, counts = _joined(batch.column(1))
+            control, data, control_bytes, data_bytes = encode_all(held.value[ids], counts)
+            for row in zip(batch.column(0).to_pylist(), counts.tolist(), _cut(control, control_bytes), _cut(data, data_bytes), strict=True):
                 rows.append(row)
                 size += len(row[2]) + len(row[3])
                 if size >= BLOCK_BYTES:
@@ -167,8 +163,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
         if rows:
             yield made()
 
-    coded = tokens.where(F.col("ids").isNotNull()).select("doc_id", "ids").mapInArrow(code, "doc_id long, n long, control binary, data binary")
-    order = coded.repartitionByRange(common.shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "n", "data")
+    # ranges are drawn on the plain ids: their sample reads the table once more, and must not run the coding twice
+    order = tokens.where(F.col("ids").isNotNull()).select("doc_id", "ids").repartitionByRange(common.shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
     order.mapInArrow(block, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     common.discard(spark, at)
 
