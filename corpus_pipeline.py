@@ -24,9 +24,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (words in shingles of five) the document with the smallest id stays; rows without an id stay.
 
-    Four words of fingerprint; 40 of 256 bits is what a similarity of 0.8 comes to.
+    Four words of fingerprint; 19 pairs in 20 with a similarity of 0.8 to 0.85 differ in at most 44 of the 256 bits, and nearly all closer ones.
     """
-    groups, _ = common.store(simhash.near_duplicates(docs.select("doc_id", "text"), shingle=5, distance=40, words=4), "groups")
+    groups, _ = common.store(simhash.near_duplicates(docs.select("doc_id", "text"), shingle=5, distance=44, words=4), "groups")
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
     if groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty():

@@ -7,8 +7,9 @@ many bits as the number of fingerprints needs, so listings stay short as the tab
 
 Fingerprints may have several words of 64 bits. Near copies by the usual measure (four fifths of the shingles in
 common) differ in about a seventh of the bits, which no choice of blocks of 64 bits can list; with four words each
-fingerprint is listed under single blocks. Pairs that differ in fewer bits than there are blocks are then found
-for certain, others with the chance that some block agrees.
+fingerprint is listed under single blocks, of the bits as they are and of the bits in fixed permuted orders. Pairs that differ in fewer
+bits than one order has blocks are then found for certain, others with the chance that some block agrees. There are as many
+orders as bring that chance to ``FOUND`` at the largest distance that links, so it does not fall as the table grows.
 
 A listing that many fingerprints share (near copies agree in most blocks) is dealt to tasks by pairs of
 chunks of its members. A task returns, instead of all links among its members, a spanning forest of
@@ -18,6 +19,7 @@ them, which has the same components.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,13 @@ from .components import components
 SEED = 42
 DISTANCE = 3
 #: Members of a chunk of a long listing.
-CHUNK = 512
+CHUNK = 2048
+#: Chance that a pair at the largest distance is found, where that is too large for certainty.
+FOUND = 0.9
+#: Least bits of a block of several words, and how many times two the members that a listing may have by chance.
+LEAST_BITS, BY_CHANCE = 14, 8
+#: Listings up to this length are compared all at once.
+SHORT = 64
 PIECE_SHINGLES = 1 << 16
 
 
@@ -78,19 +86,30 @@ def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shing
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
-def block_choices(n: int, distance: int = DISTANCE, words: int = 1) -> list[tuple[int, int]]:
-    """(word, mask) of the listings: one for each choice of blocks that must agree, fine enough for n fingerprints; single blocks for more words than one."""
+def block_choices(n: int, distance: int = DISTANCE, words: int = 1) -> list[tuple[int, ...]]:
+    """Masks (one for each word) of the listings: the bits that must agree, as many as n fingerprints need."""
     need = max(1, n).bit_length()
     if words > 1:
-        size = next(b for b in (16, 21, 32) if b >= need or b == 32)
-        return [(w, ((1 << size) - 1) << at) for w in range(words) for at in range(0, 64 - size + 1, size)]
+        bits, size = 64 * words, max(LEAST_BITS, need - BY_CHANCE)
+        agree = (1 - distance / bits) ** size
+        listings = math.ceil(math.log(1 - FOUND) / math.log(1 - agree))
+        order, found = np.arange(bits), []
+        rng = np.random.default_rng(SEED)
+        while len(found) < max(listings, bits // size):
+            for at in range(0, bits - size + 1, size):
+                mask = [0] * words
+                for i in order[at : at + size].tolist():
+                    mask[i // 64] |= 1 << i % 64
+                found.append(tuple(mask))
+            order = rng.permutation(bits)
+        return found[: max(listings, bits // size)]
     for m in range(distance + 1, 17):
         edges = [64 * i // m for i in range(m + 1)]
         block = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
         masks = [sum(c) for c in itertools.combinations(block, m - distance)]
         if min(x.bit_count() for x in masks) >= need:
             break
-    return [(0, x) for x in masks]
+    return [(x,) for x in masks]
 
 
 def _signed(x: int) -> int:
@@ -106,12 +125,12 @@ def _forest(fps: np.ndarray, reps: np.ndarray, distance: int) -> list[tuple[int,
     label = np.arange(len(fps))
     out = []
     for i in range(len(fps) - 1):
-        near = np.flatnonzero(_differ(fps[i + 1 :], fps[i]) <= distance) + i + 1
+        apart = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        near = apart[_differ(fps[apart], fps[i]) <= distance]
         others, first = np.unique(label[near], return_index=True)
         for other, j in zip(others.tolist(), near[first].tolist(), strict=True):
-            if other != label[i]:
-                label[label == other] = label[i]
-                out.append((int(reps[i]), int(reps[j])))
+            label[label == other] = label[i]
+            out.append((int(reps[i]), int(reps[j])))
     return out
 
 
@@ -124,12 +143,12 @@ def _pairs_of(batches, distance: int):
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(edge, append=len(key))
         run = np.repeat(edge + size, size)
-        for step in range(1, int(size[size <= 16].max(initial=1))):  # short listings: neighbours at each distance, all at once
-            i = np.flatnonzero((np.arange(len(key)) + step < run) & (np.repeat(size, size) <= 16))
+        for step in range(1, int(size[size <= SHORT].max(initial=1))):  # short listings: neighbours at each distance, all at once
+            i = np.flatnonzero((np.arange(len(key)) + step < run) & (np.repeat(size, size) <= SHORT))
             i = i[_differ(fps[i], fps[i + step]) <= distance]
             a.append(reps[i])
             b.append(reps[i + step])
-        for at, n in zip(edge[size > 16].tolist(), size[size > 16].tolist(), strict=True):
+        for at, n in zip(edge[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
             found = np.array(_forest(fps[at : at + n], reps[at : at + n], distance), np.int64).reshape(-1, 2)
             a.append(found[:, 0])
             b.append(found[:, 1])
@@ -139,8 +158,8 @@ def _pairs_of(batches, distance: int):
     for batch in batches:
         if not batch.num_rows:
             continue
-        fps = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).view(np.uint64)
-        now = [batch.column(0).to_numpy(zero_copy_only=False), fps, batch.column(2).to_numpy(zero_copy_only=False)]
+        task, *words, rep = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        now = [task, np.stack(words, axis=1).view(np.uint64), rep]
         held = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
         if len(held[0]) and held[0][0] != held[0][-1]:
             cut = int(np.searchsorted(held[0], held[0][-1]))
@@ -152,20 +171,24 @@ def _pairs_of(batches, distance: int):
 
 def near_links(reps: DataFrame, distance: int = DISTANCE, words: int = 1) -> DataFrame:
     """(fp, rep), both unique, to links (a, b) between reps whose components are those of all pairs within the distance."""
-    choices = block_choices(reps.count(), distance, words)
-    keys = [F.xxhash64(F.lit(i), F.element_at("fp", w + 1).bitwiseAND(F.lit(_signed(m)))) for i, (w, m) in enumerate(choices)]
-    listed = reps.select("fp", "rep", F.explode(F.array(*keys)).alias("key"))
-    sizes = listed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    listed = listed.join(sizes, "key")
-    parts = F.ceil(F.col("n") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("rep", F.lit(7)), parts).cast("int")
+    spark = reps.sparkSession
+    names = [f"word{w}" for w in range(words)]
+    keys = [
+        F.xxhash64(F.lit(i), *(F.col(name).bitwiseAND(F.lit(_signed(m))) for name, m in zip(names, mask, strict=True) if m))
+        for i, mask in enumerate(block_choices(reps.count(), distance, words))
+    ]
+    listed = reps.select(*(F.element_at("fp", w + 1).alias(name) for w, name in enumerate(names)), "rep")
+    listed = listed.select(*names, "rep", F.explode(F.array(*keys)).alias("key"))
+    # read from a table, so that its size is known when the join is planned
+    sizes = listed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+    long, _ = common.store(sizes.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "long-listings")
+    dealt = listed.join(long, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     # chunk c meets every chunk: the task (i, j), i <= j, gets the members of both
-    dealt = listed.withColumn("parts", parts).withColumn("own", own)
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.where((F.col("parts") == 1) | (F.col("parts") == 2) & (F.col("other") == 0) | (F.col("parts") > 2) & (F.col("own") != F.col("other")))
     task = F.when(F.col("parts") <= 2, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    spark = reps.sparkSession
-    dealt = dealt.select(task.alias("task"), "fp", "rep").repartition(common.shuffle_partitions(spark), "task").sortWithinPartitions("task")
+    dealt = dealt.select(task.alias("task"), *names, "rep").repartition(common.shuffle_partitions(spark), "task").sortWithinPartitions("task")
     return dealt.mapInArrow(lambda batches: _pairs_of(batches, distance), "a long, b long")
 
 

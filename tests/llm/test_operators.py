@@ -247,6 +247,47 @@ def test_near_links_keep_components(spark):
     assert sorted(map(len, groups.values())) == sorted(len([y for y in fps if (x ^ y).bit_count() <= 2 or (x ^ y).bit_count() <= 4]) for x in base)
 
 
+@pytest.mark.parametrize("n", [1000, 250_000, 15_000_000])
+def test_far_pairs_are_listed_at_every_size(n):
+    rng = np.random.default_rng(2)
+    masks = np.array(simhash.block_choices(n, 44, 4), np.uint64)
+    assert all(sum(m.bit_count() for m in mask) >= min(14, n.bit_length()) for mask in masks.tolist())
+    for distance, least in (44, 0.87), (30, 0.97), (15, 1):
+        bits = np.zeros((2000, 256), np.uint8)
+        for row in bits:
+            row[rng.choice(256, distance, replace=False)] = 1
+        differ = np.packbits(bits, axis=1).view(np.uint64)
+        assert ((differ[:, None] & masks[None]) == 0).all(2).any(1).mean() >= least
+
+
+@pytest.mark.parametrize("size", [40, 300, 5000])
+def test_forest_has_all_components(spark, size):
+    """Short, middling and long listings of several words: the components are those of all pairs."""
+    rng = np.random.default_rng(size)
+    base = rng.integers(0, 1 << 63, (4, 2))
+    flips = np.array([[sum(1 << int(b) for b in rng.integers(0, 60, 3)) for _ in range(2)] for _ in range(size)])
+    fps = np.unique(base[rng.integers(0, 4, size)] ^ flips, axis=0)
+    rows = [(x.tolist(), i) for i, x in enumerate(fps)]
+    links = simhash.near_links(spark.createDataFrame(rows, "fp array<long>, rep long"), 12, 2).distinct().toArrow()
+    label = np.arange(len(fps))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, b in zip(links["a"].to_pylist(), links["b"].to_pylist(), strict=True):
+        assert np.bitwise_count((fps[a] ^ fps[b]).view(np.uint64)).sum() <= 12
+        label[root(a)] = root(b)
+    got = len({root(i) for i in range(len(fps))})
+    want = np.arange(len(fps))
+    for i in range(len(fps)):
+        near = np.bitwise_count((fps ^ fps[i]).view(np.uint64)).sum(1) <= 12
+        ours = np.unique(want[near])
+        want[np.isin(want, ours)] = ours[0]
+    assert got == len(np.unique(want))
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components.components(links).collect()}
