@@ -2,8 +2,8 @@
 
 Fingerprints that differ in at most d bits agree in at least m - d of m blocks. Each distinct fingerprint is
 listed under every choice of m - d blocks, rows that share a listing are compared by Hamming
-distance, and links give components. m is the smallest number for which a listing has at least as
-many bits as the number of fingerprints needs, so listings stay short as the table grows.
+distance, and links give components. m is the smallest number for which a listing has so many bits that by chance
+at most ``2 ** BY_CHANCE`` fingerprints share one, so listings stay short as the table grows.
 
 Fingerprints may have several words of 64 bits. Near copies by the usual measure (four fifths of the shingles in
 common) differ in about a seventh of the bits, which no choice of blocks of 64 bits can list; with four words each
@@ -37,7 +37,7 @@ DISTANCE = 3
 CHUNK = 2048
 #: Chance that a pair at the largest distance is found, where that is too large for certainty.
 FOUND = 0.9
-#: Least bits of a block of several words, and how many times two the members that a listing may have by chance.
+#: Least bits that a listing compares, and the power of two of the members that it may have by chance.
 LEAST_BITS, BY_CHANCE = 14, 8
 #: Listings up to this length are compared all at once.
 SHORT = 64
@@ -88,9 +88,9 @@ def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shing
 
 def block_choices(n: int, distance: int = DISTANCE, words: int = 1) -> list[tuple[int, ...]]:
     """Masks (one for each word) of the listings: the bits that must agree, as many as n fingerprints need."""
-    need = max(1, n).bit_length()
+    need = max(LEAST_BITS, max(1, n).bit_length() - BY_CHANCE)
     if words > 1:
-        bits, size = 64 * words, max(LEAST_BITS, need - BY_CHANCE)
+        bits, size = 64 * words, need
         agree = (1 - distance / bits) ** size
         listings = math.ceil(math.log(1 - FOUND) / math.log(1 - agree))
         order, found = np.arange(bits), []
