@@ -1,8 +1,9 @@
 """Location paths compiled to DataFrame plans.
 
 Grammar: paths with ``/``, ``//``, all axes and their short forms, name and kind tests, unions (``|``), predicates with
-positions, comparisons (=, !=, <, <=, >, >=) of relative paths, attributes, numbers and strings, ``and``, ``or``, ``not()``,
-``contains()``, ``starts-with()``, ``count()``, ``position()`` and ``last()``. A comparison is existential, as in XPath 1.0.
+positions, comparisons (=, !=, <, <=, >, >=) of relative paths, attributes, numbers and strings, arithmetic (+, -, *, div, mod),
+``and``, ``or``, ``not()``, ``contains()``, ``starts-with()``, ``ends-with()``, ``matches()``, ``count()``, ``sum()``, ``string-length()``,
+``position()`` and ``last()``. A comparison is existential, as in XPath 1.0; a path in arithmetic stands for its first node.
 A step is a join on (doc_id, parent) or doc_id with a range; a position is a row_number within the context node;
 a path in a predicate becomes a semi or anti join.
 """
@@ -14,12 +15,15 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nodeloom.functions import fn
 from nodeloom.plans import axes
 from nodeloom.sources.xml import ATTR, COMMENT, ELEM, PI, TEXT
 
-_TOKEN = re.compile(r"""\s*(//|/|\.\.|\.|@|::|\[|\]|\(|\)|\||,|!=|<=|>=|=|<|>|\*|"[^"]*"|'[^']*'|\d+(?:\.\d+)?|[A-Za-z_][\w.-]*(?::(?!:)(?:[A-Za-z_][\w.-]*|\*))?)""")
+_TOKEN = re.compile(r"""\s*(//|/|\.\.|\.|@|::|\[|\]|\(|\)|\||,|\+|-|!=|<=|>=|=|<|>|\*|"[^"]*"|'[^']*'|\d+(?:\.\d+)?|[A-Za-z_][\w.-]*(?::(?!:)(?:[A-Za-z_][\w.-]*|\*))?)""")
 _KINDS = {"text": TEXT, "comment": COMMENT, "processing-instruction": PI}
 _OPS = {"=": "eq", "!=": "ne", "<": "lt", "<=": "le", ">": "gt", ">=": "ge"}
+_ARITHMETIC = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "div": fn.divide, "mod": lambda a, b: a % F.nullif(b, F.lit(0.0))}
+_TESTS = {"contains": Column.contains, "starts-with": Column.startswith, "ends-with": Column.endswith, "matches": lambda v, p: fn.matches(v, p)}
 _FLIP = {"=": "=", "!=": "!=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
 
 
@@ -110,11 +114,23 @@ class _Parser:
         return out
 
     def compare(self):
-        left = self.operand()
+        left = self.terms()
         if self.peek() in _OPS:
-            return "compare", self.take(), left, self.operand()
+            return "compare", self.take(), left, self.terms()
         return left
 
+    def terms(self):
+        out = self.factors()
+        while self.peek() in ("+", "-"):
+            out = ("arithmetic", self.take(), out, self.factors())
+        return out
+
+    def factors(self):
+        out = self.operand()
+        while self.peek() in ("*", "div", "mod"):
+            out = ("arithmetic", self.take(), out, self.operand())
+        return out
+
     def operand(self):
         x = self.peek()
         if x == "(":
@@ -153,7 +169,7 @@ def _merged(steps):
 def _positional(p) -> bool:
     if p[0] == "number" or p[0] == "call" and p[1] in ("position", "last"):
         return True
-    return p[0] in ("and", "or", "compare") and any(_positional(x) for x in p[1:] if isinstance(x, tuple))
+    return p[0] in ("and", "or", "compare", "arithmetic") and any(_positional(x) for x in p[1:] if isinstance(x, tuple))
 
 
 def _test(axis: str, test: tuple, namespaces: dict[str, str]) -> Column | None:
@@ -234,15 +250,16 @@ class XPath:
             return now, ~a if p[1] == "not" else a
         if p[0] == "path":
             return self._exists(now, p, None, n)
-        if p[0] == "call" and p[1] in ("contains", "starts-with"):
-            needle = p[2][1][1]
-            return self._exists(now, p[2][0], lambda v: v.contains(needle) if p[1] == "contains" else v.startswith(needle), n)
+        if p[0] == "call" and p[1] in _TESTS:
+            return self._exists(now, p[2][0], lambda v: _TESTS[p[1]](v, p[2][1][1]), n)
         if p[0] == "compare":
             _, op, a, b = p
             if a[0] != "path" and b[0] == "path":
                 op, a, b = _FLIP[op], b, a
             if a[0] == "path" and b[0] in ("string", "number"):
                 return self._exists(now, a, lambda v: _compared(op, v, b), n)
+            if a[0] == "path" and b[0] == "path":
+                return self._matching(now, a, b, op, n)
             now, x = self._scalar(now, a, 2 * n + 1)
             now, y = self._scalar(now, b, 2 * n + 2)
             return now, _apply(op, x, y)
@@ -257,6 +274,16 @@ class XPath:
             name = f"__count{n}"
             found = self._operand(now, p[2][0]).groupBy("doc_id", "o_pre").agg(F.count("*").alias(name)).withColumnRenamed("o_pre", "pre")
             return now.join(found, ["doc_id", "pre"], "left"), F.coalesce(name, F.lit(0)).cast("double")
+        if p[0] == "arithmetic":
+            now, x = self._scalar(now, p[2], 2 * n + 1)
+            now, y = self._scalar(now, p[3], 2 * n + 2)
+            return now, _ARITHMETIC[p[1]](_number(x), _number(y))
+        if p[0] == "path" or p[0] == "call" and p[1] in ("sum", "string-length", "number"):
+            path, name, first = (p if p[0] == "path" else p[2][0]), f"__value{n}", F.min_by("text", "pre")
+            total = p[0] == "call" and p[1] == "sum"
+            found = self._texts(now, path).groupBy("doc_id", "o_pre").agg((F.sum(_number(F.col("text"))) if total else first).alias(name)).withColumnRenamed("o_pre", "pre")
+            value = F.coalesce(name, F.lit(0.0)) if total else F.length(F.coalesce(name, F.lit(""))).cast("double") if p[0] == "call" and p[1] == "string-length" else _number(F.col(name))
+            return now.join(found, ["doc_id", "pre"], "left"), value
         raise SyntaxError(f"this operand is not known: {p}")
 
     def _operand(self, now: DataFrame, p) -> DataFrame:
@@ -266,16 +293,38 @@ class XPath:
             start = start.select("doc_id", "o_pre").join(axes.roots(self.nodes), "doc_id")
         return self._run(start, steps, ("o_pre",))
 
-    def _exists(self, now: DataFrame, p, holds, n: int) -> tuple[DataFrame, Column]:
+    def _texts(self, now: DataFrame, p) -> DataFrame:
+        """The nodes of a path in a predicate with their string values; attributes and texts need no join for theirs."""
         found = self._operand(now, p)
-        if holds is not None:
-            found = axes.string_value(found, self.nodes) if any(x[0] not in ("attribute",) and x[1][0] != "text" for x in p[2][-1:]) else found.withColumn("text", F.col("value"))
-            found = found.where(holds(F.col("text")))
+        return axes.string_value(found, self.nodes) if any(x[0] != "attribute" and x[1][0] != "text" for x in p[2][-1:]) else found.withColumn("text", F.col("value"))
+
+    def _matching(self, now: DataFrame, a, b, op: str, n: int) -> tuple[DataFrame, Column]:
+        """Two paths: true if any pair of their values compares so. Equality is an equi join; order needs only the least and greatest values."""
+        name, keys = f"__is{n}", ["doc_id", "o_pre"]
+        x, y = (self._texts(now, p).select(*keys, F.col("text").alias(c)) for p, c in ((a, "x"), (b, "y")))
+        if op == "=":
+            found = x.join(y.withColumnRenamed("y", "x"), [*keys, "x"], "left_semi")
+        else:
+            # all pairs are equal only if both sides have one and the same value
+            of = (lambda c: c) if op == "!=" else _number
+            bounds = lambda d, c: d.groupBy(*keys).agg(F.min(of(F.col(c))).alias(f"{c}0"), F.max(of(F.col(c))).alias(f"{c}1"))
+            x0, x1, y0, y1 = map(F.col, ("x0", "x1", "y0", "y1"))
+            some = {"!=": (x0 != y1) | (x1 != y0), "<": x0 < y1, "<=": x0 <= y1, ">": x1 > y0, ">=": x1 >= y0}[op]
+            found = bounds(x, "x").join(bounds(y, "y"), keys).where(some)
+        found = found.select("doc_id", F.col("o_pre").alias("pre"), F.lit(True).alias(name)).distinct()
+        return now.join(found, ["doc_id", "pre"], "left"), F.coalesce(name, F.lit(False))
+
+    def _exists(self, now: DataFrame, p, holds, n: int) -> tuple[DataFrame, Column]:
+        found = self._operand(now, p) if holds is None else self._texts(now, p).where(holds(F.col("text")))
         name = f"__is{n}"
         found = found.select("doc_id", F.col("o_pre").alias("pre"), F.lit(True).alias(name)).distinct()
         return now.join(found, ["doc_id", "pre"], "left"), F.coalesce(name, F.lit(False))
 
 
+def _number(c: Column) -> Column:
+    return c.try_cast("double")
+
+
 def _apply(op: str, a: Column, b: Column) -> Column:
     return {"=": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
 

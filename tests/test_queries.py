@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from nodeloom.queries import library, paths
+from nodeloom.queries import library, paths, values
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = {**paths.QUERIES, **library.QUERIES}, {**paths.ORACLE, **library.ORACLE}
+QUERIES, ORACLE = {**paths.QUERIES, **library.QUERIES, **values.QUERIES}, {**paths.ORACLE, **library.ORACLE, **values.ORACLE}
 
 
 @pytest.fixture(scope="module")
