@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.sources.xml import ELEM
+from nodeloom.sources.xml import ATTR, ELEM
 
 
 def _found(rows: DataFrame, rule: str, message: Column) -> DataFrame:
@@ -84,3 +84,35 @@ def content_model(nodes: DataFrame, models: dict[str, str], rule: str = "content
     for name, model in models.items():
         ok = F.when(F.col("local") == name, F.coalesce("names", F.lit("")).rlike(f"^(?:{model})$")).otherwise(ok)
     return _found(hosts.where(~ok), rule, F.coalesce("names", F.lit("")))
+
+
+def attribute_use(nodes: DataFrame, element: str, *, required: list[str] = (), prohibited: list[str] = (), fixed: dict[str, str] | None = None, allowed: list[str] | None = None) -> DataFrame:
+    """Elements called ``element`` whose attributes break a declaration: missing, prohibited, other than fixed, or (with ``allowed``) not declared. One pass over the attributes."""
+    hosts = nodes.where((F.col("kind") == ELEM) & (F.col("local") == element)).select("doc_id", "pre")
+    have = nodes.where(F.col("kind") == ATTR).groupBy("doc_id", F.col("parent").alias("pre")).agg(F.map_from_entries(F.collect_list(F.struct("local", "value"))).alias("a"))
+    rows = hosts.join(have, ["doc_id", "pre"], "left").withColumn("a", F.coalesce("a", F.create_map().cast("map<string,string>")))
+    value = lambda n: F.try_element_at("a", F.lit(n))
+    known = {*(allowed or ()), *required, *(fixed or {})}
+    bad = [
+        *[F.when(value(n).isNull(), F.lit(f"required {n}")) for n in required],
+        *[F.when(value(n).isNotNull(), F.lit(f"prohibited {n}")) for n in prohibited],
+        *[F.when(value(n) != v, F.lit(f"fixed {n}")) for n, v in (fixed or {}).items()],
+    ]
+    found = F.filter(F.array(*bad), lambda x: x.isNotNull()) if bad else F.array().cast("array<string>")
+    if allowed is not None:
+        found = F.concat(found, F.transform(F.filter(F.map_keys("a"), lambda k: ~k.isin(*known)), lambda k: F.concat(F.lit("undeclared "), k)))
+    return rows.select("doc_id", "pre", F.explode(found).alias("rule")).withColumn("message", F.lit("attribute"))
+
+
+def idrefs(refs: DataFrame, id_table: DataFrame, column: str = "value") -> DataFrame:
+    """References (each word of the column) to identifiers that their document does not have."""
+    words = refs.select("doc_id", "pre", F.explode(F.split(F.trim(F.col(column)), "[ \t\r\n]+")).alias("id"))
+    return _found(words.join(id_table, ["doc_id", "id"], "left_anti"), "IDREF", F.col("id"))
+
+
+def reports(items: DataFrame, lets: dict[str, Column] | None = None, **tests: tuple[Column, Column]) -> DataFrame:
+    """Schematron reports: a row where a test holds, with its own message; ``lets`` are bound one after another and may be used by tests and messages."""
+    for name, value in (lets or {}).items():
+        items = items.withColumn(name, value)
+    fired = F.filter(F.array(*[F.when(t, F.struct(F.lit(n).alias("rule"), m.alias("message"))) for n, (t, m) in tests.items()]), lambda x: x.isNotNull())
+    return items.select("doc_id", "pre", F.explode(fired).alias("r")).select("doc_id", "pre", "r.rule", "r.message")

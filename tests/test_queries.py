@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from nodeloom.queries import library, paths, values
+from nodeloom.queries import library, paths, transforms, values
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = {**paths.QUERIES, **library.QUERIES, **values.QUERIES}, {**paths.ORACLE, **library.ORACLE, **values.ORACLE}
+QUERIES, ORACLE = {**paths.QUERIES, **library.QUERIES, **values.QUERIES, **transforms.QUERIES}, {**paths.ORACLE, **library.ORACLE, **values.ORACLE, **transforms.ORACLE}
 
 
 @pytest.fixture(scope="module")
