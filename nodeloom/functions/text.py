@@ -71,8 +71,8 @@ def parse_ietf_date(text: Column) -> Column:
     offset = F.replace(z, Lit(":"), Lit(""))
     size = F.regexp_extract(offset, "([0-9]{1,2})[0-9]{2}$", 1).try_cast("int") * 60 + F.right(offset, Lit(2)).try_cast("int")
     minutes = F.when(z == "", 0).when(z.startswith("-"), -size).when(z.startswith("+"), size)
-    for name, hours in _ZONES.items():
-        minutes = F.when(z == name, hours * 60).otherwise(minutes)
+    named = F.create_map(*[x for name, hours in _ZONES.items() for x in (Lit(name), Lit(hours * 60))])
+    minutes = F.coalesce(F.try_element_at(named, z), minutes)
     second_ = F.coalesce(g(6, 5).try_cast("decimal(16,6)"), Lit(0).cast("decimal(16,6)"))
     local = F.try_make_timestamp_ntz(year, month.cast("int"), g(1, 2).try_cast("int"), g(4, 3).try_cast("int"), g(5, 4).try_cast("int"), second_)
     good = (one | text.rlike(second)) & minutes.isNotNull() & local.isNotNull()

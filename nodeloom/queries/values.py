@@ -39,18 +39,18 @@ def _dur():
 
 _S = "(p_partkey * 60 + p_size)"
 _over("fn_durations", "part", "p_partkey", {
-    "y": (lambda: values.years_from_duration(_dur()).cast("long"), "p_size // 12"),
-    "m": (lambda: values.months_from_duration(_dur()).cast("long"), "p_size % 12"),
+    "y": (lambda: values.years_from_duration(_dur()).cast("long"), "(p_size // 12)::BIGINT"),
+    "m": (lambda: values.months_from_duration(_dur()).cast("long"), "(p_size % 12)::BIGINT"),
     "d": (lambda: values.days_from_duration(_dur()), f"{_S} // 86400"),
     "h": (lambda: values.hours_from_duration(_dur()), f"{_S} % 86400 // 3600"),
     "minute": (lambda: values.minutes_from_duration(_dur()), f"{_S} % 3600 // 60"),
     "s": (lambda: values.seconds_from_duration(_dur()).cast("double"), f"{_S} % 60 + 0.5::DOUBLE"),
-    "negative": (lambda: values.months_from_duration(values.duration(F.concat(L("-P"), C("p_size"), L("M")))).cast("long"), "-(p_size % 12)"),
+    "negative": (lambda: values.months_from_duration(values.duration(F.concat(L("-P"), C("p_size"), L("M")))).cast("long"), "-(p_size % 12)::BIGINT"),
     "none": (lambda: values.duration(F.concat(L("P"), C("p_size"), L("H"))).isNull(), "true"),
     "shown": (lambda: values.duration_text(values.duration(F.concat(L("PT"), C("p_size") + 50, L(".250S")))), "'PT' || CASE WHEN p_size + 50 >= 60 THEN '1M' ELSE '' END || ((p_size + 50) % 60) || '.25S'"),
     "zero": (lambda: values.duration_text(values.duration(L("P0D"))), "'PT0S'"),
     "later": (lambda: F.date_format(values.add_duration(F.to_timestamp_ntz(L("2024-01-31 00:00:00")), values.duration(F.concat(L("P"), C("p_size"), L("MT1H")))), "yyyy-MM-dd HH"), "strftime(TIMESTAMP '2024-01-31' + INTERVAL (p_size) MONTH + INTERVAL 1 HOUR, '%Y-%m-%d %H')"),
-    "twice": (lambda: values.days_from_duration(values.scale_duration(values.duration(F.concat(L("P"), C("p_size"), L("D"))), L(2))), "p_size * 2"),
+    "twice": (lambda: values.days_from_duration(values.scale_duration(values.duration(F.concat(L("P"), C("p_size"), L("D"))), L(2))), "(p_size * 2)::BIGINT"),
 })
 
 
@@ -76,7 +76,7 @@ _over("xs_constructors", "part", "p_partkey", {
     "unsigned": (lambda: values.castable_as(_signed(), "unsignedInt"), "p_size >= 20"),
     "positive": (lambda: values.castable_as(_signed(), "positiveInteger"), "p_size > 20"),
     "negative": (lambda: values.castable_as(_signed(), "negativeInteger"), "p_size < 20"),
-    "integer": (lambda: values.construct(F.concat(L(" "), _signed(), L("\n")), "integer").cast("long"), "p_size - 20"),
+    "integer": (lambda: values.construct(F.concat(L(" "), _signed(), L("\n")), "integer").cast("long"), "(p_size - 20)::BIGINT"),
     "decimal": (lambda: values.cast_as(F.concat(C("p_size"), L(".50")), "decimal").cast("double"), "p_size + 0.5::DOUBLE"),
     "no_decimal": (lambda: values.castable_as(F.concat(C("p_size"), L("e0")), "decimal"), "false"),
     "double": (lambda: values.cast_as(F.concat(C("p_size"), L("e1")), "double"), "p_size * 10::DOUBLE"),
@@ -97,7 +97,7 @@ _over("fn_uris", "customer", "c_custkey", {
     "html": (lambda: text.escape_html_uri(F.concat(L("javascript: '😀'"), C("c_name"))), "'javascript: ''%F0%9F%98%80''' || c_name"),
     "resolved": (lambda: text.resolve_uri(F.concat(L("../d/"), C("c_custkey")), L("http://h/a/b/c?q")), "'http://h/a/d/' || c_custkey"),
     "composed": (lambda: F.length(text.normalize_unicode(F.concat(C("c_name"), L("é")))), "length(c_name) + 1"),
-    "apart": (lambda: F.length(text.normalize_unicode(F.concat(C("c_name"), L("é")), "NFD")), "length(c_name) + 2"),
+    "apart": (lambda: F.length(text.normalize_unicode(F.concat(C("c_name"), L("é")), "NFD")).cast("long"), "length(c_name) + 2"),
 })
 
 _WORDS = "['zero','one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen','twenty','twenty-one','twenty-two','twenty-three','twenty-four']"
@@ -189,7 +189,7 @@ def catalog_resolution(spark, sf_dir):
     return resolve.catalog(uris, entries).select("c_custkey", "resolved")
 
 
-@query("SELECT n_nationkey::BIGINT AS doc_id, 4 + 2 * (n_nationkey % 3) AS size, 2 + n_nationkey % 3 AS items, n_nationkey::VARCHAR AS last FROM nation")
+@query("SELECT n_nationkey::BIGINT AS doc_id, (4 + 2 * (n_nationkey % 3))::BIGINT AS size, (2 + n_nationkey % 3)::BIGINT AS items, n_nationkey::VARCHAR AS last FROM nation")
 def xinclude(spark, sf_dir):
     """Each nation's document includes part 900 + k, which has k + 1 items; one item stands before it and one after it."""
     nations = table(spark, sf_dir, "nation")
