@@ -96,7 +96,7 @@ _over("fn_uris", "customer", "c_custkey", {
     "iri": (lambda: text.iri_to_uri(F.concat(L("http://x.y/é|"), C("c_name"))), "'http://x.y/%C3%A9%7C' || c_name"),
     "html": (lambda: text.escape_html_uri(F.concat(L("javascript: '😀'"), C("c_name"))), "'javascript: ''%F0%9F%98%80''' || c_name"),
     "resolved": (lambda: text.resolve_uri(F.concat(L("../d/"), C("c_custkey")), L("http://h/a/b/c?q")), "'http://h/a/d/' || c_custkey"),
-    "composed": (lambda: F.length(text.normalize_unicode(F.concat(C("c_name"), L("é")))), "length(c_name) + 1"),
+    "composed": (lambda: F.length(text.normalize_unicode(F.concat(C("c_name"), L("é")))).cast("long"), "length(c_name) + 1"),
     "apart": (lambda: F.length(text.normalize_unicode(F.concat(C("c_name"), L("é")), "NFD")).cast("long"), "length(c_name) + 2"),
 })
 
