@@ -36,29 +36,41 @@ DISTANCE = 3
 #: Members of a chunk of a long listing.
 CHUNK = 2048
 #: Chance that a pair at the largest distance is found, where that is too large for certainty.
-FOUND = 0.9
+FOUND = 0.99
 #: Least bits that a listing compares, and the power of two of the members that it may have by chance.
 LEAST_BITS, BY_CHANCE = 14, 8
 #: Listings up to this length are compared all at once.
 SHORT = 64
 PIECE_SHINGLES = 1 << 16
+#: Similarity from which sets link, as a fraction of whole numbers.
+SIMILAR = (4, 5)
+#: Words of the fingerprint that proposes, most bits that may differ, and the bits at which a pair is listed with chance ``FOUND``.
+#: At similarity 0.8 about 39 of 256 bits differ, with a deviation of 6; in the shortest texts 48.
+PROPOSE_WORDS, PROPOSE_WITHIN, PROPOSE_AT = 4, 64, 48
+#: Sets of a chunk of a large group of proposed links.
+CHUNK_SETS = 512
 
 
-def fingerprint(text: str | None, shingle: int = 3, words_out: int = 1) -> np.ndarray:
-    """SimHash (``words_out`` numbers of 64 bits) over shingles of words, A-Z in lower case; repeats count, a shorter text is one shingle, no words give 0."""
+def _digests(text: str | None, shingle: int):
+    """Hashes of the shingles of words, A-Z in lower case, in order and in pieces; a shorter text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(words_out, np.uint64)
+        return
     line = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
     starts = ends - size
     n = max(1, len(words) - shingle + 1)
     lows, highs = starts[:n].tolist(), (ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]).tolist()
-    ones = np.zeros(64 * words_out, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, PIECE_SHINGLES):
-        part = np.array([digest(line[a:b], SEED) for a, b in zip(lows[at : at + PIECE_SHINGLES], highs[at : at + PIECE_SHINGLES], strict=True)], "<u8")
+        yield np.array([digest(line[a:b], SEED) for a, b in zip(lows[at : at + PIECE_SHINGLES], highs[at : at + PIECE_SHINGLES], strict=True)], "<u8")
+
+
+def _majority(pieces, words_out: int) -> np.ndarray:
+    ones, n = np.zeros(64 * words_out, np.int64), 0
+    for part in pieces:
+        n += len(part)
         if words_out > 1:
             part = np.stack([part, *(_remix(part, k) for k in range(1, words_out))], axis=1)
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8 * words_out), axis=1, bitorder="little")
@@ -67,6 +79,21 @@ def fingerprint(text: str | None, shingle: int = 3, words_out: int = 1) -> np.nd
     return np.packbits(2 * ones > n, bitorder="little").view("<u8")
 
 
+def fingerprint(text: str | None, shingle: int = 3, words_out: int = 1) -> np.ndarray:
+    """SimHash (``words_out`` numbers of 64 bits) over shingles of words; repeats count, no words give 0."""
+    return _majority(_digests(text, shingle), words_out)
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *_digests(text, shingle)]))
+
+
+def _unit(members: np.ndarray) -> int:
+    """Number of a shingle set, as a signed long."""
+    return _signed(xxhash.xxh3_64_intdigest(members.tobytes()))
+
+
 def _remix(h: np.ndarray, k: int) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93 + 2 * k)
     h ^= h >> np.uint64(29)
@@ -169,27 +196,129 @@ def _pairs_of(batches, distance: int):
         yield links(*held)
 
 
-def near_links(reps: DataFrame, distance: int = DISTANCE, words: int = 1) -> DataFrame:
-    """(fp, rep), both unique, to links (a, b) between reps whose components are those of all pairs within the distance."""
-    spark = reps.sparkSession
-    names = [f"word{w}" for w in range(words)]
-    keys = [
-        F.xxhash64(F.lit(i), *(F.col(name).bitwiseAND(F.lit(_signed(m))) for name, m in zip(names, mask, strict=True) if m))
-        for i, mask in enumerate(block_choices(reps.count(), distance, words))
-    ]
-    listed = reps.select(*(F.element_at("fp", w + 1).alias(name) for w, name in enumerate(names)), "rep")
-    listed = listed.select(*names, "rep", F.explode(F.array(*keys)).alias("key"))
+def _deal(listed: DataFrame, columns: list[str], chunk: int, counted: DataFrame | None = None) -> DataFrame:
+    """``task`` and the columns, sorted by task in each partition: any two rows with one key meet in a task.
+
+    Keys with over ``chunk`` rows go to tasks by pairs of chunks, split by ``rep``. ``counted`` has the keys of ``listed`` if those cost much.
+    """
+    spark = listed.sparkSession
     # read from a table, so that its size is known when the join is planned
-    sizes = listed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
-    long, _ = common.store(sizes.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "long-listings")
+    sizes = (listed if counted is None else counted).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+    long, _ = common.store(sizes.select("key", F.ceil(F.col("n") / chunk).cast("int").alias("parts")), "long-listings")
     dealt = listed.join(long, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     # chunk c meets every chunk: the task (i, j), i <= j, gets the members of both
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.where((F.col("parts") == 1) | (F.col("parts") == 2) & (F.col("other") == 0) | (F.col("parts") > 2) & (F.col("own") != F.col("other")))
     task = F.when(F.col("parts") <= 2, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    dealt = dealt.select(task.alias("task"), *names, "rep").repartition(common.shuffle_partitions(spark), "task").sortWithinPartitions("task")
-    return dealt.mapInArrow(lambda batches: _pairs_of(batches, distance), "a long, b long")
+    return dealt.select(task.alias("task"), *columns).repartition(common.shuffle_partitions(spark), "task").sortWithinPartitions("task")
+
+
+def near_links(reps: DataFrame, distance: int = DISTANCE, words: int = 1, listed_at: int | None = None) -> DataFrame:
+    """(fp, rep) with unique reps to links (a, b) between reps whose components are those of all pairs within the distance.
+
+    With several words, the blocks are as many as find a pair at ``listed_at`` bits (the distance, if not given) with chance ``FOUND``.
+    """
+    names = [f"word{w}" for w in range(words)]
+    keys = [
+        F.xxhash64(F.lit(i), *(F.col(name).bitwiseAND(F.lit(_signed(m))) for name, m in zip(names, mask, strict=True) if m))
+        for i, mask in enumerate(block_choices(reps.count(), listed_at or distance, words))
+    ]
+    listed = reps.select(*(F.element_at("fp", w + 1).alias(name) for w, name in enumerate(names)), "rep")
+    listed = listed.select(*names, "rep", F.explode(F.array(*keys)).alias("key"))
+    return _deal(listed, [*names, "rep"], CHUNK).mapInArrow(lambda batches: _pairs_of(batches, distance), "a long, b long")
+
+
+def _similar(sets: list[np.ndarray], reps: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets whose similarity (common by all members) is ``SIMILAR`` or more."""
+    top, bottom = SIMILAR
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    edge = np.concatenate([[0], np.cumsum(size)])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holders = np.repeat(np.arange(len(sets)), size)[np.argsort(ids, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=1))])
+    label = np.arange(len(sets))
+    out = []
+    for i in range(len(sets) - 1):
+        may = (label != label[i]) & (bottom * np.minimum(size, size[i]) >= top * np.maximum(size, size[i]))
+        may[: i + 1] = False
+        if not may.any():
+            continue
+        common_ = np.zeros(len(sets), np.int64)
+        for at in range(edge[i], edge[i + 1], 4096):
+            mine = ids[at : min(at + 4096, edge[i + 1])]
+            n = first[mine + 1] - first[mine]
+            common_ += np.bincount(holders[np.repeat(first[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
+        near = np.flatnonzero(may & (bottom * common_ >= top * (size + size[i] - common_)))
+        others, at = np.unique(label[near], return_index=True)
+        for other, j in zip(others.tolist(), near[at].tolist(), strict=True):
+            label[label == other] = label[i]
+            out.append((int(reps[i]), int(reps[j])))
+    return out
+
+
+def _similar_of(batches):
+    """Links of similar sets within runs of one task; rows come sorted by it."""
+    task, sets, reps = None, [], []
+
+    def links():
+        once = dict(zip(reps, sets, strict=True))
+        found = _similar(list(once.values()), np.array(list(once), np.int64)) if len(once) > 1 else []
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for now, rep, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now != task:
+                yield links()
+                task, sets, reps = now, [], []
+            sets.append(np.frombuffer(members, "<u8"))
+            reps.append(rep)
+    yield links()
+
+
+def _units(docs: DataFrame, keep: list[str], added: dict[str, T.DataType], of_text) -> DataFrame:
+    """The columns ``keep`` and those that ``of_text`` gives for each text."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [of_text(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*keep, *added])
+
+    kinds = [{"fp": pa.list_(pa.int64()), "rep": pa.int64(), "members": pa.binary()}[n] for n in added]
+    schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(n, t) for n, t in added.items())])
+    return docs.select(*keep, "text").mapInArrow(run, schema)
+
+
+def first_of_near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(doc_id, row, text), with a number ``row`` that differs for different rows, to (doc_id, row, copies) of the row with the least (doc_id, row) in each
+    group of near copies, with the number of its exact repeats. Rows with a null doc_id link others but are never the first.
+
+    SimHash blocks over distinct shingles only propose: the components of proposed links are compared by their exact sets, all pairs, and
+    those with a similarity of ``SIMILAR`` or more link.
+    """
+
+    def print_of(text):
+        members = shingle_set(text, shingle)
+        pieces = (members[at : at + PIECE_SHINGLES] for at in range(0, len(members), PIECE_SHINGLES))
+        return _majority(pieces, PROPOSE_WORDS).view(np.int64), _unit(members)
+
+    def set_of(text):
+        members = shingle_set(text, shingle)
+        return _unit(members), members.tobytes()
+
+    prints, _ = common.store(_units(docs, ["doc_id", "row"], {"fp": T.ArrayType(T.LongType()), "rep": T.LongType()}, print_of), "prints")
+    by_row = prints.groupBy("rep", "doc_id", "row").agg(F.first("fp").alias("fp"), F.count("*").alias("copies"))
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row", "copies"))
+    reps, _ = common.store(by_row.groupBy("rep").agg(F.first("fp").alias("fp"), F.min(named).alias("name"), F.min("row").alias("row")), "reps")
+    proposed, _ = common.store(components(near_links(reps.select("fp", "rep"), PROPOSE_WITHIN, PROPOSE_WORDS, PROPOSE_AT)), "proposed")
+    ours, _ = common.store(proposed.join(reps, proposed["node"] == reps["rep"]).select(F.col("component").alias("key"), "row"), "proposed-rows")
+    sets = _units(docs.join(ours, "row"), ["key"], {"rep": T.LongType(), "members": T.BinaryType()}, set_of)
+    links = _deal(sets, ["rep", "members"], CHUNK_SETS, ours).mapInArrow(_similar_of, "a long, b long")
+    found = components(links)
+    joined = reps.join(found, reps["rep"] == found["node"], "left").select("name", F.coalesce("component", "rep").alias("root"))
+    return joined.groupBy("root").agg(F.min("name").alias("name")).where(F.col("name").isNotNull()).select("name.*")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = DISTANCE, words: int = 1) -> DataFrame:

@@ -338,3 +338,39 @@ def test_pipeline(spark):
     assert kept.columns == corpus_pipeline.COLUMNS
     assert kept.select("text").distinct().count() == kept.count()
     assert corpus_pipeline.run(spark, SF).agg(F.count("*")).first()[0] > 0
+
+
+def shingles_of(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_dedup_stage_compares_exactly(spark):
+    """Pairs a little above 0.8 lose one text, pairs a little below none."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows, want = [], set()
+    for i in range(200):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(120)]
+        k = rng.choice([12, 13, 14, 15, 17])
+        a, b = " ".join(words), " ".join(words[:-k] + [f"v{rng.randrange(10**9)}" for _ in range(k)])
+        x, y = shingles_of(a), shingles_of(b)
+        rows += [(2 * i, a, None, None, None), (2 * i + 1, b, None, None, None)]
+        want |= {2 * i} if 5 * len(x & y) >= 4 * len(x | y) else {2 * i, 2 * i + 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    assert not got - want - {r[0] for r in rows if r[0] % 2} and want <= got  # nothing that differs goes
+    assert len(got - want) <= 2  # chance of a pair that no block lists: 1 in 500
+
+
+@pytest.mark.parametrize("chunk", [512, 3])
+def test_similar_sets_of_a_large_group(spark, monkeypatch, chunk):
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash, "CHUNK_SETS", chunk)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base[:i] + ["x%d" % i] + base[i + 1 :]) for i in range(3, 90, 4)] + ["other words " * 9, ""]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    assert got == {0, len(texts) - 2, len(texts) - 1}
