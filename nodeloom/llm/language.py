@@ -133,7 +133,9 @@ def _counts(batches):
 def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
     """Fit on (text, lang) rows; those with a null text or lang are left out. No rows give a model that knows no language."""
     rows = labelled.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # distinct texts count, so that copies don't thin out the sample
+    distinct = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
+    sizes = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     code = codewords(len(langs))
     if not langs:

@@ -96,6 +96,16 @@ def test_language_edges(docs, none):
     assert all(len(np.unique(language.codewords(k), axis=0)) == k for k in (2, 4, 6, 9, 30))
 
 
+def test_language_sample_of_copies(spark):
+    """Few texts that are copied often are all learned."""
+    few = [(f"zug {i} wagen nach osten und westen {i * 7}", "de") for i in range(20)]
+    many = [("der bahnhof liegt im tal", "de")] * 4000
+    other = [(f"the train {i} goes north and south {i * 3}", "en") for i in range(20)]
+    labelled = spark.createDataFrame(few + many + other, "text string, lang string")
+    model, whole = language.train(labelled, 50), language.train(labelled.distinct(), 50)
+    assert (model.weights == whole.weights).all() and (model.trust == whole.trust).all()
+
+
 def test_pii(spark, none):
     texts = ["mail Ann.B7@mail3.example.com now", "ann.b7@mail3.example.com and 10.1.2.3.", "card 4111 1111 1111 1111, 4111111111111111", "+1 (017) 555-7713 or +1-017-555-7713", "Mrs. Smith met Herr Braun-Weber", 'token = "' + "0a1b2c3d" * 5 + '"', "plain", None, "", "господин Иванов 12"]
     df = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)], "doc_id long, text string, n_entities int")
