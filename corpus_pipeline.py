@@ -21,9 +21,15 @@ def row_number_of(columns: list[str]) -> F.Column:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language (null or no letter) go."""
+    """``lang`` becomes the decoded language. Documents without a letter go, and those whose decoding is ambiguous (``language.AMBIGUOUS_BELOW``).
+
+    Without any label to learn from, nothing is decoded: documents with a letter stay as they are.
+    """
     model = language.train(docs.where(~language.held_out("doc_id")))
-    return language.identify(docs, model, COLUMNS).where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
+    if not model.langs:
+        return docs.where(F.col("text").rlike("\\p{L}")).select(*COLUMNS)
+    found = language.identify(docs, model, COLUMNS).where((F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous"))
+    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

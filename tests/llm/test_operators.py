@@ -384,3 +384,16 @@ def test_similar_sets_of_a_large_group(spark, monkeypatch, chunk):
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
     assert got == {0, len(texts) - 2, len(texts) - 1}
+
+
+def test_language_stage_uses_its_decisions(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    more = spark.createDataFrame([(-1, "a", "en", None, 1), (-2, "the of and to in that the of and the", None, None, 36), (-3, "12 !", "en", None, 4)], docs.schema)
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_id(spark, docs.unionByName(more), SF).where("doc_id < 0").collect()}
+    assert got == {-2: "en"}
+    kept = corpus_pipeline.language_id(spark, docs, SF)
+    assert kept.count() >= 0.99 * docs.where(F.col("text").rlike("\\p{L}")).count() and kept.where("lang is null").isEmpty()
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, unlabelled, SF).count() == docs.where(F.col("text").rlike("\\p{L}")).count()
