@@ -51,8 +51,14 @@ def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the one in which a source's budget ends is cut to the words that are left."""
-    taken = mixing.mix(docs.select("doc_id", "text", "source")).select("doc_id", "size", "taken").where(F.col("taken") > 0)
-    rows = docs.select(*COLUMNS).join(taken, "doc_id")
+    rows = docs.select(*COLUMNS).withColumn("row", row_number_of(COLUMNS))
+    taken = mixing.mix(rows.select("doc_id", "text", "source", "row"), keep=("row",)).groupBy("row")
+    taken = taken.agg(F.first("size").alias("size"), F.sum("taken").alias("taken"), F.count("*").alias("copies")).where(F.col("taken") > 0)
+    taken, _ = common.store(taken, "taken")
+    if not taken.where("copies > 1").isEmpty():  # equal rows are taken together
+        again = rows.join(taken.where("copies > 1").select("row"), "row", "left_semi").dropDuplicates(["row"])
+        rows = rows.join(taken.where("copies > 1").select("row"), "row", "left_anti").unionByName(again)
+    rows = rows.join(taken, "row")
     words = F.split(F.trim(F.translate("text", "\t\n\x0b\x0c\r", " " * 5)), " +")
     part = (F.col("taken") % F.col("size")).cast("int")
     whole = F.array_repeat(F.col("text"), F.floor(F.col("taken") / F.col("size")).cast("int"))

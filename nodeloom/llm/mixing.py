@@ -64,17 +64,17 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return rows.select("source", "source_size", F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("water") * F.col("w"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, buckets: int = BUCKETS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of each row of (doc_id, text, source).
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, buckets: int = BUCKETS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) and the columns ``keep`` of each row of (doc_id, text, source).
 
     Sizes are words; a null text has none. ``taken`` counts repeats: complete epochs
     give every document its size, then documents follow in the order of their keys, and the one in which the budget
-    ends gives the words that are left. Rows that repeat an id have one key: they are ordered by size and then as they come, so equal rows
+    ends gives the words that are left. Rows that repeat an id have one key: they are ordered by size, by the columns ``keep`` and then as they come, so equal rows
     share the outcome among them. A source without words has target 0. No rows give no rows.
     """
     size = word_count("text")
-    rows = docs.select("doc_id", "source", size.alias("size"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"))
-    rows = rows.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"))) / quality_weight(F.col("n_chars"), F.col("size"))).alias("key"))
+    rows = docs.select("doc_id", "source", *keep, size.alias("size"), F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"))
+    rows = rows.select("doc_id", "source", *keep, "size", (-F.log(uniform(F.col("doc_id"))) / quality_weight(F.col("n_chars"), F.col("size"))).alias("key"))
     # 1 - exp(-key): even over (0, 1) for weight 1, so buckets hold like numbers of rows
     rows = rows.withColumn("bucket", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * buckets).cast("int"))
     rows, _ = common.store(rows, "mix")
@@ -91,12 +91,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     ends = ends.select(F.col("source").alias("of"), "source_size", "target", "epochs", "budget", "last", (F.col("end.upto") - F.col("end.within")).alias("before"))
     rows = rows.join(ends, rows["source"].eqNullSafe(ends["of"])).drop("of")
     inside = F.col("last").isNotNull() & (F.col("bucket") == F.col("last"))
-    so_far = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("source").orderBy("key", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     edge = rows.where(inside).withColumn("left", F.col("budget") - F.col("before") - F.coalesce(F.sum("size").over(so_far), F.lit(0)))
     edge = edge.withColumn("extra", F.least("size", F.greatest("left", F.lit(0)))).drop("left")
     rest = rows.where(~inside).withColumn("extra", F.when(F.col("last").isNull() | (F.col("bucket") < F.col("last")), F.col("size")).otherwise(F.lit(0)))
     rest = rest.withColumn("extra", F.when(F.col("budget") > 0, F.col("extra")).otherwise(F.lit(0)))
-    return edge.unionByName(rest).select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).alias("taken"))
+    return edge.unionByName(rest).select("doc_id", *keep, "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).alias("taken"))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -397,3 +397,18 @@ def test_language_stage_uses_its_decisions(spark):
     assert kept.count() >= 0.99 * docs.where(F.col("text").rlike("\\p{L}")).count() and kept.where("lang is null").isEmpty()
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert corpus_pipeline.language_id(spark, unlabelled, SF).count() == docs.where(F.col("text").rlike("\\p{L}")).count()
+
+
+def test_stages_keep_rows_without_or_with_shared_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(30)) for _ in range(8)]
+    ids = [None, None, 4, 4, 5, 6, 7, None]
+    rows = [(i, t, "en", "s", len(t)) for i, t in zip(ids, texts, strict=True)] + [(5, texts[4], "en", "s", len(texts[4])), (None, texts[0], "en", "s", len(texts[0])), (9, texts[6], "en", "s", len(texts[6]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert Counter(kept) == Counter([*zip(ids, texts, strict=True), (None, texts[0])])
+    mixed = corpus_pipeline.mixing_sources(spark, docs, SF).collect()
+    words = sum(len(r["text"].split()) for r in mixed)
+    assert words == int(1.5 * 30 * len(rows)) and sum(len(r["text"].split()) == 30 and r["doc_id"] is None for r in mixed) >= 4
