@@ -25,7 +25,7 @@ CAPACITY = 1024
 END_ID = 0
 #: Shortest piece that is cut off; what remains below it is the tail.
 LEAST_CUT = 64
-CHUNK_CHARS = 1 << 19
+CHUNK_BYTES = 1 << 22
 
 
 class Packer:
@@ -124,9 +124,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.schema.field(0).type
-            doc_ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            for at, to in unit_tokens.chunks(texts, CHUNK_CHARS):
-                ids, counts = encoder.encode(texts[at:to])
+            doc_ids = batch.column(0).to_pylist()
+            for at, to in unit_tokens.chunks(batch.column(1), CHUNK_BYTES):
+                ids, counts = encoder.encode(batch.column(1).slice(at, to - at))
                 ids = ids.astype("<u4")
                 edge = 0
                 for doc_id, n in zip(doc_ids[at:to], counts.tolist(), strict=True):

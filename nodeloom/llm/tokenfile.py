@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from . import common, unit_tokens
 
 END_ID = 1
-CHUNK_CHARS = 1 << 19
+CHUNK_BYTES = 1 << 22
 BLOCK_BYTES = 1 << 20
 
 #: Lengths of the four numbers that a control byte stands for.
@@ -52,8 +52,18 @@ def encode_numbers(numbers: np.ndarray) -> tuple[bytes, bytes]:
 
 def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all 16-bit ids of a binary column in a row, number of ids of each row)."""
-    lengths = pa.compute.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 2
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2"), lengths
+    lengths = pa.compute.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    _, offsets, data = column.buffers()
+    first = int(np.frombuffer(offsets, np.int32, 1, 4 * column.offset)[0]) if len(column) else 0
+    return np.frombuffer(data or b"", "<u2", int(lengths.sum()) // 2, first) if len(column) else np.zeros(0, "<u2"), lengths // 2
+
+
+def _rows_of(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The bytes of ``data`` as a binary column of rows with ``lengths`` bytes."""
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    kind, offset = (pa.binary(), np.int32) if ends[-1] < 1 << 31 else (pa.large_binary(), np.int64)
+    made = pa.Array.from_buffers(kind, len(lengths), [None, pa.py_buffer(ends.astype(offset)), pa.py_buffer(np.ascontiguousarray(data))])
+    return made.cast(pa.binary())
 
 
 def _cut(data: bytes, lengths: np.ndarray) -> list[bytes]:
@@ -90,19 +100,20 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
         encoder = unit_tokens.encoder(tokenizer, True)
         if encoder.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary does not fit 16 bits")
-        tail = end_id.to_bytes(2, "little")
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for at, to in unit_tokens.chunks(texts, CHUNK_CHARS):
-                ids, counts = encoder.encode(texts[at:to])
+            for at, to in unit_tokens.chunks(batch.column(1), CHUNK_BYTES):
+                ids, counts = encoder.encode(batch.column(1).slice(at, to - at))
                 total += np.bincount(ids, minlength=1 << 16)
                 total[end_id] += to - at
-                data = ids.astype("<u2").tobytes()
-                ends = 2 * np.cumsum(counts)
-                out = [data[a:b] + tail for a, b in zip((ends - 2 * counts).tolist(), ends.tolist(), strict=True)]
+                last = np.cumsum(counts + 1) - 1
+                data = np.empty(len(ids) + len(counts), "<u2")
+                inner = np.ones(len(data), bool)
+                inner[last] = False
+                data[inner] = ids
+                data[last] = end_id
                 doc_ids = batch.column(0).slice(at, to - at).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(out, pa.binary()), pa.nulls(to - at, pa.list_(pa.int64())), pa.nulls(to - at, pa.list_(pa.int64()))], names)
+                yield pa.RecordBatch.from_arrays([doc_ids, _rows_of(data, 2 * (counts + 1)), pa.nulls(to - at, pa.list_(pa.int64())), pa.nulls(to - at, pa.list_(pa.int64()))], names)
         used = np.flatnonzero(total)
         counts = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (used, total[used])]
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), *counts], names)

@@ -8,7 +8,7 @@ a text are the ids of its units in a row:
   reaches over such a place, and the look-ahead for white space never leaves its unit;
 * word vocabulary, which drops white space: at spaces and line feeds.
 
-Units are encoded by ``encode_batch_fast``, words of plain letters many at a time. A worker remembers up to ``REMEMBER`` of them; beyond that it forgets those
+Arrow cuts the texts and finds the distinct units of a chunk, so that Python sees each of those once. Units are encoded by ``encode_batch_fast``, words of plain letters many at a time. A worker remembers up to ``REMEMBER`` of them; beyond that it forgets those
 that it has met once. A full stop or comma after a letter is a token of its own, so a unit that ends with one
 takes the ids of the word before it.
 """
@@ -20,10 +20,14 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 REMEMBER = 800_000
+#: Bytes above which a text is encoded in parts.
+LONG = 1 << 23
 #: Words encoded as one text.
-JOINED = 512
+JOINED = 64
 
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
@@ -42,6 +46,7 @@ class UnitTokens:
         self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.edge[i] = token.endswith("</w>") if drops_space else token.startswith("\u0120")
+        self.stops = {x: self._encode([x])[0][0] for x in ".,"}
         self._forget()
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
@@ -51,8 +56,8 @@ class UnitTokens:
         self.index: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.start = np.zeros(1 << 12, np.int64)
-        self.size = np.zeros(1 << 12, np.int64)
+        self.start = np.zeros(1 << 12, np.int32)
+        self.size = np.zeros(1 << 12, np.int32)
         self.met = np.zeros(1 << 12, np.int64)
         self.unsure = np.zeros(1 << 12, bool)
 
@@ -64,50 +69,66 @@ class UnitTokens:
             keep = np.sort(keep[np.argsort(self.met[keep], kind="stable")[-(REMEMBER // 2) :]])
         units = list(self.index)
         sizes = self.size[keep]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(total) + np.repeat(self.start[keep] - (ends - sizes), sizes)]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        ids = self.ids[_spans(self.start[keep], sizes)]
         met, unsure = self.met[keep] // 2, self.unsure[keep]
         self._forget()
         self.index = {units[i]: n for n, i in enumerate(keep.tolist())}
         self.ids = np.concatenate([ids, np.zeros(1 << 16, np.uint32)])
-        self.used = total
-        spare = np.zeros(1 << 12, np.int64)
-        self.start, self.size, self.met = np.concatenate([ends - sizes, spare]), np.concatenate([sizes, spare]), np.concatenate([met, spare])
-        self.unsure = np.concatenate([unsure, spare > 0])
-
-    def _ids_of(self, units: list[str]) -> list[list[int]]:
-        """Ids of units that aren't known, those that end with a stop from the word before it."""
-        stem = {x: x[:-1] for x in units if x[-1:] in (".", ",") and x[-2:-1].isalpha() and x[-2] < "\u0130"}
-        got, single, words = {}, [], []
-        for x in {stem.get(x, x) for x in units}:
-            (words if x.isalpha() and max(x) < "\u0130" else single).append(x)
-        for at in range(0, len(words), JOINED):
-            part = words[at : at + JOINED]
-            ids = self._encode([" " + " ".join(part)])[0]
+        self.used = len(ids)
+        self.start, self.size, self.met, self.unsure = (np.concatenate([x, np.zeros(1 << 12, x.dtype)]) for x in ((ends - sizes).astype(np.int32), sizes, met, unsure))
+
+    def _ids_of(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, number of ids of each) of units that aren't known, those that end with a stop from the word before it."""
+        stem, end = [], []
+        for x in units:
+            stop = self.stops.get(x[-1:], -1)
+            if stop >= 0 and x[-2:-1].isalpha() and x[-2] < "\u0130":
+                stem.append(x[:-1])
+                end.append(stop)
+            else:
+                stem.append(x)
+                end.append(-1)
+        place = dict.fromkeys(stem)
+        words, single = [], []
+        for x in place:
+            (words if x.isalpha() and (x.isascii() or max(x) < "\u0130") else single).append(x)
+        parts = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        order, flat, sizes = [], [], []
+        for part, got in zip(parts, self._encode([" " + " ".join(x) for x in parts]), strict=True):
+            ids = np.array(got, np.uint32)
             edge = np.flatnonzero(self.edge[ids])
             if len(edge) != len(part):
                 single += part
                 continue
-            cuts = [0, *(edge + 1).tolist()] if self.drops_space else [*edge.tolist(), len(ids)]  # a word's last token, or its first
-            got.update({x: ids[a:b] for x, a, b in zip(part, cuts, cuts[1:], strict=False)})
-        got.update(zip(single, self._encode(single if self.drops_space else [_spelled(x) for x in single]), strict=True))
-        stop = dict(zip(".,", self._encode([".", ","]), strict=True)) if stem else {}
-        return [got[stem[x]] + stop[x[-1]] if x in stem else got[x] for x in units]
+            order += part
+            flat.append(ids)
+            sizes.append(np.diff(edge, prepend=-1) if self.drops_space else np.diff(edge, append=len(ids)))  # a word's last token, or its first
+        got = self._encode(single if self.drops_space else [_spelled(x) for x in single])
+        order += single
+        sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+        flat.append(np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(sizes[-1].sum())))
+        place.update(zip(order, range(len(order)), strict=True))
+        end, flat, sizes = np.array(end, np.int64), np.concatenate(flat), np.concatenate(sizes)
+        at = np.fromiter(map(place.__getitem__, stem), np.int64, len(stem))
+        counts = sizes[at] + (end >= 0)
+        ids = np.empty(int(counts.sum()), np.uint32)
+        last = np.cumsum(counts) - 1
+        body = np.ones(len(ids), bool)
+        body[last[end >= 0]] = False
+        ids[body] = flat[_spans((np.cumsum(sizes) - sizes)[at], sizes[at])]
+        ids[last[end >= 0]] = end[end >= 0]
+        return ids, counts
 
     def _learn(self, units: list[str]) -> None:
         for at in range(0, len(units), 20_000):
             part = units[at : at + 20_000]
-            got = self._ids_of(part)
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(sizes.sum()))
+            flat, sizes = self._ids_of(part)
             first, n = len(self.index), len(part)
             if self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.uint32)])
             if first + n > len(self.start):
-                more = np.zeros(max(len(self.start), n), np.int64)
-                self.start, self.size, self.met = (np.concatenate([x, more]) for x in (self.start, self.size, self.met))
-                self.unsure = np.concatenate([self.unsure, more > 0])
+                self.start, self.size, self.met, self.unsure = (np.concatenate([x, np.zeros(max(len(x), n), x.dtype)]) for x in (self.start, self.size, self.met, self.unsure))
             self.ids[self.used : self.used + len(flat)] = flat
             self.size[first : first + n] = sizes
             self.start[first : first + n] = self.used + np.cumsum(sizes) - sizes
@@ -115,48 +136,95 @@ class UnitTokens:
             self.unsure[first : first + n] = False if self.drops_space else [self._unsure(x) for x in part]
             self.index.update(zip(part, range(first, first + n), strict=True))
 
-    def _units(self, text: str, with_care: bool = False) -> list[str]:
-        """A unit is named by what follows its space; \\x00 stands for a line feed, and \\x00\\x00 opens a text."""
+    def _units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(units of all texts in a row, number of units of each). A unit is named by what follows its space; \\x00 stands for a line feed, and \\x00\\x00 opens a text."""
         if self.drops_space:
-            return text.replace("\n", " ").split(" ")
-        if not text:
-            return []
-        if with_care or "\x00" in text:
-            return ["\x00\x00" + x for x in _CUT.split(text)]
-        units = text.replace("\n", " \x00").split(" ")
-        units[0] = "\x00\x00" + units[0]
-        return units
+            texts = pc.replace_substring(texts, "\n", " ")
+        else:
+            texts = pc.binary_join_element_wise("\x00\x00", pc.replace_substring(texts, "\n", " \x00"), "")
+        split = pc.split_pattern(texts, " ")
+        return split.flatten(), np.diff(split.offsets.to_numpy())
 
     def _unsure(self, unit: str) -> bool:
         """Whether white space touches an end of the unit, so that the places where it was cut may not be cuts."""
         bare = unit.lstrip("\x00")
         return not bare or bare[0].isspace() or bare[-1].isspace()
 
-    def _indices(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        units = list(itertools.chain.from_iterable(split))
-        missing = [x for x in set(units) if x not in self.index]
-        if missing:
-            self._learn(missing)
-        return np.fromiter(map(self.index.__getitem__, units), np.int64, len(units)), np.fromiter(map(len, split), np.int64, len(split))
+    def _places(self, units: list[str]) -> np.ndarray:
+        """Place of each of the distinct units in the memory; unknown ones are learned."""
+        at = np.fromiter(map(self.index.get, units, itertools.repeat(-1)), np.int32, len(units))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            first = len(self.index)
+            self._learn([units[i] for i in missing.tolist()])
+            at[missing] = np.arange(first, first + len(missing))
+        return at
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, number of ids of each text)."""
+    def _encode_some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > REMEMBER:
             self._make_room()
-        split = [self._units(x) for x in texts]
-        at, counts = self._indices(split)
-        if not self.drops_space and self.unsure[at].any():
-            where = np.repeat(np.arange(len(texts)), counts)[self.unsure[at]]
-            for i in np.unique(where).tolist():
-                split[i] = self._units(texts[i], True)
-            at, counts = self._indices(split)
-        self.met[: len(self.index)] += np.bincount(at, minlength=len(self.index))
+        units, counts = self._units(texts)
+        coded = units.dictionary_encode()
+        places, codes = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy()
+        self.met[places] += np.bincount(codes, minlength=len(places))
+        at = places[codes]
+        if not self.drops_space:
+            owner = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
+            care = pc.match_substring(texts, "\x00").to_numpy(zero_copy_only=False)
+            care[owner[self.unsure[places][codes]]] = True
+            if care.any():
+                # such texts are cut again, only where white space stands alone
+                found = [["\x00\x00" + x for x in _CUT.split(texts[i].as_py())] for i in np.flatnonzero(care).tolist()]
+                again = pa.array(list(itertools.chain.from_iterable(found)), pa.string()).dictionary_encode()
+                plain = at[~care[owner]]
+                counts = counts.copy()
+                counts[care] = [len(x) for x in found]
+                at = np.empty(int(counts.sum()), np.int32)
+                here = np.repeat(care, counts)
+                at[~here] = plain
+                at[here] = self._places(again.dictionary.to_numpy(zero_copy_only=False).tolist())[again.indices.to_numpy()]
         sizes = self.size[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(total) + np.repeat(self.start[at] - (ends - sizes), sizes)]
-        edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(edges)
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)])
+        return self.ids[_spans(self.start[at], sizes)], np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each text). A null text has none. A text above ``LONG`` bytes is encoded in parts, cut where the tokenizer cuts."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        long = np.flatnonzero(pc.binary_length(texts).to_numpy() > LONG)
+        if not len(long):
+            return self._encode_some(texts)
+        ids, counts, at = [], np.zeros(len(texts), np.int64), 0
+        for i in [*long.tolist(), len(texts)]:
+            if i > at:
+                got, counts[at:i] = self._encode_some(texts.slice(at, i - at))
+                ids.append(got)
+            if i < len(texts):
+                for part in _parts(texts[i].as_py()):
+                    got, n = self._encode_some(pa.array([part], pa.string()))
+                    ids.append(got)
+                    counts[i] += int(n[0])
+            at = i + 1
+        return np.concatenate(ids), counts
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, ``size`` places of each."""
+    ends = np.cumsum(size, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 31 else np.int64
+    return np.arange(total, dtype=kind) + np.repeat((start - (ends - size)).astype(kind), size)
+
+
+def _parts(text: str):
+    """The text in parts of about ``LONG`` characters, cut where a single space or line feed stands between others; without such a place it stays whole."""
+    at = 0
+    while at < len(text):
+        cut = _CUT.search(text, at + LONG) if at + LONG < len(text) else None
+        to = cut.start() if cut else len(text)
+        yield text[at:to]
+        at = to
 
 
 def _spelled(unit: str) -> str:
@@ -176,13 +244,13 @@ def encoder(path: str, drops_space: bool) -> UnitTokens:
     return _workers[key]
 
 
-def chunks(texts: list[str], most: int):
-    """(from, to) of runs of texts with at most ``most`` characters, or one text."""
+def chunks(texts: pa.Array, most: int):
+    """(from, to) of runs of texts with at most ``most`` bytes, or one text."""
     at, size = 0, 0
-    for i, x in enumerate(texts):
-        if size and size + len(x) > most:
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if size and size + n > most:
             yield at, i
             at, size = i, 0
-        size += len(x)
-    if texts:
+        size += n
+    if len(texts):
         yield at, len(texts)
