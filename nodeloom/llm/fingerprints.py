@@ -8,9 +8,11 @@ get equal phrases in their interior wherever they stand. The name of a phrase is
 hash of its content, so names agree between documents and workers without a shared
 dictionary. Levels are stacked; phrases of level 3 span about 25 characters.
 
-A fingerprint keeps, for each of ``SLOTS`` parts of the hash space, the smallest
+Every text, whatever its length, is described by the phrases of all levels that it has: those of level 1, and of the levels above it the
+phrases that lie within the text, since the first and the last one depend on where the text ends. Each level has slots of its own,
+the higher ones more of them. A fingerprint keeps for each slot, a part of the hash space, the smallest
 name that falls there (16 bits, four hex digits); likeness is the share of slots with
-equal content among those that either fingerprint fills.
+equal content among those that either fingerprint fills. As a text grows the higher levels fill one slot after the other, so a few characters more change few slots.
 """
 
 from __future__ import annotations
@@ -26,11 +28,10 @@ from pyspark.sql import types as T
 
 from . import common
 
-SLOTS = 64
+#: Powers of two of the slots of levels 1, 2, ...
+LEVEL_BITS = (2, 4, 5, 6)
+SLOTS = sum(1 << b for b in LEVEL_BITS)
 EMPTY = 0xFFFF
-#: Code points from which a text is described by phrases of levels 1, 2 and 3 upwards.
-LEVEL_FROM = (24, 120, 400)
-TOP_LEVEL = 4
 CHUNK_CHARS = 1 << 21
 _LOWEST = -(1 << 63)
 
@@ -104,26 +105,21 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     if not len(own):
         return out.reshape(-1, SLOTS)
     lengths = lengths[own]
-    base = np.searchsorted(LEVEL_FROM, lengths, side="right")
     code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     names = _mix(code.astype(np.uint64) + np.uint64(0x1D8E4E27C47D124F))
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    docs, values = [], []
-    for level in range(TOP_LEVEL + 1):
-        if level:
-            names, starts = _level(names, starts, level)
-        if (base <= level).any():
-            doc = np.repeat(np.arange(len(own)), np.diff(starts, append=len(names)))
-            used = base[doc] <= level
-            docs.append(doc[used])
-            values.append(names[used])
-    doc, value = np.concatenate(docs), np.concatenate(values)
-    slot = own[doc] * SLOTS + (value >> np.uint64(58)).astype(np.int64)
-    key = np.sort((slot.astype(np.uint64) << np.uint64(16)) | ((value >> np.uint64(20)) & np.uint64(0xFFFF)) % np.uint64(EMPTY))
-    slot = key >> np.uint64(16)
-    first = np.ones(len(key), bool)
-    first[1:] = slot[1:] != slot[:-1]
-    out[slot[first].astype(np.int64)] = (key[first] & np.uint64(0xFFFF)).astype(np.uint16)
+    first = 0
+    for level, bits in enumerate(LEVEL_BITS, 1):
+        names, starts = _level(names, starts, level)
+        used = np.ones(len(names), bool)
+        if level > 1:
+            used[starts] = False
+            used[np.append(starts[1:], len(names)) - 1] = False
+        doc = np.repeat(own, np.diff(starts, append=len(names)))[used]
+        value = names[used]
+        slot = doc * SLOTS + first + (value >> np.uint64(64 - bits)).astype(np.int64)
+        np.minimum.at(out, slot, (((value >> np.uint64(20)) & np.uint64(0xFFFF)) % np.uint64(EMPTY)).astype(np.uint16))
+        first += 1 << bits
     return out.reshape(-1, SLOTS)
 
 
