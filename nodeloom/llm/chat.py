@@ -20,7 +20,7 @@ from . import common
 ROLES = ("system", "user", "assistant")
 #: Labelled conversations that training reads, about.
 SAMPLE = 3000
-#: Lines that are decoded at once; a longer transcript goes on from the last state.
+#: Lines after which the states that no later line can change are given out.
 STRETCH = 4096
 _MARKS = {"system": 0, "context": 0, "instructions": 0, "user": 1, "human": 1, "q": 1, "question": 1, "customer": 1, "assistant": 2, "ai": 2, "bot": 2, "a": 2, "answer": 2, "agent": 2}
 _MARK = re.compile(r"^\s*(?:#{1,4}\s*|\[|<\|?|\*\*)?(" + "|".join(_MARKS) + r")(?:\]|\|?>|\*\*)?\s*(:|$|(?<=[\]>*])\s)(?:\*\*)?\s*", re.IGNORECASE)
@@ -51,20 +51,63 @@ class Hmm:
         self.move = np.log((move + 1) / (move + 1).sum(1, keepdims=True))
         self.seen = [np.log((x + 1) / (x + 1).sum(1, keepdims=True)) for x in seen]
 
-    def viterbi(self, observed: list[tuple], before: np.ndarray | None = None) -> tuple[list[int], np.ndarray]:
-        """(states, scores at the end), from the scores ``before``, if there are any."""
+    def viterbi(self, observed: list[tuple]) -> list[int]:
+        """The most likely states."""
+        path = Path(self)
+        path.add(observed)
+        return path.finish()
+
+
+class Path:
+    """Viterbi over lines that come bit by bit: the states are those of the whole sequence, however it is dealt.
+
+    Lines that have not been given out keep back pointers of ``STATES`` bytes each. Where the ways back from all states meet, what lies before is settled.
+    """
+
+    def __init__(self, hmm: Hmm):
+        self.hmm, self.score, self.back = hmm, None, np.zeros((0, STATES), np.int8)
+
+    def add(self, observed: list[tuple]) -> None:
+        if not observed:
+            return
         obs = np.array(observed)
-        emit = sum(x[:, obs[:, i]] for i, x in enumerate(self.seen)).T
-        score = emit[0] + (self.start if before is None else (before[:, None] + self.move).max(0))
+        emit = sum(x[:, obs[:, i]] for i, x in enumerate(self.hmm.seen)).T
         back = np.zeros((len(obs), STATES), np.int8)
-        for t in range(1, len(obs)):
-            way = score[:, None] + self.move
+        score = self.score
+        for t in range(len(obs)):
+            if score is None:
+                score = self.hmm.start + emit[t]
+                continue
+            way = score[:, None] + self.hmm.move
             back[t] = way.argmax(0)
             score = way.max(0) + emit[t]
-        states = [int(score.argmax())]
-        for t in range(len(obs) - 1, 0, -1):
-            states.append(int(back[t, states[-1]]))
-        return states[::-1], score - score.max()
+        self.score, self.back = score, np.concatenate([self.back, back])
+
+    def _states(self, last: int, to: int) -> list[int]:
+        """States of the lines before ``to``, whose last one is ``last``."""
+        out = [last]
+        for t in range(to - 1, 0, -1):
+            out.append(int(self.back[t, out[-1]]))
+        return out[::-1]
+
+    def settled(self) -> list[int]:
+        """States of the first of the lines that are left, as many as no later line can change; they go."""
+        at = np.arange(STATES)
+        for t in range(len(self.back) - 1, 0, -1):
+            at = self.back[t][at]
+            if (at == at[0]).all():
+                states = self._states(int(at[0]), t)
+                self.back = self.back[t:]
+                return states
+        return []
+
+    def finish(self) -> list[int]:
+        """States of the lines that are left."""
+        if not len(self.back):
+            return []
+        states = self._states(int(self.score.argmax()), len(self.back))
+        self.score, self.back = None, self.back[:0]
+        return states
 
 
 def _lines(text: str | None) -> list[str]:
@@ -125,8 +168,8 @@ def format_transcripts(parts: DataFrame, hmm: Hmm, id_col: str = "conv_id", orde
         conv, none = None, object()
         conv = none
         lines: list[str] = []
-        first, score = True, None
-        turn, role, held = 0, None, []
+        path, told, ask = Path(hmm), 0, STRETCH
+        turn, role, held, fresh = 0, None, [], True
 
         def close():
             nonlocal turn, role, held
@@ -136,17 +179,19 @@ def format_transcripts(parts: DataFrame, hmm: Hmm, id_col: str = "conv_id", orde
                 turn += 1
             role, held = None, []
 
-        def decode():
-            nonlocal lines, first, score, role
-            if not lines:
-                return
-            states, score = hmm.viterbi([observe(x, first and i == 0) for i, x in enumerate(lines)], score)
-            for line, state in zip(lines, states, strict=True):
+        def decode(ended: bool):
+            """Hand the lines to the path and take those that are settled; all, where the transcript has ended."""
+            nonlocal lines, path, told, role, ask
+            path.add([observe(x, fresh and told + i == 0) for i, x in enumerate(lines[told:])])
+            states = path.finish() if ended else path.settled()
+            for line, state in zip(lines, states, strict=False):
                 if state % 2 == 0 or state // 2 != role:
                     close()
                     role = state // 2
                 held.append(marker(line)[1])
-            lines, first = [], False
+            lines = lines[len(states) :]
+            told = len(lines)
+            ask = told + max(STRETCH, told)
 
         def batch_of():
             nonlocal out
@@ -158,15 +203,16 @@ def format_transcripts(parts: DataFrame, hmm: Hmm, id_col: str = "conv_id", orde
         for batch in batches:
             for conv_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if conv is none or conv_id != conv:
-                    decode()
+                    decode(True)
                     close()
-                    conv, first, score, turn = conv_id, True, None, 0
+                    conv, turn, fresh, ask = conv_id, 0, True, STRETCH
                 lines += _lines(text)
-                if len(lines) >= STRETCH:
-                    decode()
+                if len(lines) >= ask:
+                    decode(False)
+                    fresh = False
             if out[0]:
                 yield batch_of()
-        decode()
+        decode(True)
         close()
         yield batch_of()
 
