@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,7 +32,12 @@ def fn_round(x: Column) -> Column:
 
 def substring(text: Column, start: Column, length: Column | None = None) -> Column:
     """Characters at places p with round(start) <= p < round(start) + round(length); places count from 1."""
-    first = fn_round(start.cast("double"))
+    nan = F.isnan(start.cast("double")) if length is None else F.isnan(start.cast("double")) | F.isnan(length.cast("double"))
+    return F.when(F.coalesce(nan, Lit(False)), "").otherwise(_substring(text, F.nanvl(start.cast("double"), Lit(1.0)), None if length is None else F.nanvl(length.cast("double"), Lit(0.0))))
+
+
+def _substring(text: Column, start: Column, length: Column | None) -> Column:
+    first = fn_round(start)
     low = F.greatest(first, Lit(1))
     if length is None:
         return F.substring(_s(text), low.cast("int"), F.length(_s(text)) + 1)
@@ -82,9 +89,11 @@ def substring_after(text: Column, part: Column) -> Column:
 
 def flags(pattern: str, given: str = "") -> str:
     """A Java pattern for an XPath one: the flags s, m, i, x and q as inline flags or quoting."""
-    if "q" in given:
-        return "\\Q" + pattern + "\\E"
     kept = "".join(f for f in given if f in "smix")
+    if "q" in given:
+        kept = kept.replace("x", "")
+        return (f"(?{kept})" if kept else "") + "\\Q" + pattern + "\\E"
+    pattern = re.sub(r"-\[(\^?)([^\[\]]+)\]\]", lambda m: f"&&[{'' if m[1] else '^'}{m[2]}]]", pattern)  # [a-z-[aeiou]]
     pattern = pattern.replace("\\i", "[\\p{L}_:]").replace("\\c", "[\\p{L}\\p{N}._:-]")
     return f"(?{kept}){pattern}" if kept else pattern
 
@@ -94,14 +103,18 @@ def matches(text: Column, pattern: str, given: str = "") -> Column:
 
 
 def replace(text: Column, pattern: str, new: str, given: str = "") -> Column:
-    return F.regexp_replace(_s(text), flags(pattern, given), new)
+    if "q" in given:
+        new = new.replace("\\", "\\\\").replace("$", "\\$")
+    java = flags(pattern, given)
+    empty = F.raise_error(Lit(f"FORX0003: {pattern} matches an empty text")).cast("string")
+    return F.when(Lit("").rlike(java), empty).otherwise(F.regexp_replace(_s(text), java, new))
 
 
-def tokenize(text: Column, pattern: str | None = None) -> Column:
+def tokenize(text: Column, pattern: str | None = None, given: str = "") -> Column:
     """One argument: words between white space; an empty text has no tokens."""
     if pattern is None:
         return F.filter(F.split(normalize_space(text), " "), lambda x: x != "")
-    return F.when(_s(text) == "", F.array().cast("array<string>")).otherwise(F.split(_s(text), pattern, -1))
+    return F.when(_s(text) == "", F.array().cast("array<string>")).otherwise(F.split(_s(text), flags(pattern, given), -1))
 
 
 def contains_token(text: Column, token: str) -> Column:
@@ -144,6 +157,37 @@ def number(x: Column) -> Column:
     return F.coalesce(x.cast("string").try_cast("double"), Lit(float("nan")))
 
 
+def kept(f):
+    """``f`` with the type of its argument kept: doubles stay doubles."""
+    from functools import wraps
+
+    @wraps(f)
+    def run(x: Column) -> Column:
+        return F.when(F.abs(x.cast("double")) < 2.0**53, f(F.when(F.abs(x.cast("double")) < 2.0**53, x)).cast("double")).otherwise(x.cast("double"))
+
+    return run
+
+
+def round_to(x: Column, digits: Column) -> Column:
+    """Half towards positive infinity, at a decimal place."""
+    unit = F.pow(Lit(10.0), digits.cast("double"))
+    return F.floor(x * unit + Lit(0.5)).cast("double") / unit
+
+
+def round_half_to_even_at(x: Column, digits: Column) -> Column:
+    unit = F.pow(Lit(10.0), digits.cast("double"))
+    return F.bround(x * unit, 0) / unit
+
+
+def cardinality(items: Column, least: int, most: int, code: str) -> Column:
+    """The item, or none; error where there are fewer or more."""
+    return F.when(F.size(items).between(least, most), F.try_element_at(items, Lit(1))).otherwise(F.raise_error(Lit(f"{code}: not {least} to {most} items")))
+
+
+def at_least_one(items: Column) -> Column:
+    return F.when(F.size(items) > 0, items).otherwise(F.raise_error(Lit("FORG0004: no item")))
+
+
 def round_half_to_even(x: Column, digits: int = 0) -> Column:
     return F.bround(x, digits)
 
@@ -181,10 +225,9 @@ def format_integer(x: Column, picture: str = "1") -> Column:
         return F.upper(out) if picture == "I" else out
     if picture in "aA":
         base = ord(picture)
-        letters = F.array(*[Lit(chr(base + i)) for i in range(26)])
-        n = x.cast("int")
-        low = F.element_at(letters, (n - 1) % 26 + 1)
-        return F.when(n > 26, F.concat(F.element_at(letters, F.floor((n - 1) / 26).cast("int")), low)).otherwise(low)
+        from nodeloom.functions import pictures
+
+        return pictures.letters(x, chr(base))
     return F.lpad(x.cast("string"), F.greatest(F.length(x.cast("string")), Lit(len(picture))), "0")
 
 
@@ -261,12 +304,14 @@ def fn_avg(items: Column) -> Column:
     return F.when(F.size(items) > 0, fn_sum(items) / F.size(items))
 
 
-def fn_max(items: Column) -> Column:
+def fn_max(items: Column, doubles: bool = False) -> Column:
+    """NaN if any item is; Spark has NaN above all numbers."""
     return F.array_max(items)
 
 
-def fn_min(items: Column) -> Column:
-    return F.array_min(items)
+def fn_min(items: Column, doubles: bool = False) -> Column:
+    """NaN if any item is, where the items are doubles."""
+    return F.when(F.exists(items, lambda x: F.isnan(x)), Lit(float("nan"))).otherwise(F.array_min(items)) if doubles else F.array_min(items)
 
 
 def general_equal(a: Column, b: Column) -> Column:
@@ -344,12 +389,36 @@ def array_get(a: Column, i: Column) -> Column:
     return F.element_at(a, i)
 
 
+def _within(a: Column, ok: Column, out: Column, code: str = "FOAY0001") -> Column:
+    return F.when(~ok, F.raise_error(Lit(f"{code}: no such place in the array"))).otherwise(out)
+
+
 def array_put(a: Column, i: Column, v: Column) -> Column:
-    return F.transform(a, lambda x, n: F.when(n == i - 1, v).otherwise(x))
+    """Error FOAY0001 where there is no place ``i``."""
+    return _within(a, i.between(1, F.size(a)), F.transform(a, lambda x, n: F.when(n == i - 1, v).otherwise(x)))
+
+
+def array_subarray(a: Column, start: Column, length: Column | None = None) -> Column:
+    """Error FOAY0001 where the part is not within the array, FOAY0002 for a negative length."""
+    n = F.size(a) - start + 1 if length is None else length
+    inside = _within(a, (start >= 1) & (start + n <= F.size(a) + 1), F.slice(a, F.greatest(start, Lit(1)), F.greatest(n, Lit(0))))
+    return _within(a, n >= 0, inside, "FOAY0001" if length is None else "FOAY0002")
+
+
+def array_remove(a: Column, places: Column) -> Column:
+    return _within(a, F.forall(places, lambda i: i.between(1, F.size(a))), F.filter(a, lambda _, n: ~F.array_contains(F.transform(places, lambda i: i.cast("int")), n + 1)))
+
+
+def array_insert_before(a: Column, i: Column, v: Column) -> Column:
+    return _within(a, i.between(1, F.size(a) + 1), F.concat(F.slice(a, Lit(1), F.greatest(i - 1, Lit(0))), F.array(v), F.slice(a, F.greatest(i, Lit(1)), F.size(a))))
 
 
-def array_subarray(a: Column, start: Column, length: Column) -> Column:
-    return F.slice(a, start, length)
+def array_head(a: Column) -> Column:
+    return _within(a, F.size(a) > 0, F.try_element_at(a, Lit(1)))
+
+
+def array_tail(a: Column) -> Column:
+    return _within(a, F.size(a) > 0, F.slice(a, Lit(2), F.size(a)))
 
 
 # -- dates --------------------------------------------------------------------------------------
@@ -381,13 +450,28 @@ def format_date(d: Column, picture: str) -> Column:
 
 
 def local_name_from_qname(q: Column) -> Column:
-    return F.substring_index(q, ":", -1)
+    return F.substring_index(F.regexp_replace(q, r"^Q\{[^}]*\}", ""), ":", -1)
 
 
 def prefix_from_qname(q: Column) -> Column:
+    q = F.regexp_replace(q, r"^Q\{[^}]*\}", "")
     return F.when(F.contains(q, Lit(":")), F.substring_index(q, ":", 1))
 
 
+def qname(uri: Column, name: Column) -> Column:
+    """An expanded name as ``Q{uri}name``, prefix kept; without a namespace the name."""
+    return F.when(F.coalesce(uri, Lit("")) == "", name).otherwise(F.concat(Lit("Q{"), uri, Lit("}"), name))
+
+
+def namespace_uri_from_qname(q: Column) -> Column:
+    return F.regexp_extract(q, r"^Q\{([^}]*)\}", 1)
+
+
+def checked_json(text: Column) -> Column:
+    """The JSON value in text; text that is none is an error."""
+    return F.to_json(F.parse_json(text))
+
+
 def parse_json(text: Column) -> Column:
     return F.try_parse_json(text)
 

@@ -62,16 +62,12 @@ def is_lang(column, wanted: str):
 
 
 def namespaces(context: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(doc_id, pre, prefix, uri): the namespaces that names at or above the node use, the nearest for each prefix, and ``xml``.
-
-    The node table keeps names, not declarations: one that no name uses is not seen.
-    """
-    used = nodes.where(F.col("kind").isin(ELEM, ATTR) & (F.coalesce("ns_uri", F.lit("")) != ""))
-    used = used.select("doc_id", F.when(F.col("kind") == ATTR, F.col("parent")).otherwise(F.col("pre")).alias("n_pre"), F.coalesce("prefix", F.lit("")).alias("prefix"), F.col("ns_uri").alias("uri")).distinct()
-    reach = nodes.where(F.col("kind") == ELEM).select("doc_id", F.col("pre").alias("n_pre"), F.col("size").alias("n_size"))
+    """(doc_id, pre, prefix, uri): the namespaces in scope, declared at or above the node, the nearest for each prefix, and ``xml``."""
+    declared = nodes.where((F.col("kind") == ELEM) & F.col("declared").isNotNull())
+    used = declared.select("doc_id", F.col("pre").alias("n_pre"), F.col("size").alias("n_size"), F.explode("declared").alias("prefix", "uri"))
     c = context.select("doc_id", "pre")
-    found = c.join(used.join(reach, ["doc_id", "n_pre"]), "doc_id").where(F.col("pre").between(F.col("n_pre"), F.col("n_pre") + F.col("n_size")))
-    near = found.groupBy("doc_id", "pre", "prefix").agg(F.max_by("uri", "n_pre").alias("uri"))
+    found = c.join(used, "doc_id").where(F.col("pre").between(F.col("n_pre"), F.col("n_pre") + F.col("n_size")))
+    near = found.groupBy("doc_id", "pre", "prefix").agg(F.max_by("uri", "n_pre").alias("uri")).where("uri <> ''")
     xml_ = c.select("doc_id", "pre", F.lit("xml").alias("prefix"), F.lit(XML_NS).alias("uri"))
     return near.unionByName(xml_).dropDuplicates(["doc_id", "pre", "prefix"])
 

@@ -103,16 +103,27 @@ def renumber(nodes: DataFrame) -> DataFrame:
 def unlink(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """The documents without the subtrees of ``targets`` (doc_id, pre)."""
     marked = nodes.join(targets.select("doc_id", "pre", F.lit(True).alias("__cut")).distinct(), ["doc_id", "pre"], "left")
+    # attributes that go also leave the maps of their elements
+    gone = marked.where(F.col("__cut") & (F.col("kind") == ATTR)).groupBy("doc_id", F.col("parent").alias("pre")).agg(F.collect_set(_attribute_key()).alias("__gone"))
+    marked = marked.join(gone, ["doc_id", "pre"], "left")
+    marked = marked.withColumn("attrs", F.when(F.col("__gone").isNull(), F.col("attrs")).otherwise(F.map_filter("attrs", lambda k, _: ~F.array_contains("__gone", k))))
     upto = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = marked.withColumn("__reach", F.max(F.when(F.col("__cut"), F.col("pre") + F.col("size"))).over(upto))
     return renumber(marked.where(F.col("__reach").isNull() | (F.col("__reach") < F.col("pre"))).select(*nodes.columns))
 
 
+def _attribute_key() -> F.Column:
+    return F.when(F.coalesce("ns_uri", F.lit("")) == "", F.col("local")).otherwise(F.concat(F.lit("{"), "ns_uri", F.lit("}"), "local"))
+
+
 def set_attribute(nodes: DataFrame, targets: DataFrame, local: str, value: str = "new_value") -> DataFrame:
     """Values of existing attributes called ``local`` of the elements in ``targets`` (doc_id, pre, and the column ``value``)."""
-    t = targets.select("doc_id", F.col("pre").alias("parent"), F.col(value).alias("__new"), F.lit(True).alias("__set")).dropDuplicates(["doc_id", "parent"])
-    hit = F.coalesce("__set", F.lit(False)) & (F.col("kind") == ATTR) & (F.col("local") == local)
-    return nodes.join(t, ["doc_id", "parent"], "left").withColumn("value", F.when(hit, F.col("__new")).otherwise(F.col("value"))).select(*nodes.columns)
+    t = targets.select("doc_id", F.col("pre").alias("__owner"), F.col(value).alias("__new"), F.lit(True).alias("__set")).dropDuplicates(["doc_id", "__owner"])
+    rows = nodes.withColumn("__owner", F.when(F.col("kind") == ATTR, F.col("parent")).otherwise(F.col("pre"))).join(t, ["doc_id", "__owner"], "left")
+    hit = F.coalesce("__set", F.lit(False))
+    there = hit & F.coalesce(F.map_contains_key("attrs", local), F.lit(False))
+    rows = rows.withColumn("value", F.when(hit & (F.col("kind") == ATTR) & (F.col("local") == local), F.col("__new")).otherwise(F.col("value")))
+    return rows.withColumn("attrs", F.when(there, F.transform_values("attrs", lambda k, v: F.when(k == local, F.col("__new")).otherwise(v))).otherwise(F.col("attrs"))).select(*nodes.columns)
 
 
 def copy_of(nodes: DataFrame, targets: DataFrame, ancestors: bool = False) -> DataFrame:

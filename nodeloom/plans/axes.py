@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from nodeloom.sources.xml import ATTR, ELEM
 
 REVERSE = frozenset(["parent", "ancestor", "ancestor-or-self", "preceding", "preceding-sibling"])
-COLUMNS = ("pre", "size", "level", "parent", "kind", "ns_uri", "local", "sib_ord", "value")
+COLUMNS = ("pre", "size", "level", "parent", "kind", "ns_uri", "local", "sib_ord", "value", "attrs")
 
 
 def _on(axis: str, c, n) -> Column:
@@ -70,7 +70,8 @@ def string_value(items: DataFrame, nodes: DataFrame, carry: tuple = ()) -> DataF
     from nodeloom.sources.xml import TEXT
 
     t = nodes.where(F.col("kind") == TEXT).select(F.col("doc_id").alias("t_doc"), F.col("pre").alias("t_pre"), F.col("value").alias("t_value"))
-    e = items.where(F.col("kind") <= ELEM)
+    # items may hold a node several times, for different contexts
+    e = items.where(F.col("kind") <= ELEM).select("doc_id", "pre", "size").dropDuplicates(["doc_id", "pre"])
     joined = e.join(t, (F.col("doc_id") == F.col("t_doc")) & (F.col("t_pre") > F.col("pre")) & (F.col("t_pre") <= F.col("pre") + F.col("size")), "left")
     texts = joined.groupBy("doc_id", "pre").agg(F.sort_array(F.collect_list(F.struct("t_pre", "t_value"))).alias("t"))
     texts = texts.select("doc_id", "pre", F.array_join(F.transform("t", lambda x: F.coalesce(x["t_value"], F.lit(""))), "").alias("below"))

@@ -1,335 +1,911 @@
-"""Location paths compiled to DataFrame plans.
-
-Grammar: paths with ``/``, ``//``, all axes and their short forms, name and kind tests, unions (``|``), predicates with
-positions, comparisons (=, !=, <, <=, >, >=) of relative paths, attributes, numbers and strings, arithmetic (+, -, *, div, mod),
-``and``, ``or``, ``not()``, ``contains()``, ``starts-with()``, ``ends-with()``, ``matches()``, ``count()``, ``sum()``, ``string-length()``,
-``position()`` and ``last()``. A comparison is existential, as in XPath 1.0; a path in arithmetic stands for its first node.
-A step is a join on (doc_id, parent) or doc_id with a range; a position is a row_number within the context node;
-a path in a predicate becomes a semi or anti join.
+"""XPath 3.1 expressions compiled to DataFrame plans.
+
+An expression is evaluated in a *frame*: a DataFrame with a row for each context, told apart by key columns. A location path is a chain of joins
+from the frame over the node table, a step each on (doc_id, parent) or doc_id with a range; its nodes are gathered back to the frame by
+one aggregation where their values are needed as a sequence, and only marked by a semi join, anti join or flag where just their existence counts.
+``for`` over nodes opens a frame with a row for each of them, ``for`` over other items is a higher-order function. All else is Column
+algebra: a sequence is an array column, or a plain column (null: empty) where one item is the most.
+
+An attribute of the context costs no join: elements carry their attributes as a map. A position is a row_number within the context node.
+
+Items of one sequence have one type; a mixed one becomes text. Where one item is expected the first is taken. Integers are 64 bits (more is an
+error), decimals are doubles. Two untyped values are compared by order as numbers, as in XPath 1.0, and for equality as text. Function items exist while compiling, so ``if`` cannot choose between them by data. What an inline function
+does is Column algebra too: it takes no path steps from its parameters.
 """
 
 from __future__ import annotations
 
-import re
+import itertools
+from collections.abc import Callable
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nodeloom.functions import fn
+from nodeloom.functions import values
 from nodeloom.plans import axes
-from nodeloom.sources.xml import ATTR, COMMENT, ELEM, PI, TEXT
-
-_TOKEN = re.compile(r"""\s*(//|/|\.\.|\.|@|::|\[|\]|\(|\)|\||,|\+|-|!=|<=|>=|=|<|>|\*|"[^"]*"|'[^']*'|\d+(?:\.\d+)?|[A-Za-z_][\w.-]*(?::(?!:)(?:[A-Za-z_][\w.-]*|\*))?)""")
-_KINDS = {"text": TEXT, "comment": COMMENT, "processing-instruction": PI}
-_OPS = {"=": "eq", "!=": "ne", "<": "lt", "<=": "le", ">": "gt", ">=": "ge"}
-_ARITHMETIC = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "div": fn.divide, "mod": lambda a, b: a % F.nullif(b, F.lit(0.0))}
-_TESTS = {"contains": Column.contains, "starts-with": Column.startswith, "ends-with": Column.endswith, "matches": lambda v, p: fn.matches(v, p)}
-_FLIP = {"=": "=", "!=": "!=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
-
-
-def tokens(text: str) -> list[str]:
-    out, at = [], 0
-    text = text.rstrip()
-    while at < len(text):
-        m = _TOKEN.match(text, at)
-        if not m:
-            raise SyntaxError(f"at {at} in {text!r}")
-        out.append(m[1])
-        at = m.end()
-    return out
-
-
-class _Parser:
-    def __init__(self, text: str):
-        self.t, self.i = tokens(text), 0
-
-    def peek(self, n: int = 0) -> str | None:
-        return self.t[self.i + n] if self.i + n < len(self.t) else None
-
-    def take(self, want: str | None = None) -> str:
-        x = self.peek()
-        if x is None or want is not None and x != want:
-            raise SyntaxError(f"{want or 'more'} expected, {x} found")
-        self.i += 1
-        return x
-
-    def union(self):
-        out = [self.path()]
-        while self.peek() == "|":
-            self.take()
-            out.append(self.path())
+from nodeloom.plans.parser import Parser, asks_position, counts_positions, tokens
+from nodeloom.sources.xml import ATTR, COMMENT, DOC, ELEM, PI, TEXT
+
+__all__ = ["Seq", "XPath", "tokens"]
+
+_KINDS = {"text": TEXT, "comment": COMMENT, "processing-instruction": PI, "element": ELEM, "attribute": ATTR, "document-node": DOC}
+SPARK = {"empty": "string", "string": "string", "untyped": "string", "integer": "bigint", "decimal": "double", "double": "double", "boolean": "boolean", "date": "date", "dateTime": "timestamp_ntz"}
+NUMBERS = ("integer", "decimal", "double")
+_NODE = "struct<pre:bigint,kind:int,ns_uri:string,local:string,prefix:string,text:string>"
+_FLIP = {"eq": "eq", "ne": "ne", "lt": "gt", "le": "ge", "gt": "lt", "ge": "le"}
+_AT_NODES = ("path", "each", "root", "union", "intersect", "except")
+
+
+class _NeedsRows(Exception):
+    """A variable of a higher-order function is asked for where only columns of a frame can be."""
+
+
+@dataclass(frozen=True)
+class Seq:
+    """A sequence: an array column if ``many``, else a column that is null where it is empty. type: node, map, array, function or one of ``SPARK``."""
+
+    col: Column | Callable | None
+    type: str
+    many: bool = False
+    #: Whether the column has a meaning outside the higher-order function that it stands in.
+    free: bool = True
+    #: Of a literal.
+    text: str | None = None
+    constant: bool = False
+
+    def array(self) -> Column:
+        if self.many:
+            return self.col
+        return F.when(self.col.isNull(), F.array().cast(f"array<{_NODE if self.type == 'node' else SPARK.get(self.type, 'string')}>") if ":" not in self.type else None).otherwise(F.array(self.col))
+
+    def one(self) -> Column:
+        return F.try_element_at(self.col, F.lit(1)) if self.many else self.col
+
+
+def text_of(x: Column, kind: str) -> Column:
+    """An item as xs:string."""
+    if kind == "node":
+        return x["text"]
+    if kind in ("double", "decimal"):
+        whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
+        return F.when(F.isnan(x), "NaN").when(x == float("inf"), "INF").when(x == float("-inf"), "-INF").when(whole, x.cast("bigint").cast("string")).otherwise(x.cast("string"))
+    if kind == "dateTime":
+        return F.replace(x.cast("string"), F.lit(" "), F.lit("T"))
+    return x.cast("string")
+
+
+def number_of(x: Column, kind: str) -> Column:
+    """An item as xs:double; text that is no number gives NaN."""
+    if kind in ("node", "string", "untyped"):
+        t = F.trim(x["text"] if kind == "node" else x)
+        t = F.when(t == "INF", "Infinity").when(t == "-INF", "-Infinity").otherwise(t)
+        return F.when(t.isNotNull(), F.coalesce(t.try_cast("double"), F.lit(float("nan"))))
+    return x.cast("double")
+
+
+def compare(op: str, a: Column, b: Column, numeric: bool) -> Column:
+    """Numbers as in IEEE 754: NaN differs from all."""
+    out = {"eq": a == b, "ne": a != b, "lt": a < b, "le": a <= b, "gt": a > b, "ge": a >= b}[op]
+    if not numeric:
         return out
+    odd = F.isnan(a) | F.isnan(b)
+    return odd | out if op == "ne" else ~odd & out
 
-    def path(self):
-        absolute, steps = False, []
-        if self.peek() in ("/", "//"):
-            absolute = True
-            if self.take() == "//":
-                steps.append(("descendant-or-self", ("node",), []))
-            elif self.peek() in (None, "|", "]", ")"):
-                return absolute, steps
-        steps.append(self.step())
-        while self.peek() in ("/", "//"):
-            if self.take() == "//":
-                steps.append(("descendant-or-self", ("node",), []))
-            steps.append(self.step())
-        return absolute, _merged(steps)
-
-    def step(self):
-        if self.peek() in (".", ".."):
-            return ("self" if self.take() == "." else "parent"), ("node",), []
-        axis = "child"
-        if self.peek() == "@":
-            self.take()
-            axis = "attribute"
-        elif self.peek(1) == "::":
-            axis = self.take()
-            self.take("::")
-        name = self.take()
-        if self.peek() == "(":
-            self.take()
-            self.take(")")
-            test = (name,)
-        else:
-            test = ("name", name)
-        predicates = []
-        while self.peek() == "[":
-            self.take()
-            predicates.append(self.either())
-            self.take("]")
-        return axis, test, predicates
-
-    def either(self):
-        out = self.both()
-        while self.peek() == "or":
-            self.take()
-            out = ("or", out, self.both())
-        return out
 
-    def both(self):
-        out = self.compare()
-        while self.peek() == "and":
-            self.take()
-            out = ("and", out, self.compare())
-        return out
+class Frame:
+    """Rows in which an expression is evaluated. keys: columns that tell them apart, doc_id first; carried: columns of variables; item: the context item where it is no node.
 
-    def compare(self):
-        left = self.terms()
-        if self.peek() in _OPS:
-            return "compare", self.take(), left, self.terms()
-        return left
+    What is gathered for the rows waits in ``pending`` and is joined once, by ``df``; paths start from ``base``, so that no plan holds another one's joins.
+    """
 
-    def terms(self):
-        out = self.factors()
-        while self.peek() in ("+", "-"):
-            out = ("arithmetic", self.take(), out, self.factors())
-        return out
+    def __init__(self, base: DataFrame, keys: list[str], variables: dict | None = None, carried: list[str] | None = None):
+        self.base, self.keys, self.variables, self.carried = base, keys, variables or {}, carried or []
+        self.pending: list[DataFrame] = []
+        self.item = self.position = self.last = self.place = None
+        self.in_lambda = False
 
-    def factors(self):
-        out = self.operand()
-        while self.peek() in ("*", "div", "mod"):
-            out = ("arithmetic", self.take(), out, self.operand())
+    @property
+    def df(self) -> DataFrame:
+        out = self.base
+        for x in self.pending:
+            out = out.join(x, self.keys, "left")
         return out
 
-    def operand(self):
-        x = self.peek()
-        if x == "(":
-            self.take()
-            out = self.either()
-            self.take(")")
-            return out
-        if x[0] in "\"'":
-            return "string", self.take()[1:-1]
-        if x[0].isdigit():
-            return "number", float(self.take())
-        if self.peek(1) == "(" and x not in ("node", "element", *_KINDS):
-            name = self.take()
-            self.take("(")
-            args = []
-            while self.peek() != ")":
-                args.append(self.either())
-                if self.peek() == ",":
-                    self.take()
-            self.take(")")
-            return "call", name, args
-        return "path", *self.path()
-
-
-def _merged(steps):
-    """descendant-or-self::node()/child::x is descendant::x if no predicate of x counts positions."""
-    out = []
-    for axis, test, predicates in steps:
-        if out and axis == "child" and out[-1] == ("descendant-or-self", ("node",), []) and not any(map(_positional, predicates)):
-            out[-1] = ("descendant", test, predicates)
-        else:
-            out.append((axis, test, predicates))
-    return out
+    def add(self, name: str, col: Column) -> None:
+        """A column that derived rows can carry; what it needs of the pending is joined for it."""
+        try:
+            self.base = self.base.withColumn(name, col)
+        except AnalysisException:
+            self.base, self.pending[:] = self.df.withColumn(name, col), []
+
+    def with_item(self, item: Seq, position=None, last=None) -> Frame:
+        return _Inner(self, self.variables, item, position, last, True)
+
+    def with_variable(self, name: str, value, in_lambda: bool = False) -> Frame:
+        return _Inner(self, self.variables | {name: value}, self.item, self.position, self.last, in_lambda or self.in_lambda)
+
+    def outside(self) -> dict:
+        """The variables that other rows can have too."""
+        return {k: v if isinstance(v, tuple) or v is None or v.free else None for k, v in self.variables.items()}
 
 
-def _positional(p) -> bool:
-    if p[0] == "number" or p[0] == "call" and p[1] in ("position", "last"):
-        return True
-    return p[0] in ("and", "or", "compare", "arithmetic") and any(_positional(x) for x in p[1:] if isinstance(x, tuple))
+class _Inner(Frame):
+    """A frame within a higher-order function, or with one more variable: its rows are those of the outer one."""
 
+    def __init__(self, outer: Frame, variables, item, position, last, in_lambda: bool):
+        self.outer, self.variables, self.item, self.position, self.last, self.in_lambda = outer, variables, item, position, last, in_lambda
+        self.place = outer.place
 
-def _test(axis: str, test: tuple, namespaces: dict[str, str]) -> Column | None:
-    if test[0] == "name":
-        kind = F.col("kind") == (ATTR if axis == "attribute" else ELEM)
-        prefix, _, local = test[1].rpartition(":")
-        if prefix:
-            kind = kind & (F.col("ns_uri") == namespaces[prefix])
-        return kind if local == "*" else kind & (F.col("local") == local)
-    if test[0] == "node":
-        return None
-    return F.col("kind") == (ELEM if test[0] == "element" else _KINDS[test[0]])
+    base = property(lambda self: self.outer.base, lambda self, v: setattr(self.outer, "base", v))
+    pending = property(lambda self: self.outer.pending)
+    keys = property(lambda self: self.outer.keys)
+    carried = property(lambda self: self.outer.carried, lambda self, v: setattr(self.outer, "carried", v))
+    df = property(lambda self: self.outer.df)
+
+    def add(self, name: str, col: Column) -> None:
+        self.outer.add(name, col)
 
 
 class XPath:
-    """Compiler bound to a node table. namespaces: prefix to URI."""
+    """Compiler bound to a node table. namespaces: prefix to URI. functions: name to (Seq, ...) -> Seq, called like those of the library."""
+
+    def __init__(self, nodes: DataFrame, namespaces: dict[str, str] | None = None, functions: dict[str, Callable] | None = None):
+        self.nodes, self.namespaces, self.functions = nodes, namespaces or {}, functions or {}
+        self._n = itertools.count()
 
-    def __init__(self, nodes: DataFrame, namespaces: dict[str, str] | None = None):
-        self.nodes, self.namespaces = nodes, namespaces or {}
+    # -- what users call -------------------------------------------------------------------------
 
     def select(self, path: str, context: DataFrame | None = None) -> DataFrame:
         """Distinct nodes of the path; no order is given, ``orderBy('doc_id', 'pre')`` is document order."""
-        parser = _Parser(path)
-        union = parser.union()
-        if parser.peek() is not None:
-            raise SyntaxError(f"{parser.peek()} is left of {path!r}")
-        out = None
-        for absolute, steps in union:
-            part = self._run(axes.roots(self.nodes) if absolute or context is None else context, steps, (), absolute or context is None)
-            part = part.select("doc_id", *axes.COLUMNS)
-            out = part if out is None else out.unionByName(part).dropDuplicates(["doc_id", "pre"])
-        return out
+        start = axes.roots(self.nodes) if context is None else context.dropDuplicates(["doc_id", "pre"])
+        f = self._frame(start.select("doc_id", *axes.COLUMNS))
+        out = self._nodes(Parser(path).whole(), f, from_root=context is None)
+        return out.dropDuplicates(["doc_id", "pre"]).select("doc_id", *axes.COLUMNS) if context is not None else out.select("doc_id", *axes.COLUMNS)
 
     def values(self, path: str, context: DataFrame | None = None) -> DataFrame:
         """The nodes with their string values, column ``text``."""
         return axes.string_value(self.select(path, context), self.nodes)
 
-    def _run(self, now: DataFrame, steps, carry: tuple, from_root: bool = False) -> DataFrame:
-        keys = ["doc_id", "pre", *carry]
+    def evaluate(self, expressions: dict[str, str], context: DataFrame | None = None, variables: dict[str, object] | None = None) -> DataFrame:
+        """(doc_id, pre) of each context node (the documents, if none are given) and a column for each expression: an array where it may have several items.
+
+        variables: plain values (text, numbers, booleans) by name.
+        """
+        start = axes.roots(self.nodes) if context is None else context.dropDuplicates(["doc_id", "pre"])
+        f = self._frame(start.select("doc_id", *axes.COLUMNS))
+        for name, v in (variables or {}).items():
+            kind = "boolean" if isinstance(v, bool) else "integer" if isinstance(v, int) else "double" if isinstance(v, float) else "string"
+            f.variables[name] = Seq(F.lit(v), kind, constant=True)
+        found = {name: self._seq(Parser(text).whole(), f) for name, text in expressions.items()}
+        columns = []
+        for name, s in found.items():
+            if s.type == "node":
+                s = Seq(F.transform(s.col, lambda x: x["text"]) if s.many else s.col["text"], "string", s.many)
+            columns.append(s.col.alias(name))
+        return f.df.select("doc_id", F.col("pre"), *columns)
+
+    # -- frames and nodes ------------------------------------------------------------------------
+
+    def _name(self, what: str) -> str:
+        return f"__{what}{next(self._n)}"
+
+    def _frame(self, rows: DataFrame) -> Frame:
+        key = self._name("k")
+        return Frame(rows.withColumn(key, F.col("pre")), ["doc_id", key])
+
+    def _carry(self, f: Frame) -> tuple:
+        return (*f.keys[1:], *f.carried)
+
+    def _start(self, f: Frame) -> DataFrame:
+        if f.item is not None:
+            raise _NeedsRows
+        return f.base.select("doc_id", *self._carry(f), *axes.COLUMNS)
+
+    def _is_nodes(self, e, f: Frame) -> bool:
+        if e[0] == "each":
+            return self._is_nodes(e[2], f)
+        if e[0] == "variable":
+            return isinstance(f.variables.get(e[1]), tuple)
+        if e[0] == "filter":
+            return self._is_nodes(e[1], f)
+        if e[0] == "context":
+            return f.item is None
+        if e[0] == "seq":
+            return len(e[1]) > 1 and all(self._is_nodes(x, f) for x in e[1])
+        if e[0] == "call":
+            return e[1] in ("root", "id", "innermost", "outermost")
+        return e[0] in _AT_NODES
+
+    def _nodes(self, e, f: Frame, from_root: bool = False) -> DataFrame:
+        """Distinct nodes of the expression for each row of the frame: doc_id, keys, carried columns and the node's."""
+        carry = self._carry(f)
+        keys = ["doc_id", "pre", *f.keys[1:]]
+        if e[0] == "context":
+            return self._start(f)
+        if e[0] == "root" or e[0] == "call" and e[1] == "root" and not e[2]:
+            if from_root:
+                return self._start(f)
+            return f.base.select("doc_id", *carry).join(axes.roots(self.nodes), "doc_id")
+        if e[0] == "call" and e[1] == "root":
+            return self._nodes(e[2][0], f).select("doc_id", *carry).dropDuplicates(["doc_id", *f.keys[1:]]).join(axes.roots(self.nodes), "doc_id")
+        if e[0] == "call" and e[1] in ("innermost", "outermost"):
+            return self._extreme(self._nodes(e[2][0], f), f, e[1] == "innermost")
+        if e[0] == "call" and e[1] == "id":
+            wanted = self._seq(e[2][0], f)
+            name = self._name("v")
+            f.add(name, F.split(F.array_join(F.transform(wanted.array(), lambda x: text_of(x, wanted.type)), " "), "[ \t\r\n]+"))
+            ids = f.base.select("doc_id", *carry, F.explode(F.array_distinct(name)).alias("__id"))
+            owners = self.nodes.where((F.col("kind") == ELEM) & F.col("attrs").isNotNull()).withColumn("__id", F.coalesce(*[F.col("attrs")[x] for x in ("{http://www.w3.org/XML/1998/namespace}id", "id")]))
+            return ids.join(owners.select("doc_id", "__id", *axes.COLUMNS), ["doc_id", "__id"]).drop("__id").dropDuplicates(keys)
+        if e[0] == "variable":
+            bound = f.variables.get(e[1])
+            if not isinstance(bound, tuple):
+                raise _NeedsRows
+            if bound[0] == "expression":
+                g = Frame(f.base, f.keys, bound[2], f.carried)
+                return self._nodes(bound[1], g)
+            return f.base.select("doc_id", *carry, *[F.col(f"{bound[1]}_{c}").alias(c) for c in axes.COLUMNS])
+        if e[0] == "path":
+            top = from_root and e[1][0] in ("root", "context")
+            return self._steps(self._nodes(e[1], f, from_root) if not top else self._start(f), e[2], f, top)
+        if e[0] == "each":
+            g, key = self._bind(e[1], f, None)
+            return self._nodes(e[2], g).drop(key).dropDuplicates(keys).select("doc_id", *carry, *axes.COLUMNS)
+        if e[0] in ("union", "seq"):
+            parts = [self._nodes(x, f, from_root) for x in (e[1] if e[0] == "seq" else e[1:])]
+            out = parts[0].select("doc_id", *carry, *axes.COLUMNS)
+            for x in parts[1:]:
+                out = out.unionByName(x.select("doc_id", *carry, *axes.COLUMNS))
+            return out.dropDuplicates(keys)
+        if e[0] in ("intersect", "except"):
+            a, b = self._nodes(e[1], f), self._nodes(e[2], f)
+            return a.join(b.select(*keys), keys, "left_semi" if e[0] == "intersect" else "left_anti")
+        if e[0] == "filter":
+            now = self._nodes(e[1], f).withColumn("ctx", F.lit(0).cast("long"))
+            return self._filter(now, e[2], "child", f).drop("ctx")
+        raise SyntaxError(f"this is no node expression: {e}")
+
+    def _extreme(self, now: DataFrame, f: Frame, inner: bool) -> DataFrame:
+        names = ["doc_id", *f.keys[1:]]
+        o = now.select(*[F.col(c).alias(f"o_{c}") for c in names], F.col("pre").alias("o_pre"), F.col("size").alias("o_size"))
+        on = (F.col("o_pre") > F.col("pre")) & (F.col("o_pre") <= F.col("pre") + F.col("size")) if inner else (F.col("o_pre") < F.col("pre")) & (F.col("pre") <= F.col("o_pre") + F.col("o_size"))
+        for c in names:
+            on = on & (F.col(c) == F.col(f"o_{c}"))
+        return now.join(o, on, "left_anti")
+
+    def _test(self, axis: str, test: tuple) -> Column | None:
+        if test[0] == "name":
+            kind = F.col("kind") == (ATTR if axis == "attribute" else ELEM)
+            name = test[1]
+            if name.startswith("Q{"):
+                uri, _, local = name[2:].partition("}")
+                kind = kind & (F.coalesce("ns_uri", F.lit("")) == uri)
+            else:
+                prefix, _, local = name.rpartition(":")
+                if prefix and prefix != "*":
+                    kind = kind & (F.col("ns_uri") == self.namespaces[prefix])
+            return kind if local == "*" else kind & (F.col("local") == local)
+        if test[0] in ("node", "item"):
+            return None
+        if test[0] == "namespace-node":
+            return F.lit(False)
+        out = F.col("kind") == _KINDS[test[0].removeprefix("schema-")]
+        if test[1:] and test[1] != "*":
+            out = out & (F.col("local") == test[1].strip("\"'").rpartition(":")[2])
+        return out
+
+    def _steps(self, now: DataFrame, steps, f: Frame, from_root: bool = False) -> DataFrame:
+        carry = self._carry(f)
         for axis, test, predicates in steps:
-            condition = _test(axis, test, self.namespaces)
-            if from_root and axis == "descendant" and not carry and not any(map(_positional, predicates)):
+            condition = self._test(axis, test)
+            if from_root and axis == "descendant" and not f.carried and not any(map(counts_positions, predicates)):
                 # everything lies below the root: a scan with pushed filters, no join
                 now = self.nodes.where(F.col("kind") != ATTR).where(F.col("pre") > 0)
-                now = (now.where(condition) if condition is not None else now).select("doc_id", F.lit(0).cast("long").alias("ctx"), *axes.COLUMNS)
+                now = (now.where(condition) if condition is not None else now).select("doc_id", F.lit(0).cast("long").alias("ctx"), *[F.lit(0).cast("long").alias(k) for k in f.keys[1:]], *axes.COLUMNS)
             else:
                 now = axes.step(now, self.nodes, axis, condition, carry)
             from_root = False
+            if axis not in ("child", "attribute", "self") and not any(map(counts_positions, predicates)):
+                now, axis = now.dropDuplicates(["doc_id", "pre", *f.keys[1:]]), "self"
             for p in predicates:
-                now = self._filter(now, p, axis, carry)
+                now = self._filter(now, p, axis, f)
             if axis not in ("child", "attribute", "self"):
-                now = now.dropDuplicates(keys)
+                now = now.dropDuplicates(["doc_id", "pre", *f.keys[1:]])
             now = now.drop("ctx")
         return now
 
-    def _filter(self, now: DataFrame, p, axis: str, carry: tuple) -> DataFrame:
-        if p[0] == "number":
-            p = ("compare", "=", ("call", "position", []), p)
-        if p[0] == "call" and p[1] == "last":
-            p = ("compare", "=", ("call", "position", []), p)
-        if _positional(p):
-            each = Window.partitionBy("doc_id", "ctx", *carry)
-            order = F.col("pre").desc() if axis in axes.REVERSE else F.col("pre")
-            now = now.withColumn("__position", F.row_number().over(each.orderBy(order))).withColumn("__last", F.count("*").over(each))
-        if p[0] == "and" and not _positional(p):
-            return self._filter(self._filter(now, p[1], axis, carry), p[2], axis, carry)
-        marked, condition = self._condition(now, p, 0)
-        return marked.where(condition).select(*[c for c in now.columns if not c.startswith("__")])
-
-    def _condition(self, now: DataFrame, p, n: int) -> tuple[DataFrame, Column]:
-        """(rows with further columns, truth of the predicate)."""
-        if p[0] in ("and", "or"):
-            now, a = self._condition(now, p[1], 2 * n + 1)
-            now, b = self._condition(now, p[2], 2 * n + 2)
-            return now, (a & b if p[0] == "and" else a | b)
-        if p[0] == "call" and p[1] in ("not", "boolean"):
-            now, a = self._condition(now, p[2][0], 2 * n + 1)
-            return now, ~a if p[1] == "not" else a
-        if p[0] == "path":
-            return self._exists(now, p, None, n)
-        if p[0] == "call" and p[1] in _TESTS:
-            return self._exists(now, p[2][0], lambda v: _TESTS[p[1]](v, p[2][1][1]), n)
-        if p[0] == "compare":
-            _, op, a, b = p
-            if a[0] != "path" and b[0] == "path":
-                op, a, b = _FLIP[op], b, a
-            if a[0] == "path" and b[0] in ("string", "number"):
-                return self._exists(now, a, lambda v: _compared(op, v, b), n)
-            if a[0] == "path" and b[0] == "path":
-                return self._matching(now, a, b, op, n)
-            now, x = self._scalar(now, a, 2 * n + 1)
-            now, y = self._scalar(now, b, 2 * n + 2)
-            return now, _apply(op, x, y)
-        raise SyntaxError(f"this predicate is not known: {p}")
-
-    def _scalar(self, now: DataFrame, p, n: int) -> tuple[DataFrame, Column]:
-        if p[0] in ("number", "string"):
-            return now, F.lit(p[1])
-        if p[0] == "call" and p[1] in ("position", "last"):
-            return now, F.col(f"__{p[1]}").cast("double")
-        if p[0] == "call" and p[1] == "count":
-            name = f"__count{n}"
-            found = self._operand(now, p[2][0]).groupBy("doc_id", "o_pre").agg(F.count("*").alias(name)).withColumnRenamed("o_pre", "pre")
-            return now.join(found, ["doc_id", "pre"], "left"), F.coalesce(name, F.lit(0)).cast("double")
-        if p[0] == "arithmetic":
-            now, x = self._scalar(now, p[2], 2 * n + 1)
-            now, y = self._scalar(now, p[3], 2 * n + 2)
-            return now, _ARITHMETIC[p[1]](_number(x), _number(y))
-        if p[0] == "path" or p[0] == "call" and p[1] in ("sum", "string-length", "number"):
-            path, name, first = (p if p[0] == "path" else p[2][0]), f"__value{n}", F.min_by("text", "pre")
-            total = p[0] == "call" and p[1] == "sum"
-            found = self._texts(now, path).groupBy("doc_id", "o_pre").agg((F.sum(_number(F.col("text"))) if total else first).alias(name)).withColumnRenamed("o_pre", "pre")
-            value = F.coalesce(name, F.lit(0.0)) if total else F.length(F.coalesce(name, F.lit(""))).cast("double") if p[0] == "call" and p[1] == "string-length" else _number(F.col(name))
-            return now.join(found, ["doc_id", "pre"], "left"), value
-        raise SyntaxError(f"this operand is not known: {p}")
-
-    def _operand(self, now: DataFrame, p) -> DataFrame:
-        _, absolute, steps = p
-        start = now.select("doc_id", F.col("pre").alias("o_pre"), *axes.COLUMNS).dropDuplicates(["doc_id", "pre"])
-        if absolute:
-            start = start.select("doc_id", "o_pre").join(axes.roots(self.nodes), "doc_id")
-        return self._run(start, steps, ("o_pre",))
-
-    def _texts(self, now: DataFrame, p) -> DataFrame:
-        """The nodes of a path in a predicate with their string values; attributes and texts need no join for theirs."""
-        found = self._operand(now, p)
-        return axes.string_value(found, self.nodes) if any(x[0] != "attribute" and x[1][0] != "text" for x in p[2][-1:]) else found.withColumn("text", F.col("value"))
-
-    def _matching(self, now: DataFrame, a, b, op: str, n: int) -> tuple[DataFrame, Column]:
-        """Two paths: true if any pair of their values compares so. Equality is an equi join; order needs only the least and greatest values."""
-        name, keys = f"__is{n}", ["doc_id", "o_pre"]
-        x, y = (self._texts(now, p).select(*keys, F.col("text").alias(c)) for p, c in ((a, "x"), (b, "y")))
-        if op == "=":
-            found = x.join(y.withColumnRenamed("y", "x"), [*keys, "x"], "left_semi")
+    def _filter(self, now: DataFrame, p, axis: str, f: Frame) -> DataFrame:
+        if p[0] == "and" and not asks_position(p):
+            return self._filter(self._filter(now, p[1], axis, f), p[2], axis, f)
+        columns = now.columns
+        node, ctx = self._name("k"), self._name("k")
+        rows = now.withColumn(node, F.col("pre")).withColumn(ctx, F.col("ctx"))
+        g = Frame(rows, ["doc_id", *f.keys[1:], ctx, node], f.outside(), list(f.carried))
+        g.place = (["doc_id", "ctx", *f.keys[1:]], axis in axes.REVERSE)
+        if self._is_nodes(p, g) and not self._is_attribute(p):
+            return rows.join(self._nodes(p, g).select(*g.keys).distinct(), g.keys, "left_semi").select(*columns)
+        if p[0] == "call" and p[1] == "not" and self._is_nodes(p[2][0], g) and not self._is_attribute(p[2][0]):
+            return rows.join(self._nodes(p[2][0], g).select(*g.keys).distinct(), g.keys, "left_anti").select(*columns)
+        s = self._seq(p, g) if counts_positions(p) else None
+        if s is not None and s.type in NUMBERS:
+            holds = s.one().cast("double") == self._position(g)
         else:
-            # all pairs are equal only if both sides have one and the same value
-            of = (lambda c: c) if op == "!=" else _number
-            bounds = lambda d, c: d.groupBy(*keys).agg(F.min(of(F.col(c))).alias(f"{c}0"), F.max(of(F.col(c))).alias(f"{c}1"))
-            x0, x1, y0, y1 = map(F.col, ("x0", "x1", "y0", "y1"))
-            some = {"!=": (x0 != y1) | (x1 != y0), "<": x0 < y1, "<=": x0 <= y1, ">": x1 > y0, ">=": x1 >= y0}[op]
-            found = bounds(x, "x").join(bounds(y, "y"), keys).where(some)
-        found = found.select("doc_id", F.col("o_pre").alias("pre"), F.lit(True).alias(name)).distinct()
-        return now.join(found, ["doc_id", "pre"], "left"), F.coalesce(name, F.lit(False))
-
-    def _exists(self, now: DataFrame, p, holds, n: int) -> tuple[DataFrame, Column]:
-        found = self._operand(now, p) if holds is None else self._texts(now, p).where(holds(F.col("text")))
-        name = f"__is{n}"
-        found = found.select("doc_id", F.col("o_pre").alias("pre"), F.lit(True).alias(name)).distinct()
-        return now.join(found, ["doc_id", "pre"], "left"), F.coalesce(name, F.lit(False))
-
-
-def _number(c: Column) -> Column:
-    return c.try_cast("double")
-
-
-def _apply(op: str, a: Column, b: Column) -> Column:
-    return {"=": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
-
-
-def _compared(op: str, value: Column, literal) -> Column:
-    if literal[0] == "number" or op not in ("=", "!="):
-        return _apply(op, F.expr("try_cast(text as double)"), F.lit(float(literal[1])))
-    return _apply(op, value, F.lit(literal[1]))
+            holds = self._truth(p, g) if s is None else self._effective(s)
+        return g.df.where(holds).select(*columns)
+
+    def _position(self, f: Frame) -> Column:
+        return self._placed(f, "position")
+
+    def _placed(self, f: Frame, what: str) -> Column:
+        if f.position is not None:
+            return f.position if what == "position" else f.last
+        if f.place is None:
+            return F.lit(1).cast("bigint")
+        keys, reverse = f.place
+        each = Window.partitionBy(*keys)
+        order = F.col("pre").desc() if reverse else F.col("pre")
+        name = f"__{what}"
+        if name not in f.base.columns:
+            f.base = f.base.withColumn(name, F.row_number().over(each.orderBy(order)).cast("bigint") if what == "position" else F.count("*").over(each))
+        return F.col(name)
+
+    @staticmethod
+    def _is_attribute(e) -> bool:
+        """@name of the context or of a variable: a column, no join."""
+        return e[0] == "path" and e[1][0] in ("context", "variable") and len(e[2]) == 1 and e[2][0][0] == "attribute" and e[2][0][1][0] == "name" and "*" not in e[2][0][1][1] and not e[2][0][2]
+
+    def _attribute(self, name: str, attrs: Column) -> Column:
+        if name.startswith("Q{"):
+            name = name.removeprefix("Q{}") if name.startswith("Q{}") else name[1:]
+        elif ":" in name:
+            prefix, _, local = name.partition(":")
+            name = f"{{{self.namespaces[prefix]}}}{local}"
+        return attrs[name]
+
+    def _texts(self, e, f: Frame) -> DataFrame:
+        """The nodes of an expression with their string values, column ``text``; attributes and texts need no join for theirs."""
+        if e[0] == "path" and e[2] and self._is_attribute(("path", ("context",), e[2][-1:])) and (len(e[2]) > 1 or e[1][0] not in ("context", "variable")):
+            above = self._nodes(("path", e[1], e[2][:-1]) if len(e[2]) > 1 else e[1], f)
+            return above.withColumn("text", self._attribute(e[2][-1][1][1], F.col("attrs"))).where(F.col("text").isNotNull())
+        found = self._nodes(e, f)
+        if e[0] == "path" and e[2] and (e[2][-1][0] == "attribute" or e[2][-1][1][0] == "text"):
+            return found.withColumn("text", F.col("value"))
+        return axes.string_value(found, self.nodes)
+
+    def _bind(self, e, f: Frame, variable: str | None) -> tuple[Frame, str]:
+        """A frame with a row for each node of ``e``: the variable's, or the context."""
+        key, name = self._name("k"), self._name("n")
+        kept = [] if variable is None else [f"{name}c_{c}" for c in axes.COLUMNS]
+        if variable is not None:
+            f.base = f.base.withColumns({k: F.col(c) for k, c in zip(kept, axes.COLUMNS, strict=True)})
+        h = Frame(f.base, f.keys, f.outside(), [*f.carried, *kept])
+        if f.item is not None and e[0] not in ("root", "path", "union", "filter"):
+            raise _NeedsRows
+        found = self._nodes(e, h).select("doc_id", *self._carry(h), *axes.COLUMNS).withColumn(key, F.col("pre"))
+        if variable is None:
+            return Frame(found, [*f.keys, key], f.outside(), list(f.carried)), key
+        found = found.withColumnsRenamed({c: f"{name}_{c}" for c in axes.COLUMNS}).withColumnsRenamed(dict(zip(kept, axes.COLUMNS, strict=True)))
+        return Frame(found, [*f.keys, key], f.outside() | {variable: ("node", name)}, [*f.carried, *[f"{name}_{c}" for c in axes.COLUMNS]]), key
+
+    def _gather(self, f: Frame, rows: DataFrame, order: str, value: Column, many: bool) -> Column:
+        """A column of the frame: the values of its rows in order."""
+        name = self._name("g")
+        got = rows.groupBy(*f.keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))).alias("x"))
+        out = F.transform("x", lambda x: x["v"])
+        out = F.flatten(out) if many else F.filter(out, lambda x: x.isNotNull())
+        f.pending.append(got.select(*f.keys, out.alias(name)))
+        return F.coalesce(F.col(name), F.array().cast(got.select(out.alias("t")).schema["t"].dataType))
+
+    # -- sequences -------------------------------------------------------------------------------
+
+    def _seq(self, e, f: Frame) -> Seq:
+        kind = e[0]
+        if kind == "number":
+            return Seq(F.lit(e[2]).cast(SPARK[e[1]]), e[1], constant=True)
+        if kind == "string":
+            return Seq(F.lit(e[1]), "string", text=e[1], constant=True)
+        if kind == "context" and f.item is not None:
+            return f.item
+        if kind == "variable" and isinstance(f.variables.get(e[1]), Seq):
+            return f.variables[e[1]]
+        if kind == "variable" and e[1] in f.variables and f.variables[e[1]] is None:
+            raise _NeedsRows
+        if kind == "variable" and e[1] not in f.variables:
+            raise NameError(f"XPST0008: ${e[1]} is not bound")
+        if self._is_attribute(e) and (e[1][0] == "variable" or f.item is None):
+            attrs = F.col("attrs")
+            if e[1][0] == "variable":
+                bound = f.variables.get(e[1][1])
+                attrs = F.col(f"{bound[1]}_attrs") if isinstance(bound, tuple) and bound[0] == "node" else None
+            if attrs is not None:
+                value = self._attribute(e[2][0][1][1], attrs)
+                local = e[2][0][1][1].rpartition("}")[2].rpartition(":")[2]
+                item = F.struct(F.lit(None).cast("bigint").alias("pre"), F.lit(ATTR).alias("kind"), F.lit("").alias("ns_uri"), F.lit(local).alias("local"), F.lit("").alias("prefix"), value.alias("text"))
+                return Seq(F.when(value.isNotNull(), item), "node")
+        if self._is_nodes(e, f):
+            rows = self._texts(e, f)
+            item = F.struct("pre", F.col("kind").cast("int").alias("kind"), F.coalesce("ns_uri", F.lit("")).alias("ns_uri"), "local", F.lit("").alias("prefix"), "text")
+            found = Seq(self._gather(f, rows, "pre", item, False), "node", True)
+            return Seq(found.one(), "node") if kind in ("context", "root") else found
+        if kind == "seq":
+            return self._seq_([self._seq(x, f) for x in e[1]]) if e[1] else Seq(F.array().cast("array<string>"), "empty", True)
+        if kind == "filter":
+            return self._filter_items(e, f)
+        return getattr(self, f"_{kind}")(e, f)
+
+    def atoms(self, s: Seq) -> Seq:
+        if s.type != "node":
+            return s
+        return Seq(F.transform(s.col, lambda x: x["text"]) if s.many else s.col["text"], "untyped", s.many)
+
+    def numbers(self, s: Seq) -> Seq:
+        """Atomized; text becomes doubles."""
+        if s.type in NUMBERS:
+            return s
+        return Seq(F.transform(s.col, lambda x: number_of(x, s.type)) if s.many else number_of(s.col, s.type), "double", s.many)
+
+    def strings(self, s: Seq) -> Seq:
+        return Seq(F.transform(s.col, lambda x: text_of(x, s.type)) if s.many else text_of(s.col, s.type), "string", s.many)
+
+    def _path(self, e, f):
+        # the base is no node sequence: steps from its items can't be
+        raise SyntaxError(f"steps need nodes: {e}")
+
+    def _each(self, e, f):
+        g, key = self._bind(e[1], f, None)
+        return self._back(f, g, key, self._seq(e[2], g))
+
+    def _back(self, f: Frame, g: Frame, key: str, s: Seq) -> Seq:
+        if s.type in ("function", "map", "array"):
+            raise SyntaxError(f"a {s.type} for each node is not built")
+        return Seq(self._gather(f, g.df.withColumn("__value", s.col), key, F.col("__value"), s.many), s.type, True)
+
+    def _seq_(self, parts: list[Seq]) -> Seq:
+        parts = [s for s in parts if s.type != "empty"] or parts
+        kinds = {s.type for s in parts}
+        if len(kinds) > 1:
+            parts = [self.atoms(s) for s in parts]
+            kinds = {s.type for s in parts}
+        if kinds <= set(NUMBERS) and len(kinds) > 1:
+            parts, kinds = [Seq(F.transform(s.col, lambda x: x.cast("double")) if s.many else s.col.cast("double"), "double", s.many) for s in parts], {"double"}
+        if len(kinds) > 1:
+            parts, kinds = [self.strings(s) for s in parts], {"string"}
+        return Seq(F.concat(*[s.array() for s in parts]), kinds.pop(), True)
+
+    def _iterate(self, name: str, e, body, f: Frame, use) -> Seq:
+        """use: what to make of the Seq of all results."""
+        if self._is_nodes(e, f):
+            g, key = self._bind(e, f, name)
+            return use(self._back(f, g, key, self._seq(body, g)))
+        s = self._seq(e, f)
+        try:
+            kinds = []
+
+            def one(x):
+                r = self._seq(body, f.with_variable(name, Seq(x, s.type, free=False), True))
+                kinds.append(r)
+                return r.array() if r.many else r.col
+
+            made = F.transform(s.array(), one)
+            r = kinds[-1]
+            return use(Seq(F.flatten(made) if r.many else F.filter(made, lambda x: x.isNotNull()), r.type, True))
+        except _NeedsRows:
+            if f.in_lambda:
+                raise
+            key, value = self._name("k"), self._name("v")
+            rows = f.df.withColumn("__items", s.array()).select("*", F.posexplode("__items").alias(key, value)).drop("__items")
+            g = Frame(rows, [*f.keys, key], f.outside() | {name: Seq(F.col(value), s.type)}, [*f.carried, value])
+            return use(self._back(f, g, key, self._seq(body, g)))
+
+    def _for(self, e, f):
+        return self._iterate(e[1], e[2], e[3], f, lambda r: r)
+
+    def _some(self, e, f):
+        return self._iterate(e[1], e[2], ("call", "boolean", [e[3]]), f, lambda r: Seq(F.coalesce(F.exists(r.col, lambda x: x), F.lit(False)), "boolean"))
+
+    def _every(self, e, f):
+        return self._iterate(e[1], e[2], ("call", "boolean", [e[3]]), f, lambda r: Seq(F.coalesce(F.forall(r.col, lambda x: x), F.lit(True)), "boolean"))
+
+    def _let(self, e, f):
+        if self._is_nodes(e[2], f):
+            return self._seq(e[3], f.with_variable(e[1], ("expression", e[2], f.variables)))
+        s = self._seq(e[2], f)
+        if f.in_lambda or s.type == "function":
+            return self._seq(e[3], f.with_variable(e[1], Seq(s.col, s.type, s.many, False)))
+        name = self._name("v")
+        f.add(name, s.col)
+        f.carried = [*f.carried, name]
+        return self._seq(e[3], f.with_variable(e[1], Seq(F.col(name), s.type, s.many)))
+
+    def _if(self, e, f):
+        test, a, b = self._truth(e[1], f), self._seq(e[2], f), self._seq(e[3], f)
+        if e[2] == ("seq", []) or e[3] == ("seq", []):
+            x = b if e[2] == ("seq", []) else a
+            none = F.array().cast(f"array<{SPARK.get(x.type, _NODE)}>") if x.many else F.lit(None)
+            return Seq(F.when(~test if x is b else test, x.col).otherwise(none), x.type, x.many)
+        if a.type != b.type or a.many != b.many:
+            if a.type != b.type:
+                a, b = self.atoms(a), self.atoms(b)
+            if a.type != b.type:
+                a, b = (self.numbers(a), self.numbers(b)) if a.type in NUMBERS and b.type in NUMBERS else (self.strings(a), self.strings(b))
+                if a.type in NUMBERS:
+                    a, b = (Seq(F.transform(s.col, lambda x: x.cast("double")) if s.many else s.col.cast("double"), "double", s.many) for s in (a, b))
+            if a.many != b.many:
+                a, b = Seq(a.array(), a.type, True), Seq(b.array(), b.type, True)
+        return Seq(F.when(test, a.col).otherwise(b.col), a.type, a.many)
+
+    def _to(self, e, f):
+        a, b = (self.numbers(self._seq(x, f)).one().cast("bigint") for x in e[1:])
+        return Seq(F.when(a <= b, F.sequence(a, F.greatest(a, b))).otherwise(F.array().cast("array<bigint>")), "integer", True)
+
+    def _negative(self, e, f):
+        s = self.numbers(self._seq(e[1], f))
+        return Seq(-s.one(), s.type)
+
+    def _positive(self, e, f):
+        s = self.numbers(self._seq(e[1], f))
+        return Seq(s.one(), s.type)
+
+    def _arithmetic(self, e, f):
+        from nodeloom.functions import fn
+
+        op, x, y = e[1], self._seq(e[2], f), self._seq(e[3], f)
+        if "date" in (x.type, y.type):
+            if x.type == y.type:
+                return Seq(F.concat(F.when(x.one() < y.one(), "-").otherwise(""), F.lit("P"), F.abs(F.datediff(x.one(), y.one())).cast("string"), F.lit("D")), "string")
+            d, by = (x, y) if x.type == "date" else (y, x)
+            span = values.duration(self.strings(by).one())
+            sign = -1 if op == "-" else 1
+            return Seq(F.date_add(F.add_months(d.one(), sign * span["months"]), (sign * span["seconds"] / 86400).cast("int")), "date")
+        a, b = self.numbers(x), self.numbers(y)
+        whole = a.type == b.type == "integer"
+        p, q = (a.one(), b.one()) if whole else (a.one().cast("double"), b.one().cast("double"))
+        if op == "div":
+            return Seq(fn.divide(p, q), "decimal" if whole else "double")
+        if op == "idiv":
+            zero = F.when(q == 0, F.raise_error(F.lit("FOAR0001: division by zero")).cast("bigint"))
+            r = p / F.when(q != 0, q)
+            exact = F.when((p < 0) != (q < 0), -F.floor(F.abs(p) / F.when(q != 0, F.abs(q)))).otherwise(F.floor(r)) if not whole else F.expr("NULL")
+            if whole:
+                exact = (p - p % F.when(q != 0, q)) / F.when(q != 0, q)
+            return Seq(F.coalesce(zero, exact.cast("bigint")), "integer")
+        if op == "mod":
+            zero = F.raise_error(F.lit("FOAR0001: division by zero")).cast("bigint") if whole else F.lit(float("nan"))
+            return Seq(F.when(q == 0, zero).otherwise(p % F.when(q != 0, q)), "integer" if whole else "double")
+        return Seq({"+": p + q, "-": p - q, "*": p * q}[op], "integer" if whole else "decimal" if {a.type, b.type} <= {"integer", "decimal"} else "double")
+
+    def _general(self, e, f):
+        return Seq(self._compared(e[1], e[2], e[3], f), "boolean")
+
+    def _compared(self, op: str, x, y, f: Frame) -> Column:
+        if self._is_nodes(x, f) and not self._is_attribute(x) and x[0] != "context" and not f.in_lambda:
+            if not self._is_nodes(y, f) or self._is_attribute(y):
+                other = self.atoms(self._seq(y, f))
+                if not other.many:
+                    return self._marked(x, op, other, f)
+            elif y[0] != "context":
+                return self._matching(x, y, op, f)
+        elif self._is_nodes(y, f) and not self._is_attribute(y) and y[0] != "context" and not f.in_lambda:
+            other = self.atoms(self._seq(x, f))
+            if not other.many:
+                return self._marked(y, _FLIP[op], other, f)
+        return self._any(op, self.atoms(self._seq(x, f)), self.atoms(self._seq(y, f)))
+
+    def _any(self, op: str, a: Seq, b: Seq) -> Column:
+        numeric = a.type in NUMBERS or b.type in NUMBERS or op not in ("eq", "ne") and a.type == b.type == "untyped"
+        if numeric:
+            a, b = self.numbers(a), self.numbers(b)
+        elif a.type != b.type:
+            typed = next((s.type for s in (a, b) if s.type not in ("string", "untyped")), None)
+            cast = lambda s: s if s.type == typed else Seq(F.transform(s.col, lambda x: x.try_cast(SPARK[typed])) if s.many else s.col.try_cast(SPARK[typed]), typed, s.many)
+            a, b = (cast(a), cast(b)) if typed else (a, b)
+        if not a.many and not b.many:
+            return F.coalesce(compare(op, a.col, b.col, numeric), F.lit(False))
+        if not b.many:
+            return F.coalesce(F.exists(a.col, lambda x: compare(op, x, b.col, numeric)), F.lit(False))
+        if not a.many:
+            return F.coalesce(F.exists(b.col, lambda x: compare(op, a.col, x, numeric)), F.lit(False))
+        # sequences on both sides: no pairs, equality is an overlap and order a matter of the extremes
+        x, y = (F.transform(s.col, lambda v: v.cast("double")) if numeric else s.col for s in (a, b))
+        odd = lambda c: F.exists(c, lambda v: F.isnan(v)) & (F.size(c) > 0) if numeric else F.lit(False)
+        p, q = (F.filter(c, lambda v: ~F.isnan(v)) if numeric else c for c in (x, y))
+        if op == "eq":
+            out = F.arrays_overlap(p, q)
+        elif op == "ne":
+            out = (odd(x) & (F.size(y) > 0)) | (odd(y) & (F.size(x) > 0)) | (F.array_min(p) != F.array_max(q)) | (F.array_max(p) != F.array_min(q))
+        else:
+            out = {"lt": F.array_min(p) < F.array_max(q), "le": F.array_min(p) <= F.array_max(q), "gt": F.array_max(p) > F.array_min(q), "ge": F.array_max(p) >= F.array_min(q)}[op]
+        return F.coalesce(out, F.lit(False))
+
+    def _flag(self, f: Frame, found: DataFrame) -> Column:
+        name = self._name("is")
+        f.pending.append(found.select(*f.keys).distinct().withColumn(name, F.lit(True)))
+        return F.coalesce(F.col(name), F.lit(False))
+
+    def _marked(self, path, op: str, other: Seq, f: Frame) -> Column:
+        """Whether a node of the path compares so with the one item."""
+        name = self._name("v")
+        if not other.constant:
+            f.add(name, other.col)
+        g = Frame(f.base, f.keys, f.outside(), f.carried if other.constant else [*f.carried, name])
+        numeric = other.type in NUMBERS or op not in ("eq", "ne") and other.type == "untyped"
+        typed = other.type if other.type not in ("string", "untyped") else None
+        value = number_of(F.col("text"), "untyped") if numeric else F.col("text").try_cast(SPARK[typed]) if typed else F.col("text")
+        return self._flag(f, self._texts(path, g).where(compare(op, value, other.col if other.constant else number_of(F.col(name), other.type) if numeric else F.col(name), numeric)))
+
+    def _matching(self, a, b, op: str, f: Frame) -> Column:
+        """Two paths: whether any pair of their values compares so. Equality is an equi join; order needs only the least and greatest values."""
+        x, y = (self._texts(p, f).select(*f.keys, F.col("text").alias("x")) for p in (a, b))
+        if op == "eq":
+            return self._flag(f, x.join(y, [*f.keys, "x"], "left_semi"))
+        # all pairs are equal only if both sides have one and the same value; untyped values are compared as text
+        bounds = lambda d, c: d.groupBy(*f.keys).agg(F.min("x").alias(f"{c}0"), F.max("x").alias(f"{c}1"))
+        x0, x1, y0, y1 = map(F.col, ("x0", "x1", "y0", "y1"))
+        some = {"ne": (x0 != y1) | (x1 != y0), "lt": x0 < y1, "le": x0 <= y1, "gt": x1 > y0, "ge": x1 >= y0}[op]
+        if op != "ne":
+            x, y = (d.withColumn("x", number_of(F.col("x"), "untyped")).where(~F.isnan("x")) for d in (x, y))
+        return self._flag(f, bounds(x, "x").join(bounds(y, "y"), f.keys).where(some))
+
+    def _value(self, e, f):
+        a, b = self.atoms(self._seq(e[2], f)), self.atoms(self._seq(e[3], f))
+        numeric = a.type in NUMBERS or b.type in NUMBERS
+        if numeric:
+            a, b = self.numbers(a), self.numbers(b)
+        return Seq(compare(e[1], a.one(), b.one(), numeric), "boolean")
+
+    def _order(self, e, f):
+        a, b = self._seq(e[2], f), self._seq(e[3], f)
+        a, b = a.one()["pre"], b.one()["pre"]
+        return Seq({"is": a == b, "<<": a < b, ">>": a > b}[e[1]], "boolean")
+
+    def _effective(self, s: Seq) -> Column:
+        """Effective boolean value."""
+        if s.type == "node":
+            return F.size(s.col) > 0 if s.many else s.col.isNotNull()
+        x = s.one()
+        if s.type == "boolean":
+            out = x
+        elif s.type in NUMBERS:
+            out = (x != 0) & ~F.isnan(x.cast("double"))
+        elif s.type in ("string", "untyped"):
+            out = x != ""
+        else:
+            raise TypeError(f"FORG0006: a {s.type} has no effective boolean value")
+        return F.coalesce(out, F.lit(False))
+
+    def _truth(self, e, f: Frame) -> Column:
+        if e[0] in ("and", "or"):
+            a, b = self._truth(e[1], f), self._truth(e[2], f)
+            return a & b if e[0] == "and" else a | b
+        if e[0] == "call" and e[1] in ("not", "boolean", "exists", "empty") and len(e[2]) == 1 and (e[1] in ("not", "boolean") or self._is_nodes(e[2][0], f)):
+            held = self._truth(e[2][0], f)
+            return ~held if e[1] in ("not", "empty") else held
+        if self._is_nodes(e, f) and not self._is_attribute(e) and e[0] != "context":
+            return self._flag(f, self._nodes(e, f))
+        if e[0] == "general":
+            return self._compared(e[1], e[2], e[3], f)
+        return self._effective(self._seq(e, f))
+
+    def _and(self, e, f):
+        return Seq(self._truth(e, f), "boolean")
+
+    _or = _and
+
+    def _filter_items(self, e, f):
+        s = self._seq(e[1], f)
+        if e[2][0] == "number":
+            return Seq(F.try_element_at(s.array(), F.lit(int(e[2][2]))), s.type)
+        if e[2] == ("call", "last", []):
+            return Seq(F.try_element_at(s.array(), F.lit(-1)), s.type)
+        items = s.array()
+        last = F.size(items).cast("bigint")
+
+        def holds(x, i):
+            place = (i + 1).cast("bigint")
+            g = f.with_item(Seq(x, s.type, free=False), place, last)
+            r = self._seq(e[2], g)
+            return (r.one().cast("double") == place) if r.type in NUMBERS else self._effective(r)
+
+        return Seq(F.filter(items, holds), s.type, True)
+
+    def _map(self, e, f):
+        if self._is_nodes(e[1], f):
+            g, key = self._bind(e[1], f, None)
+            return self._back(f, g, key, self._seq(e[2], g))
+        s = self._seq(e[1], f)
+        kinds = []
+
+        def one(x, i):
+            r = self._seq(e[2], f.with_item(Seq(x, s.type, free=False), (i + 1).cast("bigint"), F.size(s.array()).cast("bigint")))
+            kinds.append(r)
+            return r.array() if r.many else r.col
+
+        made = F.transform(s.array(), one)
+        r = kinds[-1]
+        return Seq(F.flatten(made) if r.many else F.filter(made, lambda x: x.isNotNull()), r.type, True)
+
+    # -- types -----------------------------------------------------------------------------------
+
+    def _matches_type(self, s: Seq, kind) -> Column:
+        name, inner, often = kind
+        n = F.size(s.col) if s.many else F.when(s.col.isNull(), 0).otherwise(1)
+        if name == "empty-sequence":
+            return n == 0
+        count = {"": n == 1, "?": n <= 1, "*": F.lit(True), "+": n >= 1}[often]
+        local = name.rpartition(":")[2]
+        if s.type == "node":
+            if name in ("node", "item"):
+                return count
+            wanted = {"element": ELEM, "attribute": ATTR, "text": TEXT, "comment": COMMENT, "processing-instruction": PI, "document-node": DOC}.get(name)
+            if wanted is None:
+                return F.lit(False) if often not in ("?", "*") else n == 0
+            fits = lambda x: (x["kind"] == wanted) & (x["local"] == inner[0] if inner and inner[0] != "*" else F.lit(True))
+            return count & (F.forall(s.col, fits) if s.many else F.coalesce(fits(s.col), F.lit(True)))
+        above = {"integer": ("integer", "decimal"), "untyped": ("untypedAtomic",)}.get(s.type, (s.type,))
+        if name == "item" or local in above or local == "anyAtomicType" and s.type not in ("map", "array", "function") or local == "numeric" and s.type in NUMBERS:
+            return count
+        return n == 0 if often in ("?", "*") else F.lit(False)
+
+    def _instance(self, e, f):
+        s = self._seq(e[1], f)
+        if s.type == "function":
+            return Seq(F.lit(e[2][0] in ("function", "item")), "boolean")
+        return Seq(self._matches_type(s, e[2]), "boolean")
+
+    def _treat(self, e, f):
+        s = self._seq(e[1], f)
+        wrong = F.raise_error(F.lit(f"XPDY0050: not {e[2][0]}{e[2][2]}"))
+        kind = f"array<{SPARK.get(s.type, _NODE)}>" if s.many else SPARK.get(s.type, _NODE)
+        return Seq(F.when(self._matches_type(s, e[2]), s.col).otherwise(wrong.cast(kind)), s.type, s.many)
+
+    def cast(self, s: Seq, kind: str, strict: bool = True) -> Seq:
+        """The first item as xs:``kind``; without ``strict`` null where it is none."""
+        kind = kind.rpartition(":")[2]
+        x = self.atoms(s)
+        if kind in ("integer", "decimal", "double", "float") and x.type in (*NUMBERS, "boolean"):
+            v = x.one().cast("double")
+            if kind == "integer":
+                return Seq(F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).cast("bigint") if x.type != "integer" else x.one(), "integer")
+            return Seq(v, "decimal" if kind == "decimal" else "double")
+        if kind == "boolean" and x.type in (*NUMBERS, "boolean"):
+            return Seq(x.one().cast("double").cast("boolean") & ~F.isnan(x.one().cast("double")) if x.type != "boolean" else x.one(), "boolean")
+        if x.type == kind:
+            return Seq(x.one(), kind)
+        text = self.strings(x).one()
+        if kind == "date" and x.type == "dateTime":
+            return Seq(x.one().cast("date"), "date")
+        held = (values.construct if strict else values.cast_as)(text, kind)
+        if kind == "dateTime":
+            return Seq(F.to_timestamp_ntz(F.replace(F.regexp_replace(held, "(Z|[+-][0-9]{2}:[0-9]{2})$", ""), F.lit("T"), F.lit(" "))), "dateTime")
+        if kind in values.BOUNDS or kind == "integer":
+            return Seq(held.cast("bigint"), "integer")
+        if kind in ("decimal", "double", "float"):
+            return Seq(held.cast("double"), "decimal" if kind == "decimal" else "double")
+        if kind in ("boolean", "date"):
+            return Seq(held, kind)
+        if kind in ("hexBinary", "base64Binary"):
+            return Seq(F.hex(held) if kind == "hexBinary" else F.base64(held), "string")
+        return Seq(held, "untyped" if kind == "untypedAtomic" else "string")
+
+    def _cast(self, e, f):
+        return self.cast(self._seq(e[1], f), e[2])
+
+    def _castable(self, e, f):
+        s = self._seq(e[1], f)
+        none = F.lit(e[3])
+        return Seq(F.when(s.one().isNull(), none).otherwise(self.cast(s, e[2], False).col.isNotNull()), "boolean")
+
+    # -- maps, arrays, functions -----------------------------------------------------------------
+
+    def _entries(self, e, f):
+        if not e[1]:
+            return Seq(F.create_map().cast("map<string,string>"), "map:string")
+        keys = [self.strings(self._seq(k, f)).one() for k, _ in e[1]]
+        vals = self._alike([self._seq(v, f) for _, v in e[1]])
+        return Seq(F.create_map(*[x for k, v in zip(keys, vals, strict=True) for x in (k, v.col)]), f"map:{vals[0].type}{'*' if vals[0].many else ''}")
+
+    def _alike(self, parts: list[Seq]) -> list[Seq]:
+        """The sequences with one type and form."""
+        parts = [self.atoms(s) for s in parts]
+        kinds = {s.type for s in parts}
+        if len(kinds) > 1:
+            if kinds <= set(NUMBERS):
+                parts = [Seq(F.transform(s.col, lambda x: x.cast("double")) if s.many else s.col.cast("double"), "double", s.many) for s in parts]
+            else:
+                parts = [self.strings(s) for s in parts]
+        if any(s.many for s in parts):
+            parts = [Seq(s.array(), s.type, True) for s in parts]
+        return parts
+
+    def _array(self, e, f):
+        if not e[1]:
+            return Seq(F.array().cast("array<string>"), "array:string")
+        members = self._alike([self._seq(x, f) for x in e[1]])
+        return Seq(F.array(*[m.col for m in members]), f"array:{members[0].type}{'*' if members[0].many else ''}")
+
+    def _members(self, e, f):
+        s = self.atoms(self._seq(e[1], f))
+        return Seq(s.array(), f"array:{s.type}")
+
+    @staticmethod
+    def inner(s: Seq) -> tuple[str, bool]:
+        """(type, many) of what a map or an array holds."""
+        kind = s.type.partition(":")[2]
+        return kind.rstrip("*"), kind.endswith("*")
+
+    def _lookup(self, e, f):
+        s = self._seq(e[1], f)
+        kind, many = self.inner(s)
+        if e[2] is None:
+            held = F.map_values(s.col) if s.type.startswith("map") else s.col
+            return Seq(F.flatten(held) if many else held, kind, True)
+        k = self._seq(e[2], f)
+        if s.type.startswith("map"):
+            get = lambda x: s.col[text_of(x, k.type)]
+        else:
+            get = lambda x: F.element_at(s.col, number_of(x, k.type).cast("int"))
+        if not k.many:
+            found = get(k.col)
+            return Seq(F.coalesce(found, F.array().cast(f"array<{SPARK[kind]}>")), kind, True) if many else Seq(found, kind)
+        found = F.transform(k.col, get)
+        return Seq(F.flatten(F.filter(found, lambda x: x.isNotNull())) if many else F.filter(found, lambda x: x.isNotNull()), kind, True)
+
+    def _function(self, e, f):
+        def call(*args: Seq) -> Seq:
+            g = f
+            for name, a in zip(e[1], args, strict=True):
+                g = g.with_variable(name, Seq(a.col, a.type, a.many, False), True)
+            return self._seq(e[2], g)
+
+        call.arity = len(e[1])
+        return Seq(call, "function")
+
+    def _named(self, e, f):
+        def call(*args: Seq) -> Seq:
+            return self.call(e[1], args, f)
+
+        call.arity = e[2]
+        return Seq(call, "function")
+
+    def _apply(self, e, f):
+        target = self._seq(e[1], f)
+        if target.type != "function":
+            return self._lookup(("lookup", e[1], e[2][0]), f)
+        return self._partial(lambda args: target.col(*args), e[2], f)
+
+    def _partial(self, run, args, f):
+        if ("hole",) not in args:
+            return run([self._seq(a, f) for a in args])
+        given = [None if a == ("hole",) else self._seq(a, f) for a in args]
+
+        def call(*rest: Seq) -> Seq:
+            left = iter(rest)
+            return run([next(left) if a is None else a for a in given])
+
+        call.arity = given.count(None)
+        return Seq(call, "function")
+
+    def _call(self, e, f):
+        from nodeloom.plans import library
+
+        name, args = e[1], e[2]
+        local = name.removeprefix("fn:")
+        if local in library.SPECIAL and local not in self.functions:
+            return library.SPECIAL[local](self, args, f)
+        return self._partial(lambda got: self.call(local, got, f), args, f)
+
+    def call(self, name: str, args, f: Frame) -> Seq:
+        """A function of the user's or of the library by name and number of arguments."""
+        from nodeloom.plans import library
+
+        name = name.removeprefix("fn:")
+        if name in self.functions:
+            return self.functions[name](*args)
+        if name.startswith("xs:"):
+            return self.cast(args[0], name)
+        found = library.FUNCTIONS.get((name, len(args))) or library.FUNCTIONS.get((name, None))
+        if found is None:
+            raise NameError(f"XPST0017: there is no {name} with {len(args)} arguments")
+        return found(self, *args)

@@ -16,24 +16,24 @@ from pyspark.sql import functions as F
 
 DOC, ELEM, ATTR, TEXT, COMMENT, PI = 0, 1, 2, 3, 4, 5
 
-NODES = "doc_id long, pre long, size long, level int, parent long, kind int, ns_uri string, local string, prefix string, sib_ord int, value string"
+NODES = "doc_id long, pre long, size long, level int, parent long, kind int, ns_uri string, local string, prefix string, sib_ord int, value string, attrs map<string,string>, declared map<string,string>"
 DOCS = "doc_id long, encoding string, version string, standalone boolean, wellformed boolean, error string, line int, col int"
 _NAMES = [x.split()[0] for x in NODES.split(", ")]
-_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "map<string,string>": pa.map_(pa.string(), pa.string())}
 
 
 class _Tree:
     """Rows of one document while it is parsed."""
 
     def __init__(self, doc_id: int, strip: bool = False):
-        self.rows: list[list] = [[doc_id, 0, 0, 0, None, DOC, None, None, None, 1, None]]
+        self.rows: list[list] = [[doc_id, 0, 0, 0, None, DOC, None, None, None, 1, None, None, None]]
         self.doc_id, self.open, self.children, self.strip = doc_id, [0], [0], strip
         self.text: list[str] = []
 
-    def add(self, kind: int, name: tuple = (None, None, None), value: str | None = None) -> int:
+    def add(self, kind: int, name: tuple = (None, None, None), value: str | None = None, attrs: list | None = None, declared: list | None = None) -> int:
         pre = len(self.rows)
         self.children[-1] += kind != ATTR
-        self.rows.append([self.doc_id, pre, 0, len(self.open), self.open[-1], kind, *name, None if kind == ATTR else self.children[-1], value])
+        self.rows.append([self.doc_id, pre, 0, len(self.open), self.open[-1], kind, *name, None if kind == ATTR else self.children[-1], value, attrs, declared])
         return pre
 
     def flush(self) -> None:
@@ -42,9 +42,11 @@ class _Tree:
         if text and not (self.strip and not text.strip(" \t\r\n")) and len(self.open) > 1:
             self.add(TEXT, value=text)
 
-    def start(self, name: tuple, attrs: list[tuple[tuple, str]]) -> None:
+    def start(self, name: tuple, attrs: list[tuple[tuple, str]], declared: list | None = None) -> None:
+        """attrs also stand in a map on the element, by local name or {uri}name; declared: the namespaces that it declares, by prefix."""
         self.flush()
-        self.open.append(self.add(ELEM, name))
+        held = [(f"{{{n[0]}}}{n[1]}" if n[0] else n[1], v) for n, v in attrs] if attrs else None
+        self.open.append(self.add(ELEM, name, None, held, declared))
         self.children.append(0)
         for n, v in attrs:
             self.add(ATTR, n, v)
@@ -81,10 +83,14 @@ def parse_xml(doc_id: int, text: str | bytes, recover: bool = False, strip: bool
     p.buffer_text = True
     p.ordered_attributes = True
 
+    declared: list[tuple[str, str]] = []
+
     def start(name, attrs):
-        tree.start(_name(name), [(_name(n), v) for n, v in zip(attrs[::2], attrs[1::2], strict=True)])
+        tree.start(_name(name), [(_name(n), v) for n, v in zip(attrs[::2], attrs[1::2], strict=True)], [*declared] or None)
+        declared.clear()
 
     p.StartElementHandler, p.EndElementHandler = start, lambda _: tree.end()
+    p.StartNamespaceDeclHandler = lambda prefix, uri: declared.append((prefix or "", uri or ""))
     p.CharacterDataHandler = tree.text.append
     p.CommentHandler = lambda v: tree.leaf(COMMENT, v)
     p.ProcessingInstructionHandler = lambda target, v: tree.leaf(PI, v, target)
