@@ -62,8 +62,7 @@ def conflicts(nodes: DataFrame, rules: list[Rule], mode: str | None = None) -> D
 def transform(nodes: DataFrame, rules: list[Rule], mode: str | None = None, no_match: str = "text-only-copy", namespaces: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, text). no_match, for nodes without a rule: text-only-copy, shallow-skip, deep-skip or deep-copy-text."""
     best = matches(nodes, rules, mode, namespaces).where("rank = 1").drop("rank")
-    attrs = nodes.where(F.col("kind") == ATTR).groupBy("doc_id", F.col("parent").alias("pre")).agg(F.map_from_entries(F.collect_list(F.struct("local", "value"))).alias("attrs"))
-    rows = nodes.where(F.col("kind") != ATTR).join(best, ["doc_id", "pre"], "left").join(attrs, ["doc_id", "pre"], "left")
+    rows = nodes.where(F.col("kind") != ATTR).join(best, ["doc_id", "pre"], "left")
     builtin = F.when(F.col("kind") == TEXT, F.col("value")).otherwise("") if no_match in ("text-only-copy", "deep-copy-text") else F.lit("")
     opening, closing, descend = builtin, F.lit(""), F.lit(no_match != "deep-skip") | (F.col("kind") == DOC)
     for i, r in enumerate(rules):

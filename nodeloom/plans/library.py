@@ -72,6 +72,16 @@ def _of_duration(f: Callable, kind: str) -> Callable:
     return lambda s: pictures.once(pictures.once(s, values.duration), lambda d: f(d).cast(kind))
 
 
+#: Characters that output escapes.
+ESCAPES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;"}
+
+
+def _escaped(s: Column, which: str) -> Column:
+    for c in which:
+        s = F.replace(s, F.lit(c), F.lit(ESCAPES[c]))
+    return s
+
+
 def _define_all() -> None:
     for name, signature, result, f in (
         ("string", "s", "string", lambda s: s), ("codepoints-to-string", "q", "string", fn.codepoints_to_string), ("string-to-codepoints", "s", "integer*", fn.string_to_codepoints),
@@ -92,6 +102,7 @@ def _define_all() -> None:
         ("math:pi", "", "double", F.pi), ("math:exp", "d", "double", F.exp), ("math:exp10", "d", "double", text.exp10), ("math:log", "d", "double", text.math_log), ("math:log10", "d", "double", lambda d: text.math_log(d, True)),
         ("math:pow", "dd", "double", F.pow), ("math:sqrt", "d", "double", F.sqrt), ("math:sin", "d", "double", F.sin), ("math:cos", "d", "double", F.cos), ("math:tan", "d", "double", F.tan),
         ("math:asin", "d", "double", F.asin), ("math:acos", "d", "double", F.acos), ("math:atan", "d", "double", F.atan), ("math:atan2", "dd", "double", F.atan2),
+        ("xml:text", "s", "string", lambda s: _escaped(s, "&<>")), ("xml:attribute", "s", "string", lambda s: _escaped(s, '&<"')),
         ("true", "", "boolean", lambda: F.lit(True)), ("false", "", "boolean", lambda: F.lit(False)),
         ("empty", "q", "boolean", lambda q: F.size(q) == 0), ("exists", "q", "boolean", lambda q: F.size(q) > 0), ("head", "q", "=", fn.head), ("tail", "q", "=*", fn.tail),
         ("count", "q", "integer", fn.fn_count), ("reverse", "q", "=*", fn.reverse), ("distinct-values", "q", "=*", fn.distinct_values), ("unordered", "q", "=*", lambda q: q),

@@ -153,6 +153,7 @@ class XPath:
 
     def __init__(self, nodes: DataFrame, namespaces: dict[str, str] | None = None, functions: dict[str, Callable] | None = None):
         self.nodes, self.namespaces, self.functions = nodes, namespaces or {}, functions or {}
+        self.results: DataFrame | None = None
         self._n = itertools.count()
 
     # -- what users call -------------------------------------------------------------------------
@@ -178,7 +179,7 @@ class XPath:
         for name, v in (variables or {}).items():
             kind = "boolean" if isinstance(v, bool) else "integer" if isinstance(v, int) else "double" if isinstance(v, float) else "string"
             f.variables[name] = Seq(F.lit(v), kind, constant=True)
-        found = {name: self._seq(Parser(text).whole(), f) for name, text in expressions.items()}
+        found = {name: self._seq(Parser(text).whole() if isinstance(text, str) else text, f) for name, text in expressions.items()}
         columns = []
         for name, s in found.items():
             if s.type == "node":
@@ -385,7 +386,9 @@ class XPath:
             raise _NeedsRows
         found = self._nodes(e, h).select("doc_id", *self._carry(h), *axes.COLUMNS).withColumn(key, F.col("pre"))
         if variable is None:
-            return Frame(found, [*f.keys, key], f.outside(), list(f.carried)), key
+            g = Frame(found, [*f.keys, key], f.outside(), list(f.carried))
+            g.place = (f.keys, False)
+            return g, key
         found = found.withColumnsRenamed({c: f"{name}_{c}" for c in axes.COLUMNS}).withColumnsRenamed(dict(zip(kept, axes.COLUMNS, strict=True)))
         return Frame(found, [*f.keys, key], f.outside() | {variable: ("node", name)}, [*f.carried, *[f"{name}_{c}" for c in axes.COLUMNS]]), key
 
@@ -457,6 +460,28 @@ class XPath:
         g, key = self._bind(e[1], f, None)
         return self._back(f, g, key, self._seq(e[2], g))
 
+    def _result(self, e, f):
+        """('result', mode): what a stylesheet has written for the context node."""
+        name = self._name("result")
+        got = self.results.where(F.col("mode") == (e[1] or "")).select("doc_id", "pre", F.col("text").alias(name))
+        f.pending.append(self._start(f).join(got, ["doc_id", "pre"]).select(*f.keys, name))
+        return Seq(F.coalesce(F.col(name), F.lit("")), "string")
+
+    def _sorted(self, e, f):
+        """('sorted', nodes, keys, body): the body for each node in the order of keys (expression, numeric, descending), then document order."""
+        g, key = self._bind(e[1], f, None)
+        order = []
+        for by, numeric, descending in e[2]:
+            s = self.atoms(self._seq(by, g))
+            c = number_of(s.one(), s.type) if numeric else self.strings(s).one()
+            order.append((c, descending, numeric))
+        place = self._name("place")
+        w = Window.partitionBy(*f.keys).orderBy(*[(c.desc_nulls_last() if d else c.asc_nulls_first()) for c, d, _ in order], key)
+        g.base, g.pending[:] = g.df.withColumn(place, F.row_number().over(w).cast("bigint")), []
+        g.position, g.last = F.col(place), F.count("*").over(Window.partitionBy(*f.keys))
+        value = self._seq(e[3], g)
+        return Seq(self._gather(f, g.df.withColumn("__value", value.col), place, F.col("__value"), value.many), value.type, True)
+
     def _back(self, f: Frame, g: Frame, key: str, s: Seq) -> Seq:
         if s.type in ("function", "map", "array"):
             raise SyntaxError(f"a {s.type} for each node is not built")
@@ -682,6 +707,12 @@ class XPath:
         if e[0] == "call" and e[1] in ("not", "boolean", "exists", "empty") and len(e[2]) == 1 and (e[1] in ("not", "boolean") or self._is_nodes(e[2][0], f)):
             held = self._truth(e[2][0], f)
             return ~held if e[1] in ("not", "empty") else held
+        if e[0] == "path" and e[1] == ("context",) and len(e[2]) == 1 and e[2][0][0] == "self" and f.item is None and not any(map(counts_positions, e[2][0][2])):
+            held = self._test("self", e[2][0][1])
+            out = F.lit(True) if held is None else F.coalesce(held, F.lit(False))
+            for p in e[2][0][2]:
+                out = out & self._truth(p, f)
+            return out
         if self._is_nodes(e, f) and not self._is_attribute(e) and e[0] != "context":
             return self._flag(f, self._nodes(e, f))
         if e[0] == "general":

@@ -110,9 +110,9 @@ def group_by_composite(spark, sf_dir):
     return groups.select("grouping_key.ret", "grouping_key.no", "n")
 
 
-@query("WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(regexp_extract(text, '^.{0,80}')), '[^a-z]+'))) AS k FROM documents) SELECT k AS grouping_key, count(*) AS n FROM w WHERE k <> '' GROUP BY 1")
+@query("WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z]+'))) AS k FROM documents) SELECT k AS grouping_key, count(*) AS n FROM w WHERE k <> '' GROUP BY 1")
 def group_by_many_keys(spark, sf_dir):
-    docs = fixtures.table(spark, sf_dir, "documents").select("doc_id", F.split(F.lower(F.regexp_extract("text", "^.{0,80}", 0)), "[^a-z]+").alias("keys"))
+    docs = fixtures.table(spark, sf_dir, "documents").select("doc_id", F.split(F.lower("text"), "[^a-z]+").alias("keys"))
     return grouping.group_by(docs.withColumn("pre", F.lit(0)), F.col("keys"), ["doc_id"], F.count("*").alias("n"), multi=True).where("grouping_key <> ''").drop("first_seen")
 
 
@@ -333,7 +333,10 @@ def string_values(spark, sf_dir):
     return text.groupBy("doc_id", "role").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
-@query()
+@query(
+    "SELECT conv_id AS doc_id, '<conv id=\"' || conv_id || '\">' || string_agg('<turn n=\"' || turn || '\" role=\"' || role || '\"' || CASE WHEN text = '' THEN '/>' ELSE '>' || "
+    "replace(replace(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</turn>' END, '' ORDER BY turn, text) || '</conv>' AS xml FROM conversations GROUP BY 1"
+)
 def serialize_xml(spark, sf_dir):
     return sinks.serialize(fixtures.nodes(spark, sf_dir, "talk_xml"))
 
@@ -363,12 +366,12 @@ def html_implied_body(spark, sf_dir):
     return _per_doc(XPath(fixtures.html_nodes(spark, sf_dir)).select("/html/body"))
 
 
-@query("SELECT n_name AS name, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = 1 GROUP BY 1")
+@query("SELECT n_name AS name, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
 def struct_decode(spark, sf_dir):
     """Regular documents straight into typed structs, without a node table."""
     schema = "region ARRAY<STRUCT<_id: INT, _name: STRING, nation: ARRAY<STRUCT<_id: INT, _name: STRING, supplier: ARRAY<STRUCT<_id: BIGINT, _VALUE: STRING>>>>>>"
     world = fixtures.geo_xml(spark, sf_dir).select(F.from_xml("xml", schema).alias("w"))
-    region = world.select(F.explode("w.region").alias("r")).where("r._id = 1")
+    region = world.select(F.explode("w.region").alias("r"))
     nation = region.select(F.explode("r.nation").alias("n"))
     return nation.select(F.col("n._name").alias("name"), F.coalesce(F.size("n.supplier"), F.lit(0)).cast("long").alias("n"))
 
@@ -376,5 +379,6 @@ def struct_decode(spark, sf_dir):
 @query("SELECT n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = (SELECT min(r_name) FROM region)")
 def path_with_context(spark, sf_dir):
     x = XPath(fixtures.nodes(spark, sf_dir, "geo_xml"))
-    first = fixtures.table(spark, sf_dir, "region").agg(F.min("r_name")).first()[0]
-    return x.select("nation/@name", x.select(f"/world/region[@name = '{first}']")).select(F.col("value").alias("name"))
+    names = fixtures.table(spark, sf_dir, "region").agg(F.min("r_name").alias("first"))
+    context = x.select("/world/region").join(names, F.col("attrs")["name"] == F.col("first"), "left_semi")
+    return x.select("nation/@name", context).select(F.col("value").alias("name"))

@@ -17,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
+def shared(spark: SparkSession) -> str:
+    """Folder that every executor can reach: that of ``spark.checkpoint.dir``; a temporary one only where driver and executor are one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     return "file://" + tempfile.mkdtemp(prefix="nodeloom-nodes-")
 
@@ -30,7 +32,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     """A table made once a session and kept as Parquet in the shared folder: node tables are shredded once and queried often."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _made:
-        path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+        path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
         make().write.parquet(path)
         _made[key] = path
     return spark.read.parquet(_made[key])

@@ -6,8 +6,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from nodeloom.operators import templates
+from nodeloom.operators import schema, schematron, templates
 from nodeloom.plans.xpath import Seq, XPath
+from nodeloom.plans.xslt import Stylesheet
 from nodeloom.sources import sinks, xml
 
 DOC = '<o id="7" d="2024-02-29"><l n="1" q="5" p="2.5">ab</l><l n="2" q="x">cd<b/></l><l n="3" q="7" p="1.5"/><!--c--></o>'
@@ -111,3 +112,44 @@ def test_canonical_form(spark):
     text = '<?b x?><a xmlns:z="urn:z" xmlns:p="u" b="1" a="2"><p:c xmlns:p="u"/><!--no--></a><?e?>'
     n = xml.shred(spark.createDataFrame([(1, text)], "doc_id long, xml string"))
     assert sinks.serialize(n, canonical=True).first()["xml"] == '<?b x?>\n<a xmlns:p="u" xmlns:z="urn:z" a="2" b="1"><p:c></p:c></a>\n<?e?>'
+
+
+HEAD = '<xsl:stylesheet version="3.0" xmlns:xsl="http://www.w3.org/1999/XSL/Transform">'
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        ('<xsl:template match="l"><x><xsl:value-of select="."/></x></xsl:template>', "<x>ab</x><x>cd</x><x></x>"),
+        ('<xsl:template match="l[@q = 5]" priority="2">[<xsl:next-match/>]</xsl:template><xsl:template match="l"><xsl:value-of select="@n"/></xsl:template>', "[1]23"),
+        ('<xsl:mode on-no-match="shallow-copy"/><xsl:template match="l[@n != 1] | comment()"/>', '<o id="7" d="2024-02-29"><l n="1" q="5" p="2.5">ab</l></o>'),
+        ('<xsl:template match="o"><xsl:for-each select="l"><xsl:value-of select="count(../l[@q = current()/@q])"/></xsl:for-each></xsl:template>', "111"),
+        ('<xsl:template match="/"><xsl:where-populated><e><xsl:value-of select="//z"/></e></xsl:where-populated><xsl:perform-sort select="//l/@q"><xsl:sort select="." order="descending"/></xsl:perform-sort></xsl:template>', "x 7 5"),
+    ],
+)
+def test_stylesheets(nodes, body, want):
+    assert Stylesheet(f"{HEAD}{body}</xsl:stylesheet>").transform(nodes).first()["text"] == want
+
+
+def test_stylesheet_that_calls_itself():
+    text = f'{HEAD}<xsl:template match="/"><xsl:call-template name="t"/></xsl:template><xsl:template name="t"><xsl:call-template name="t"/></xsl:template></xsl:stylesheet>'
+    with pytest.raises(RecursionError):
+        Stylesheet(text).choice(None, 0)
+
+
+def test_first_rule_of_a_pattern(nodes):
+    text = '<schema xmlns="http://purl.oclc.org/dsdl/schematron"><pattern id="p"><rule context="l[@n = 1]"><assert test="@q > 6">q is <value-of select="@q"/> in <name/></assert></rule><rule context="l"><assert test="@q > 6">no</assert></rule></pattern></schema>'
+    got = [(r["rule"], r["message"]) for r in schematron.validate(nodes, text).orderBy("pre").collect()]
+    assert got == [("@q > 6", "q is 5 in l"), ("@q > 6", "no")]
+
+
+def test_schema_with_all_list_union_and_keys(spark):
+    text = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="r"><xs:complexType><xs:all><xs:element name="a" type="sizes"/><xs:element name="b" type="mixed" minOccurs="0"/><xs:element name="k" minOccurs="0">
+    <xs:complexType><xs:attribute name="id"/><xs:attribute name="to"/></xs:complexType></xs:element></xs:all></xs:complexType><xs:key name="ids"><xs:selector xpath="k"/><xs:field xpath="@id"/></xs:key><xs:keyref name="refs" refer="ids"><xs:selector xpath="k"/><xs:field xpath="@to"/></xs:keyref></xs:element>
+    <xs:simpleType name="sizes"><xs:restriction><xs:simpleType><xs:list itemType="xs:int"/></xs:simpleType><xs:maxLength value="2"/></xs:restriction></xs:simpleType><xs:simpleType name="mixed"><xs:union memberTypes="xs:int xs:date"/></xs:simpleType></xs:schema>"""
+    docs = ["<r><b>2024-01-01</b><a>1 2</a></r>", "<r><a>1 2 3</a></r>", "<r><a>1</a><a>2</a></r>", "<r><a>x</a><b>y</b></r>", '<r><a>1</a><k to="q"/></r>', "<z/>", '<r><a>1</a><k id="i" to="i"/></r>']
+    nodes = xml.shred(spark.createDataFrame(list(enumerate(docs)), "doc_id long, xml string"))
+    got = {}
+    for r in schema.Schema(text).validate(nodes).collect():
+        got.setdefault(r["doc_id"], set()).add(r["rule"])
+    assert got == {1: {"type a"}, 2: {"content r"}, 3: {"type a", "type b"}, 4: {"key ids", "keyref refs"}, 5: {"root"}}

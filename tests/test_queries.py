@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from nodeloom.queries import expressions, library, paths, transforms, values
+from nodeloom.queries import expressions, library, paths, stylesheets, transforms, values
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = {**paths.QUERIES, **library.QUERIES, **values.QUERIES, **transforms.QUERIES, **expressions.QUERIES}, {**paths.ORACLE, **library.ORACLE, **values.ORACLE, **transforms.ORACLE, **expressions.ORACLE}
+QUERIES, ORACLE = {**paths.QUERIES, **library.QUERIES, **values.QUERIES, **transforms.QUERIES, **expressions.QUERIES, **stylesheets.QUERIES}, {**paths.ORACLE, **library.ORACLE, **values.ORACLE, **transforms.ORACLE, **expressions.ORACLE, **stylesheets.ORACLE}
 
 
 @pytest.fixture(scope="module")
