@@ -194,6 +194,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
                 best, score[own], unsure[own] = decode(margins([texts[i] for i in own], model.weights), model)
                 pred[own] = np.array(model.langs, object)[best]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score), pa.array(unsure)], [*keep, *(n for n, _ in added)])
+        common.hand_back()
 
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 

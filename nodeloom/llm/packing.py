@@ -25,7 +25,9 @@ CAPACITY = 1024
 END_ID = 0
 #: Shortest piece that is cut off; what remains below it is the tail.
 LEAST_CUT = 64
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 21
+#: Units that a worker's encoder remembers.
+REMEMBER = 300_000
 
 
 class Packer:
@@ -107,7 +109,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     names = [f.name for f in fields]
 
     def run(batches):
-        encoder = unit_tokens.encoder(tokenizer, False)
+        common.hand_back()
+        encoder = unit_tokens.encoder(tokenizer, False, REMEMBER)
         high = TaskContext.get().partitionId() << 40
         packer = Packer()
         waiting: dict[int, tuple] = {}
@@ -140,6 +143,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                         place += 1
                         start += length
                 yield settled()
+        encoder.settle()
         packer.finish()
         yield settled()
 

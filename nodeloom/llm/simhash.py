@@ -194,6 +194,8 @@ def _pairs_of(batches, distance: int):
             held = [x[cut:] for x in held]
     if held and len(held[0]):
         yield links(*held)
+    held.clear()
+    common.hand_back()
 
 
 def _deal(listed: DataFrame, columns: list[str], chunk: int, counted: DataFrame | None = None) -> DataFrame:
@@ -275,6 +277,8 @@ def _similar_of(batches):
             sets.append(np.frombuffer(members, "<u8"))
             reps.append(rep)
     yield links()
+    sets.clear()
+    common.hand_back()
 
 
 def _units(docs: DataFrame, keep: list[str], added: dict[str, T.DataType], of_text) -> DataFrame:
@@ -285,6 +289,7 @@ def _units(docs: DataFrame, keep: list[str], added: dict[str, T.DataType], of_te
             rows = [of_text(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*keep, *added])
+        common.hand_back()
 
     kinds = [{"fp": pa.list_(pa.int64()), "rep": pa.int64(), "members": pa.binary()}[n] for n in added]
     schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(n, t) for n, t in added.items())])

@@ -9,7 +9,7 @@ a text are the ids of its units in a row:
 * word vocabulary, which drops white space: at spaces and line feeds.
 
 Arrow cuts the texts and finds the distinct units of a chunk, so that Python sees each of those once. Units are encoded by ``encode_batch_fast``, words of plain letters many at a time. A worker remembers up to ``REMEMBER`` of them; beyond that it forgets those
-that it has met once. A full stop or comma after a letter is a token of its own, so a unit that ends with one
+that it has met once; ``settle`` forgets all but the ``KEPT`` that it has met most, for workers that go on to other work. A full stop or comma after a letter is a token of its own, so a unit that ends with one
 takes the ids of the word before it.
 """
 
@@ -23,7 +23,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 REMEMBER = 800_000
+#: Units that a worker keeps between tasks.
+KEPT = 60_000
 #: Bytes above which a text is encoded in parts.
 LONG = 1 << 23
 #: Words encoded as one text.
@@ -35,13 +39,13 @@ _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 class UnitTokens:
     """Encoder for one vocabulary file. drops_space: the vocabulary ignores white space."""
 
-    def __init__(self, path: str, drops_space: bool):
+    def __init__(self, path: str, drops_space: bool, remember: int = REMEMBER):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.drops_space = drops_space
+        self.drops_space, self.remember = drops_space, remember
         #: Tokens at which a word of letters ends (or, with spaces, starts), so that many words can be encoded in one go.
         self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -61,19 +65,26 @@ class UnitTokens:
         self.met = np.zeros(1 << 12, np.int64)
         self.unsure = np.zeros(1 << 12, bool)
 
-    def _make_room(self) -> None:
-        """Forget the units met once since the last time."""
+    def settle(self) -> None:
+        """Keep the ``KEPT`` units met most, so that the worker's memory is free for other work."""
+        if len(self.index) > KEPT:
+            self._make_room(KEPT, 0)
+        common.hand_back()
+
+    def _make_room(self, most: int = REMEMBER // 2, least: int = 1) -> None:
+        """Forget the units met ``least`` times or less since the last time, and all but ``most`` of the others."""
         known = len(self.index)
-        keep = np.flatnonzero(self.met[:known] > 1)
-        if len(keep) > REMEMBER // 2:
-            keep = np.sort(keep[np.argsort(self.met[keep], kind="stable")[-(REMEMBER // 2) :]])
+        keep = np.flatnonzero(self.met[:known] > least)
+        if len(keep) > most:
+            keep = np.sort(keep[np.argsort(self.met[keep], kind="stable")[-most:]])
         units = list(self.index)
         sizes = self.size[keep]
         ends = np.cumsum(sizes, dtype=np.int64)
         ids = self.ids[_spans(self.start[keep], sizes)]
         met, unsure = self.met[keep] // 2, self.unsure[keep]
         self._forget()
-        self.index = {units[i]: n for n, i in enumerate(keep.tolist())}
+        # new strings side by side: old ones would hold on to the memory around them
+        self.index = {units[i].encode().decode(): n for n, i in enumerate(keep.tolist())}
         self.ids = np.concatenate([ids, np.zeros(1 << 16, np.uint32)])
         self.used = len(ids)
         self.start, self.size, self.met, self.unsure = (np.concatenate([x, np.zeros(1 << 12, x.dtype)]) for x in ((ends - sizes).astype(np.int32), sizes, met, unsure))
@@ -161,8 +172,8 @@ class UnitTokens:
         return at
 
     def _encode_some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > REMEMBER:
-            self._make_room()
+        if len(self.index) > self.remember:
+            self._make_room(self.remember // 2)
         units, counts = self._units(texts)
         coded = units.dictionary_encode()
         places, codes = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy()
@@ -236,11 +247,11 @@ def _spelled(unit: str) -> str:
 _workers: dict[tuple[str, bool], UnitTokens] = {}
 
 
-def encoder(path: str, drops_space: bool) -> UnitTokens:
+def encoder(path: str, drops_space: bool, remember: int = REMEMBER) -> UnitTokens:
     """The worker's encoder for a file: kept between tasks, since Spark reuses its Python workers."""
     key = (path, drops_space)
     if key not in _workers:
-        _workers[key] = UnitTokens(path, drops_space)
+        _workers[key] = UnitTokens(path, drops_space, remember)
     return _workers[key]
 
 
