@@ -2,12 +2,41 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 
+def _stars(batches):
+    """The links of a batch as links to the smallest node that they reach in it: many listings of one group then give the same links."""
+    for batch in batches:
+        a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = at[: len(a)], at[len(a) :]
+        low = np.arange(len(nodes))
+        while len(a):
+            least = np.minimum(low[x], low[y])
+            new = low.copy()
+            np.minimum.at(new, x, least)
+            np.minimum.at(new, y, least)
+            np.minimum.at(new, low[x], least)
+            np.minimum.at(new, low[y], least)
+            new = new[new]
+            if (new == low).all():
+                break
+            low = new
+        far = np.flatnonzero(low != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[low[far]], pa.int64()), pa.array(nodes[far], pa.int64())], ["a", "b"])
+
+
+def stars(links: DataFrame) -> DataFrame:
+    """(a long, b long) with the components of ``links``, fewer rows where many links join the same nodes."""
+    return links.select("a", "b").mapInArrow(_stars, "a long, b long")
+
+
 def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(a long, b long) to (node, component): the smallest node reachable, for each node with a link.
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .components import components
+from .components import components, stars
 
 SEED = 42
 DISTANCE = 3
@@ -49,6 +49,8 @@ SIMILAR = (4, 5)
 PROPOSE_WORDS, PROPOSE_WITHIN, PROPOSE_AT = 4, 64, 48
 #: Sets of a chunk of a large group of proposed links.
 CHUNK_SETS = 512
+#: Bits of the map of rows in proposals: 16 MB at every table size. Rows that it lets through by chance go in the exact join.
+MAP_BITS = 1 << 27
 
 
 def _digests(text: str | None, shingle: int):
@@ -281,11 +283,25 @@ def _similar_of(batches):
     common.hand_back()
 
 
-def _units(docs: DataFrame, keep: list[str], added: dict[str, T.DataType], of_text) -> DataFrame:
-    """The columns ``keep`` and those that ``of_text`` gives for each text."""
+def _row_map(rows: DataFrame):
+    """A broadcast map of ``MAP_BITS`` bits in which those of the rows' numbers are set."""
+    place = F.pmod(F.col("row"), F.lit(MAP_BITS)) + 1
+    parts = rows.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    held = np.zeros(MAP_BITS // 8, np.uint8)
+    found = parts.toArrow()
+    for bucket, bits in zip(found.column("bucket").to_pylist(), found.column("bits").to_pylist(), strict=True):
+        held[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(held)
+
+
+def _units(docs: DataFrame, keep: list[str], added: dict[str, T.DataType], of_text, only=None) -> DataFrame:
+    """The columns ``keep`` and those that ``of_text`` gives for each text; with a map ``only`` of the rows whose number, the first column, may be in it."""
 
     def run(batches):
         for batch in batches:
+            if only is not None:
+                place = batch.column(0).to_numpy(zero_copy_only=False) & (MAP_BITS - 1)
+                batch = batch.filter(pa.array((only.value[place >> 3] >> (place & 7) & 1).astype(bool)))
             rows = [of_text(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*keep, *added])
@@ -317,11 +333,12 @@ def first_of_near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     by_row = prints.groupBy("rep", "doc_id", "row").agg(F.first("fp").alias("fp"), F.count("*").alias("copies"))
     named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row", "copies"))
     reps, _ = common.store(by_row.groupBy("rep").agg(F.first("fp").alias("fp"), F.min(named).alias("name"), F.min("row").alias("row")), "reps")
-    proposed, _ = common.store(components(near_links(reps.select("fp", "rep"), PROPOSE_WITHIN, PROPOSE_WORDS, PROPOSE_AT)), "proposed")
+    proposed, _ = common.store(components(stars(near_links(reps.select("fp", "rep"), PROPOSE_WITHIN, PROPOSE_WORDS, PROPOSE_AT))), "proposed")
     ours, _ = common.store(proposed.join(reps, proposed["node"] == reps["rep"]).select(F.col("component").alias("key"), "row"), "proposed-rows")
-    sets = _units(docs.join(ours, "row"), ["key"], {"rep": T.LongType(), "members": T.BinaryType()}, set_of)
+    # sets are taken only of rows in proposals, before the join, so that no texts are shuffled
+    sets = _units(docs, ["row"], {"rep": T.LongType(), "members": T.BinaryType()}, set_of, _row_map(ours)).join(ours, "row")
     links = _deal(sets, ["rep", "members"], CHUNK_SETS, ours).mapInArrow(_similar_of, "a long, b long")
-    found = components(links)
+    found = components(stars(links))
     joined = reps.join(found, reps["rep"] == found["node"], "left").select("name", F.coalesce("component", "rep").alias("root"))
     return joined.groupBy("root").agg(F.min("name").alias("name")).where(F.col("name").isNotNull()).select("name.*")
 
