@@ -27,7 +27,7 @@ from . import common
 
 REMEMBER = 800_000
 #: Units that a worker keeps between tasks.
-KEPT = 60_000
+KEPT = 20_000
 #: Bytes above which a text is encoded in parts.
 LONG = 1 << 23
 #: Words encoded as one text.
