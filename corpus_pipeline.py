@@ -20,11 +20,20 @@ def row_number_of(columns: list[str]) -> F.Column:
     return F.xxhash64(*(x for c in columns for x in (F.col(c), F.col(c).isNull())))
 
 
+#: Rows that go to a Python worker at once: batches of whole texts are held by the JVM and the worker at the same time.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``lang`` becomes the decoded language. Documents without a letter go, and those whose decoding is ambiguous (``language.AMBIGUOUS_BELOW``).
 
     Without any label to learn from, nothing is decoded: documents with a letter stay as they are.
     """
+    small_batches(spark)
     model = language.train(docs.where(~language.held_out("doc_id")))
     if not model.langs:
         return docs.where(F.col("text").rlike("\\p{L}")).select(*COLUMNS)
@@ -37,6 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that share an id and differ are told apart by a hash of all columns; of equal rows one stays.
     """
+    small_batches(spark)
     rows = docs.select(*COLUMNS).withColumn("row", row_number_of(COLUMNS))
     first, _ = common.store(simhash.first_of_near_copies(rows.select("doc_id", "row", "text")), "first")
     kept = rows.join(first, ["doc_id", "row"])
@@ -68,6 +78,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packing_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
