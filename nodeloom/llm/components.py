@@ -10,31 +10,61 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _stars(batches):
-    """The links of a batch as links to the smallest node that they reach in it: many listings of one group then give the same links."""
-    for batch in batches:
-        a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        x, y = at[: len(a)], at[len(a) :]
-        low = np.arange(len(nodes))
-        while len(a):
-            least = np.minimum(low[x], low[y])
-            new = low.copy()
-            np.minimum.at(new, x, least)
-            np.minimum.at(new, y, least)
-            np.minimum.at(new, low[x], least)
-            np.minimum.at(new, low[y], least)
-            new = new[new]
-            if (new == low).all():
-                break
-            low = new
-        far = np.flatnonzero(low != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[low[far]], pa.int64()), pa.array(nodes[far], pa.int64())], ["a", "b"])
+#: Links held before they are thinned; a forest of over half as many is given out.
+HELD_LINKS = 1 << 18
 
 
-def stars(links: DataFrame) -> DataFrame:
-    """(a long, b long) with the components of ``links``, fewer rows where many links join the same nodes."""
-    return links.select("a", "b").mapInArrow(_stars, "a long, b long")
+def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of links that are a spanning forest of all: each tree takes its first link that leads out, until none does."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root, live, chosen = np.arange(len(nodes)), np.arange(len(a)), []
+    while True:
+        rx, ry = root[x[live]], root[y[live]]
+        out = rx != ry
+        live, rx, ry = live[out], rx[out], ry[out]
+        if not len(live):
+            return np.sort(np.concatenate([np.zeros(0, np.int64), *chosen]))
+        first = np.full(len(nodes), len(live))
+        np.minimum.at(first, rx, np.arange(len(live)))
+        np.minimum.at(first, ry, np.arange(len(live)))
+        own = np.flatnonzero(first < len(live))
+        link = first[own]
+        chosen.append(live[np.unique(link)])
+        up = np.arange(len(nodes))
+        up[own] = rx[link] + ry[link] - own
+        twins = own[(up[up[own]] == own) & (own < up[own])]  # two trees that take the same link
+        up[twins] = twins
+        while (up[up] != up).any():
+            up = up[up]
+        root = up[root]
+
+
+def thinned(links):
+    """Pairs of arrays (a, b) to record batches with the same components: of all links of a task a spanning forest, so
+    that a task makes fewer rows than its links have nodes, however many listings join them. Beyond ``HELD_LINKS`` / 2 links a forest is given out early.
+    """
+
+    def batch(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def thin():
+        x, y = (np.concatenate(z) for z in zip(*held, strict=True))
+        at = spanning(x, y)
+        return x[at], y[at]
+
+    held, n = [], 0
+    for pair in links:
+        held.append(pair)
+        n += len(pair[0])
+        if n > HELD_LINKS or len(held) > HELD_LINKS:
+            a, b = thin()
+            if 2 * len(a) > HELD_LINKS:
+                yield batch(a, b)
+                a = b = np.zeros(0, np.int64)
+            held, n = [(a, b)], len(a)
+    if held:
+        yield batch(*thin())
 
 
 def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:

@@ -12,8 +12,8 @@ bits than one order has blocks are then found for certain, others with the chanc
 orders as bring that chance to ``FOUND`` at the largest distance that links, so it does not fall as the table grows.
 
 A listing that many fingerprints share (near copies agree in most blocks) is dealt to tasks by pairs of
-chunks of its members. A task returns, instead of all links among its members, a spanning forest of
-them, which has the same components.
+chunks of its members. A task returns, instead of all links that its listings give, one spanning forest of
+them, which has the same components: its rows grow with the members of a group, not with their pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .components import components, stars
+from .components import components, spanning, thinned
 
 SEED = 42
 DISTANCE = 3
@@ -164,7 +164,7 @@ def _forest(fps: np.ndarray, reps: np.ndarray, distance: int) -> list[tuple[int,
 
 
 def _pairs_of(batches, distance: int):
-    """Links within runs of one listing key; rows come sorted by it."""
+    """Links within runs of one listing key, at most one a row; rows come sorted by it."""
     held: list[np.ndarray] = []
 
     def links(key, fps, reps):
@@ -182,7 +182,10 @@ def _pairs_of(batches, distance: int):
             a.append(found[:, 0])
             b.append(found[:, 1])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        if len(a) > len(key):
+            at = spanning(a, b)
+            a, b = a[at], b[at]
+        return a, b
 
     for batch in batches:
         if not batch.num_rows:
@@ -230,7 +233,7 @@ def near_links(reps: DataFrame, distance: int = DISTANCE, words: int = 1, listed
     ]
     listed = reps.select(*(F.element_at("fp", w + 1).alias(name) for w, name in enumerate(names)), "rep")
     listed = listed.select(*names, "rep", F.explode(F.array(*keys)).alias("key"))
-    return _deal(listed, [*names, "rep"], CHUNK).mapInArrow(lambda batches: _pairs_of(batches, distance), "a long, b long")
+    return _deal(listed, [*names, "rep"], CHUNK).mapInArrow(lambda batches: thinned(_pairs_of(batches, distance)), "a long, b long")
 
 
 def _similar(sets: list[np.ndarray], reps: np.ndarray) -> list[tuple[int, int]]:
@@ -268,8 +271,8 @@ def _similar_of(batches):
     def links():
         once = dict(zip(reps, sets, strict=True))
         found = _similar(list(once.values()), np.array(list(once), np.int64)) if len(once) > 1 else []
-        a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        found = np.array(found, np.int64).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
 
     for batch in batches:
         for now, rep, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -333,12 +336,12 @@ def first_of_near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     by_row = prints.groupBy("rep", "doc_id", "row").agg(F.first("fp").alias("fp"), F.count("*").alias("copies"))
     named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row", "copies"))
     reps, _ = common.store(by_row.groupBy("rep").agg(F.first("fp").alias("fp"), F.min(named).alias("name"), F.min("row").alias("row")), "reps")
-    proposed, _ = common.store(components(stars(near_links(reps.select("fp", "rep"), PROPOSE_WITHIN, PROPOSE_WORDS, PROPOSE_AT))), "proposed")
+    proposed, _ = common.store(components(near_links(reps.select("fp", "rep"), PROPOSE_WITHIN, PROPOSE_WORDS, PROPOSE_AT)), "proposed")
     ours, _ = common.store(proposed.join(reps, proposed["node"] == reps["rep"]).select(F.col("component").alias("key"), "row"), "proposed-rows")
     # sets are taken only of rows in proposals, before the join, so that no texts are shuffled
     sets = _units(docs, ["row"], {"rep": T.LongType(), "members": T.BinaryType()}, set_of, _row_map(ours)).join(ours, "row")
-    links = _deal(sets, ["rep", "members"], CHUNK_SETS, ours).mapInArrow(_similar_of, "a long, b long")
-    found = components(stars(links))
+    links = _deal(sets, ["rep", "members"], CHUNK_SETS, ours).mapInArrow(lambda batches: thinned(_similar_of(batches)), "a long, b long")
+    found = components(links)
     joined = reps.join(found, reps["rep"] == found["node"], "left").select("name", F.coalesce("component", "rep").alias("root"))
     return joined.groupBy("root").agg(F.min("name").alias("name")).where(F.col("name").isNotNull()).select("name.*")
 

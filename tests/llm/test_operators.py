@@ -428,6 +428,42 @@ def test_forest_has_all_components(spark, size):
     assert got == len(np.unique(want))
 
 
+@pytest.mark.parametrize("size", [10, 60])
+def test_links_grow_with_members_and_not_with_pairs(spark, size):
+    """Groups within 2 bits share nearly all listings: a task gives no more links than there are members, with the components of all pairs."""
+    rng = np.random.default_rng(size)
+    base = rng.integers(0, 1 << 62, (20, 4))
+    fps = np.concatenate([[x ^ (np.arange(4) == i // 62) * (1 << i % 62) for i in range(size)] for x in base])
+    rows = [(x.tolist(), i) for i, x in enumerate(fps)]
+    links = simhash.near_links(spark.createDataFrame(rows, "fp array<long>, rep long"), 64, 4, 48)
+    per_task = [r["n"] for r in links.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(per_task) < len(rows)
+    found = Counter(r["component"] for r in components.components(links).collect())
+    assert sorted(found.values()) == [size] * 20
+
+
+@pytest.mark.parametrize("most", [1 << 18, 50])
+def test_thinned_links_have_the_same_components(monkeypatch, most):
+    monkeypatch.setattr(components, "HELD_LINKS", most)
+    rng = np.random.default_rng(most)
+    pairs = [tuple(rng.integers(0, 300, (2, n)) * 3) for n in (0, 40, 1, 90, 0, 25)] + [(np.array([7, 8]), np.array([7, 7]))]
+    got = [x for b in components.thinned(iter(pairs)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    given = [x for a, b in pairs for x in zip(a.tolist(), b.tolist(), strict=True)]
+    assert {tuple(sorted(x)) for x in given} >= set(got) and [*components.thinned(iter([]))] == []
+
+    def groups(links):
+        name = {}
+        for a, b in links:
+            x, y = name.setdefault(a, {a}), name.setdefault(b, {b})
+            if x is not y:
+                x |= y
+                name.update(dict.fromkeys(y, x))
+        return {frozenset(x) for x in name.values() if len(x) > 1}
+
+    assert groups(got) == groups(given)
+    assert most == 50 or len(got) == sum(len(x) - 1 for x in groups(given))
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components.components(links).collect()}
