@@ -12,7 +12,7 @@ Shards hold only what can repeat. Every window of ``LENGTH`` bytes names its anc
 hash occurs twice in the corpus. Windows in a row that share an anchor form a segment, and segments go to shards
 by the anchor's hash, equal ones as one row with a count. An anchor in very many places is dealt finer: by ``BLOCK``
 windows, keyed by the bytes that all of them have. Copies of a whole text count once with a multiplicity. No
-candidate is dropped; hashes only deal out, the transform decides.
+candidate is dropped; hashes only deal out, the transform decides wherever a key has a segment that occurs once beside others.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ HOT = 512
 BLOCK = 8
 PIECE = 1 << 20
 SHARD_BYTES = 1 << 20
+#: Segments settled without a transform that are given out at once.
+SETTLED_ROWS = 1 << 16
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PLACE_BITS = 21
 
@@ -258,39 +260,65 @@ def _segments(length: int):
 
 
 def _shards(length: int):
-    """(key, seg_hash, segment, n), sorted by key, to the runs of repeated starts of each segment."""
+    """(key, seg_hash, segment, n), sorted by key, to the runs of repeated starts of each segment.
+
+    Windows that share an anchor are equal only at the same offset from it, so none is equal to another of its own segment: a key
+    with one distinct segment, or whose segments all have a count above 1, is settled by the counts and needs no transform.
+    """
 
     def run(batches):
-        keys, hashes, segments, counts = [], [], [], []
+        group, shard, settled = [], [], []
         size = 0
 
+        def close():
+            nonlocal size
+            if len(group) > 1 and any(n == 1 for *_, n in group):
+                shard.extend(group)
+                size += sum(len(segment) for _, _, segment, _ in group)
+            else:
+                settled.extend((key, seg_hash, len(segment) - length + 1) for key, seg_hash, segment, n in group if n > 1)
+            group.clear()
+
         def flush():
-            starts = repeated_starts(segments, np.array(counts), length)
-            at, runs = [], []
-            for x in starts:
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], x, [False]]).astype(np.int8)))
-                at.append(edge[::2])
-                runs.append(edge[1::2] - edge[::2])
-            own = [i for i, x in enumerate(at) if len(x)]
-            return pa.RecordBatch.from_arrays(
+            nonlocal size
+            starts = repeated_starts([x[2] for x in shard], np.array([x[3] for x in shard]), length) if shard else []
+            long = np.array([len(x) for x in starts], np.int64) + 1
+            begin = np.cumsum(long) - long
+            marks = np.zeros(int(long.sum()) + 1, np.int8)  # a gap after each segment, so that no run crosses
+            for at, x in zip(begin.tolist(), starts, strict=True):
+                marks[at : at + len(x)] = x
+            edge = np.flatnonzero(np.diff(marks, prepend=np.int8(0)))
+            at, runs = edge[::2], edge[1::2] - edge[::2]
+            own = np.searchsorted(begin, at, "right") - 1
+            named, first = np.unique(own, return_index=True)
+            whole = np.array([x[2] for x in settled], np.int64)
+            lists = np.concatenate([first, len(at) + np.arange(len(whole) + 1)])
+            at = np.concatenate([at - begin[own], np.zeros(len(whole), np.int64)])
+            runs = np.concatenate([runs, whole])
+            rows = [shard[i] for i in named.tolist()] + settled
+            batch = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([keys[i] for i in own], pa.int64()),
-                    pa.array([hashes[i] for i in own], pa.binary()),
-                    pa.array([at[i] for i in own], pa.list_(pa.int32())),
-                    pa.array([runs[i] for i in own], pa.list_(pa.int32())),
+                    pa.array([x[0] for x in rows], pa.int64()),
+                    pa.array([x[1] for x in rows], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(at, pa.int32())),
+                    pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(runs, pa.int32())),
                 ],
                 ["key", "seg_hash", "at", "runs"],
             )
+            shard.clear()
+            settled.clear()
+            size = 0
+            return batch
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > SHARD_BYTES and row[0] != keys[-1]:
-                    yield flush()
-                    keys, hashes, segments, counts, size = [], [], [], [], 0
-                for column, value in zip((keys, hashes, segments, counts), row, strict=True):
-                    column.append(value)
-                size += len(row[2])
-        if keys:
+                if group and row[0] != group[0][0]:
+                    close()
+                    if size > SHARD_BYTES or len(settled) > SETTLED_ROWS:
+                        yield flush()
+                group.append(row)
+        close()
+        if shard or settled:
             yield flush()
 
     return run

@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -291,6 +292,31 @@ def test_repeat_kernel():
         assert repeats.repeated_suffixes(text, length)[: len(want)].tolist() == want
 
 
+def test_only_open_keys_go_into_transforms(monkeypatch):
+    """Keys without a segment that could lack a partner are settled by their counts; all runs are those of brute force."""
+    rng = np.random.default_rng(6)
+    common_ = rng.integers(97, 123, 300, np.uint8).tobytes()
+    other = [rng.integers(97, 123, 260, np.uint8).tobytes() for _ in range(5)]
+    groups = {1: [(other[0], 2)], 2: [(other[1], 1)], 3: [(other[2], 3), (other[3], 2)], 4: [(common_[:280], 1), (common_[30:], 1), (common_[:240] + other[4][:20], 1)], 5: [(other[4], 2), (other[4][:230] + b"!" * 30, 1)]}
+    rows = [(key, hashlib.sha256(x).digest()[:12], x, n) for key, own in groups.items() for x, n in own]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], ["key", "seg_hash", "segment", "n"])
+    given, starts = [], repeats.repeated_starts
+    monkeypatch.setattr(repeats, "repeated_starts", lambda segments, *rest: given.extend(segments) or starts(segments, *rest))
+
+    def found(batches):
+        return {(k, h): [i for a, n in zip(at, runs, strict=True) for i in range(a, a + n)] for b in repeats._shards(200)(batches) for k, h, at, runs in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+
+    seen = Counter()
+    for _, _, x, n in rows:
+        seen.update({x[i : i + 200]: n for i in range(len(x) - 199)})
+    want = {(k, h): [i for i in range(len(x) - 199) if seen[x[i : i + 200]] > 1] for k, h, x, n in rows}
+    want = {k: v for k, v in want.items() if v}
+    assert found([batch]) == want and given == [x for key in (4, 5) for x, _ in groups[key]]
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 1)
+    monkeypatch.setattr(repeats, "SETTLED_ROWS", 0)
+    assert found([batch.slice(i, 1) for i in range(len(rows))]) == want and found([]) == {}
+
+
 @pytest.fixture(scope="module")
 def hmm(spark):
     turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
