@@ -11,8 +11,8 @@ fingerprint is listed under single blocks, of the bits as they are and of the bi
 bits than one order has blocks are then found for certain, others with the chance that some block agrees. There are as many
 orders as bring that chance to ``FOUND`` at the largest distance that links, so it does not fall as the table grows.
 
-A listing that many fingerprints share (near copies agree in most blocks) is dealt to tasks by pairs of
-chunks of its members. A task returns, instead of all links that its listings give, one spanning forest of
+A listing that many fingerprints share (near copies agree in most blocks) is dealt to tasks by chunks of
+its members, one of which meets all others, then, where that leaves members in different components, by the pairs of chunks that may still link. A task returns, instead of all links that its listings give, one spanning forest of
 them, which has the same components: its rows grow with the members of a group, not with their pairs.
 """
 
@@ -203,22 +203,49 @@ def _pairs_of(batches, distance: int):
     common.hand_back()
 
 
-def _deal(listed: DataFrame, columns: list[str], chunk: int, counted: DataFrame | None = None) -> DataFrame:
-    """``task`` and the columns, sorted by task in each partition: any two rows with one key meet in a task.
+def _by_task(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition(common.shuffle_partitions(dealt.sparkSession), "task").sortWithinPartitions("task")
 
-    Keys with over ``chunk`` rows go to tasks by pairs of chunks, split by ``rep``. ``counted`` has the keys of ``listed`` if those cost much.
+
+def _links(listed: DataFrame, columns: list[str], chunk: int, find, counted: DataFrame, rows_of) -> DataFrame:
+    """Links (a, b) that ``find`` gives for rows (task, columns) sorted by task, with the components of all rows of ``listed`` that share a key.
+
+    ``counted`` has (key, rep) of ``listed``. Keys with over ``chunk`` rows go to tasks by chunks, the first of which meets all others. Only rows that these
+    links leave in different components still have to meet: components of over ``chunk`` rows keep chunks of their own, which do not meet each other, the others are
+    pooled in chunks, and all other pairs of chunks are tasks. ``rows_of`` gives the columns of the rows whose reps are in a table.
     """
-    spark = listed.sparkSession
+
+    def found(dealt):
+        return _by_task(dealt).mapInArrow(lambda batches: thinned(find(batches)), "a long, b long")
+
     # read from a table, so that its size is known when the join is planned
-    sizes = (listed if counted is None else counted).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+    sizes = counted.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
     long, _ = common.store(sizes.select("key", F.ceil(F.col("n") / chunk).cast("int").alias("parts")), "long-listings")
-    dealt = listed.join(long, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    # chunk c meets every chunk: the task (i, j), i <= j, gets the members of both
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.where((F.col("parts") == 1) | (F.col("parts") == 2) & (F.col("other") == 0) | (F.col("parts") > 2) & (F.col("own") != F.col("other")))
-    task = F.when(F.col("parts") <= 2, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    return dealt.select(task.alias("task"), *columns).repartition(common.shuffle_partitions(spark), "task").sortWithinPartitions("task")
+    if long.isEmpty():
+        return found(listed.select(F.col("key").alias("task"), *columns))
+    own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts")).cast("int")
+    tasks = F.when(F.col("parts").isNull(), F.array("key")).when(own > 0, F.array(F.xxhash64("key", own)))
+    tasks = tasks.otherwise(F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda i: F.xxhash64("key", i)))
+    met, _ = common.store(found(listed.join(long, "key", "left").select(F.explode(tasks).alias("task"), *columns)), "met")
+    label = components(met).select(F.col("node").alias("rep"), F.col("component").alias("label"))
+    members = counted.select("key", "rep").join(long.select("key"), "key").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    members, _ = common.store(members, "long-members")
+    own = members.groupBy("key", "label").agg(F.count("*").alias("n"))
+    apart = own.groupBy("key").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("n") <= chunk, F.col("n"))).alias("pooled")).where(F.col("labels") > 1)
+    own, _ = common.store(own.join(apart.select("key", F.ceil(F.col("pooled") / chunk).alias("pools")), "key"), "long-labels")
+    if own.isEmpty():
+        return met
+    large = F.col("n") > chunk
+    # a chunk's number, and its component if that has chunks of its own
+    of_part = lambda i: F.struct(F.when(large, F.xxhash64("key", "label", i)).otherwise(F.xxhash64("key", i)).alias("chunk"), F.when(large, F.col("label")).alias("alone"))
+    parts = F.when(large, F.ceil(F.col("n") / chunk)).otherwise(F.col("pools"))
+    chunks = own.select("key", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), of_part)).alias("x")).select("key", "x.*").distinct()
+    placed = members.join(own, ["key", "label"]).select("key", "rep", of_part(F.pmod(F.xxhash64("rep", F.lit(11)), parts)).alias("x")).select("key", "rep", "x.*")
+    pairs = placed.join(chunks.select("key", F.col("chunk").alias("other"), F.col("alone").alias("others")), "key")
+    pairs = pairs.where(F.col("alone").isNull() | F.col("others").isNull() | (F.col("alone") != F.col("others")))
+    pairs = pairs.select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("task"), "rep")
+    pairs, _ = common.store(pairs, "long-pairs")
+    return met.unionByName(found(rows_of(pairs.select("rep").distinct()).join(pairs, "rep").select("task", *columns)))
 
 
 def near_links(reps: DataFrame, distance: int = DISTANCE, words: int = 1, listed_at: int | None = None) -> DataFrame:
@@ -231,9 +258,9 @@ def near_links(reps: DataFrame, distance: int = DISTANCE, words: int = 1, listed
         F.xxhash64(F.lit(i), *(F.col(name).bitwiseAND(F.lit(_signed(m))) for name, m in zip(names, mask, strict=True) if m))
         for i, mask in enumerate(block_choices(reps.count(), listed_at or distance, words))
     ]
-    listed = reps.select(*(F.element_at("fp", w + 1).alias(name) for w, name in enumerate(names)), "rep")
-    listed = listed.select(*names, "rep", F.explode(F.array(*keys)).alias("key"))
-    return _deal(listed, [*names, "rep"], CHUNK).mapInArrow(lambda batches: thinned(_pairs_of(batches, distance)), "a long, b long")
+    rows = reps.select(*(F.element_at("fp", w + 1).alias(name) for w, name in enumerate(names)), "rep")
+    listed = rows.select(*names, "rep", F.explode(F.array(*keys)).alias("key"))
+    return _links(listed, [*names, "rep"], CHUNK, lambda batches: _pairs_of(batches, distance), listed, lambda need: rows)
 
 
 def _similar(sets: list[np.ndarray], reps: np.ndarray) -> list[tuple[int, int]]:
@@ -337,10 +364,12 @@ def first_of_near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row", "copies"))
     reps, _ = common.store(by_row.groupBy("rep").agg(F.first("fp").alias("fp"), F.min(named).alias("name"), F.min("row").alias("row")), "reps")
     proposed, _ = common.store(components(near_links(reps.select("fp", "rep"), PROPOSE_WITHIN, PROPOSE_WORDS, PROPOSE_AT)), "proposed")
-    ours, _ = common.store(proposed.join(reps, proposed["node"] == reps["rep"]).select(F.col("component").alias("key"), "row"), "proposed-rows")
-    # sets are taken only of rows in proposals, before the join, so that no texts are shuffled
-    sets = _units(docs, ["row"], {"rep": T.LongType(), "members": T.BinaryType()}, set_of, _row_map(ours)).join(ours, "row")
-    links = _deal(sets, ["rep", "members"], CHUNK_SETS, ours).mapInArrow(lambda batches: thinned(_similar_of(batches)), "a long, b long")
+    ours, _ = common.store(proposed.join(reps, proposed["node"] == reps["rep"]).select(F.col("component").alias("key"), "row", "rep"), "proposed-rows")
+
+    def sets_of(rows):  # sets are taken only of rows in proposals, before the join, so that no texts are shuffled
+        return _units(docs, ["row"], {"rep": T.LongType(), "members": T.BinaryType()}, set_of, _row_map(rows)).join(rows.drop("rep"), "row")
+
+    links = _links(sets_of(ours), ["rep", "members"], CHUNK_SETS, _similar_of, ours, lambda need: sets_of(ours.join(need, "rep", "left_semi").select("row", "rep")))
     found = components(links)
     joined = reps.join(found, reps["rep"] == found["node"], "left").select("name", F.coalesce("component", "rep").alias("root"))
     return joined.groupBy("root").agg(F.min("name").alias("name")).where(F.col("name").isNotNull()).select("name.*")

@@ -490,6 +490,37 @@ def test_thinned_links_have_the_same_components(monkeypatch, most):
     assert most == 50 or len(got) == sum(len(x) - 1 for x in groups(given))
 
 
+@pytest.mark.parametrize("kind, most", [("one group", 2), ("one group and strays", 5), ("groups", 18), ("mixed", 30)])
+def test_large_listings_are_dealt_once_where_they_link(spark, tmp_path, kind, most):
+    """The links of all pairs of a key's rows, with fewer rows dealt than by all pairs of chunks (29 a row) where most rows link; two groups that never link must meet."""
+    rng = np.random.default_rng(len(kind))
+    base = rng.integers(0, 1 << 62, 500)
+    group = {"one group": np.zeros(600, int), "one group and strays": np.r_[np.zeros(590, int), 1:11], "groups": np.arange(600) % 2, "mixed": np.r_[np.zeros(200, int), 1:201, rng.integers(201, 300, 200)]}[kind]
+    fps = base[group] ^ (1 << np.arange(600) % 60) ^ (1 << np.arange(600) // 60)
+    rows = spark.createDataFrame([(7, int(x), i) for i, x in enumerate(fps)] + [(8, 5, 600), (8, 4, 601), (9, 4, 602)], "key long, word long, rep long")
+
+    def find(batches):
+        def counted():
+            for b in batches:
+                (tmp_path / f"{random.SystemRandom().random()}").write_text(str(b.num_rows))
+                yield b
+
+        return simhash._pairs_of(counted(), 4)
+
+    links = simhash._links(rows, ["word", "rep"], 20, find, rows, lambda need: rows.drop("key").distinct().join(need, "rep", "left_semi")).collect()
+    dealt = sum(int(p.read_text()) for p in tmp_path.iterdir())
+    label = {i: i for i in range(603)}
+    for a, b in links:
+        label.update({i: label[a] for i, x in label.items() if x == label[b]})
+    want = np.arange(600)
+    for i in range(600):
+        near = np.bitwise_count(fps ^ fps[i]) <= 4
+        want[np.isin(want, np.unique(want[near]))] = want[near].min()
+    assert len(set(zip(want.tolist(), (label[i] for i in range(600)), strict=True))) == len(set(want.tolist())) == len({label[i] for i in range(600)})
+    assert label[600] == label[601] and label[602] == 602
+    assert dealt <= most * len(fps) + 3
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components.components(links).collect()}
