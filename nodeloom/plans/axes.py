@@ -22,9 +22,9 @@ def _on(axis: str, c, n) -> Column:
     if axis == "descendant-or-self":
         return same & n("pre").between(c("pre"), c("pre") + c("size")) & (tree | (n("pre") == c("pre")))
     if axis == "parent":
-        return same & (n("pre") == c("parent"))
+        return same & (n("pre") == c("parent")) & tree
     if axis == "ancestor":
-        return same & (n("pre") < c("pre")) & (c("pre") <= n("pre") + n("size"))
+        return same & (n("pre") < c("pre")) & (c("pre") <= n("pre") + n("size")) & tree
     if axis == "ancestor-or-self":
         return same & (n("pre") <= c("pre")) & (c("pre") <= n("pre") + n("size"))
     if axis == "following-sibling":
@@ -50,7 +50,7 @@ def step(context: DataFrame, nodes: DataFrame, axis: str, test: Column | None =
 
 
 def roots(nodes: DataFrame) -> DataFrame:
-    return nodes.where(F.col("pre") == 0).select("doc_id", *COLUMNS)
+    return nodes.where((F.col("kind") != ATTR) & (F.col("pre") == 0)).select("doc_id", *COLUMNS)
 
 
 def innermost(items: DataFrame) -> DataFrame:

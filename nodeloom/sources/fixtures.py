@@ -10,13 +10,23 @@ from pyspark.sql import functions as F
 
 from nodeloom.sources import xml
 
-_made: dict[tuple[str, str, str], str] = {}
+_made: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that one task computes columns for.
+SPREAD_ROWS = 50_000
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of a table dealt by its key to tasks of their own: a file of few bytes is one task however many rows it has."""
+    n = rows.count() // SPREAD_ROWS
+    return rows.repartition(n, key) if n > 1 else rows
+
+
 def shared(spark: SparkSession) -> str:
     """Folder that every executor can reach: that of ``spark.checkpoint.dir``; a temporary one only where driver and executor are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -28,14 +38,54 @@ def shared(spark: SparkSession) -> str:
     return "file://" + tempfile.mkdtemp(prefix="nodeloom-nodes-")
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """A table made once a session and kept as Parquet in the shared folder: node tables are shredded once and queried often."""
+#: Rows of base tables that a bucket of a node table is made for.
+BUCKET_ROWS = 150_000
+
+
+def bucket_count(spark: SparkSession, sf_dir: str, *names: str, weight: int = 1) -> int:
+    """Buckets for a collection made from these tables; weight: how many rows of an order or a line one of their rows counts as."""
+    rows = weight * sum(table(spark, sf_dir, x).count() for x in names)
+    return max(spark.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS))
+
+
+def by_document(spark: SparkSession) -> None:
+    """Joins by doc_id and a place take both sides as they are dealt by doc_id alone. A document is one group either way; by default Spark would deal both sides anew by all keys of each join."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
+def bucketed(rows: DataFrame, n: int, path: str) -> DataFrame:
+    """The rows as a table with ``n`` buckets of doc_id: joins, groups and windows within documents need no exchange."""
+    by_document(rows.sparkSession)
+    name = f"nodeloom_{uuid.uuid4().hex}"
+    rows.write.format("parquet").bucketBy(n, "doc_id").option("path", path).saveAsTable(name)
+    out = rows.sparkSession.table(name)
+    out.buckets = n
+    return out
+
+
+class Results:
+    """A table in the shared folder that jobs add rows to, in the buckets of the node table that they come from."""
+
+    def __init__(self, spark: SparkSession, n: int | None):
+        self.spark, self.n = spark, n or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        by_document(spark)
+        self.name, self.path = f"nodeloom_{uuid.uuid4().hex}", f"{shared(spark)}/results-{uuid.uuid4().hex}"
+
+    def add(self, rows: DataFrame) -> None:
+        rows.write.format("parquet").mode("append").bucketBy(self.n, "doc_id").option("path", self.path).saveAsTable(self.name)
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, n: int, make) -> DataFrame:
+    """A node table made once a session from ``xml.trees`` and kept in the shared folder, in buckets: documents are shredded once and queried often."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _made:
-        path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
-        make().write.parquet(path)
-        _made[key] = path
-    return spark.read.parquet(_made[key])
+        _made[key] = bucketed(make(), n, f"{shared(spark)}/{name}-{uuid.uuid4().hex}")
+    out = xml.node_table(_made[key])
+    out.buckets = _made[key].buckets
+    return out
 
 
 def escaped(c: Column | str) -> Column:
@@ -45,33 +95,36 @@ def escaped(c: Column | str) -> Column:
     return c
 
 
-def tag(name: str, attributes: dict[str, Column | str], content: Column | str | None = None) -> Column:
-    """An element as a string column."""
+def tag(name: str, attributes: dict[str, Column | str], content: Column | str | None = None, plain: tuple[str, ...] = ()) -> Column:
+    """An element as a string column. plain: attributes that are numbers or dates, in which nothing is to be escaped: each replacement makes the generated code longer, and beyond 8,000 bytes the JVM does not compile it."""
     head: list[Column] = [F.lit(f"<{name}")]
     for k, v in attributes.items():
-        head += [F.lit(f' {k}="'), escaped((F.col(v) if isinstance(v, str) else v).cast("string")), F.lit('"')]
+        value = (F.col(v) if isinstance(v, str) else v).cast("string")
+        head += [F.lit(f' {k}="'), value if k in plain else escaped(value), F.lit('"')]
     if content is None:
         return F.concat(*head, F.lit("/>"))
     return F.concat(*head, F.lit(">"), F.col(content) if isinstance(content, str) else content, F.lit(f"</{name}>"))
 
 
 LINE = {"no": "l_linenumber", "part": "l_partkey", "supp": "l_suppkey", "qty": "l_quantity", "price": "l_extendedprice", "disc": "l_discount", "ret": "l_returnflag"}
+_NUMBERS = ("no", "part", "supp", "qty", "price", "disc")
 
 
 def order_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, xml): one document an order, lines in the order of all their columns."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE.values())
-    line = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*LINE.values(), tag("line", LINE).alias("xml")))).alias("lines"))
+    """(doc_id, xml): one document an order, lines in the order of all their columns. Both tables are dealt by order alone, as the node table's buckets are."""
+    n = bucket_count(spark, sf_dir, "orders", "lineitem")
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("l_orderkey"), *LINE.values()).repartition(n, "l_orderkey")
+    line = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*LINE.values(), tag("line", LINE, plain=_NUMBERS).alias("xml")))).alias("lines"))
     line = line.select("l_orderkey", F.array_join(F.col("lines.xml"), "").alias("lines"))
-    orders = table(spark, sf_dir, "orders").join(line, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    orders = table(spark, sf_dir, "orders").withColumn("o_orderkey", F.col("o_orderkey").cast("long")).repartition(n, "o_orderkey").join(line, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     head = {"id": "o_orderkey", "cust": "o_custkey", "status": "o_orderstatus", "total": "o_totalprice", "date": F.date_format("o_orderdate", "yyyy-MM-dd"), "priority": "o_orderpriority"}
-    return orders.select(F.col("o_orderkey").alias("doc_id"), tag("order", head, F.coalesce("lines", F.lit(""))).alias("xml"))
+    return orders.select(F.col("o_orderkey").alias("doc_id"), tag("order", head, F.coalesce("lines", F.lit("")), ("id", "cust", "total", "date")).alias("xml"))
 
 
 def event_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, xml): one document a user, events in the order of time."""
     e = table(spark, sf_dir, "events")
-    item = tag("e", {"id": "event_id", "type": "event_type", "value": "value"})
+    item = tag("e", {"id": "event_id", "type": "event_type", "value": "value"}, plain=("id", "value"))
     e = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", item.alias("xml")))).alias("es"))
     return e.select(F.col("user_id").alias("doc_id"), tag("user", {"id": "user_id"}, F.array_join(F.col("es.xml"), "")).alias("xml"))
 
@@ -100,12 +153,20 @@ def bad_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MAKERS = {"order_xml": order_xml, "event_xml": event_xml, "geo_xml": geo_xml, "talk_xml": talk_xml}
+_FROM = {"order_xml": ("orders", "lineitem"), "event_xml": ("events",), "geo_xml": ("supplier",), "talk_xml": ("conversations",)}
 
 
 def nodes(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Node table of a collection."""
-    return stored(spark, sf_dir, f"nodes-{name}", lambda: xml.shred(MAKERS[name](spark, sf_dir)))
+    n = bucket_count(spark, sf_dir, *_FROM[name])
+
+    def make():
+        docs = MAKERS[name](spark, sf_dir)
+        return xml.trees(docs if name == "order_xml" else docs.repartition(n, "doc_id"))
+
+    return stored(spark, sf_dir, f"nodes-{name}", n, make)
 
 
 def html_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir, "nodes-html", lambda: xml.shred(table(spark, sf_dir, "pages"), "page_id", "html", html=True))
+    n = bucket_count(spark, sf_dir, "pages", weight=100)
+    return stored(spark, sf_dir, "nodes-html", n, lambda: xml.trees(table(spark, sf_dir, "pages").withColumn("page_id", F.col("page_id").cast("long")).repartition(n, "page_id"), "page_id", "html", html=True))

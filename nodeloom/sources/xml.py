@@ -11,62 +11,153 @@ from html.parser import HTMLParser
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DOC, ELEM, ATTR, TEXT, COMMENT, PI = 0, 1, 2, 3, 4, 5
 
 NODES = "doc_id long, pre long, size long, level int, parent long, kind int, ns_uri string, local string, prefix string, sib_ord int, value string, attrs map<string,string>, declared map<string,string>"
 DOCS = "doc_id long, encoding string, version string, standalone boolean, wellformed boolean, error string, line int, col int"
+#: As they are stored: attributes without rows of their own. named: (uri, local, prefix) of the attributes, where one has a namespace.
+TREES = NODES + ", named array<struct<ns_uri:string,local:string,prefix:string>>"
 _NAMES = [x.split()[0] for x in NODES.split(", ")]
+_KINDS = [x.split()[1] for x in NODES.split(", ")]
+_TREE_NAMES = [*_NAMES, "named"]
+_NAMED = pa.list_(pa.struct([(x, pa.string()) for x in ("ns_uri", "local", "prefix")]))
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "map<string,string>": pa.map_(pa.string(), pa.string())}
 
 
+class _Names(dict):
+    """(uri, local, prefix) of names as expat gives them."""
+
+    def __init__(self):
+        self.seen: dict[tuple, tuple] = {}
+
+    def __missing__(self, name: str) -> tuple:
+        self[name] = out = _name(name)
+        return out
+
+    def attributes(self, given: tuple) -> tuple[list[str], list[tuple] | None]:
+        """Keys of an element's attributes, and their names where one has a namespace."""
+        found = self.seen.get(given)
+        if found is None:
+            if len(self.seen) > 10_000:
+                self.seen.clear()
+            named = [_name(n) for n in given]
+            found = self.seen[given] = [f"{{{u}}}{n}" if u else n for u, n, _ in named], named if any(u for u, _, _ in named) else None
+        return found
+
+
 class _Tree:
-    """Rows of one document while it is parsed."""
+    """Columns of nodes while documents are parsed. Attributes stand with their element: keys and values, and their names where a key does not tell them."""
 
-    def __init__(self, doc_id: int, strip: bool = False):
-        self.rows: list[list] = [[doc_id, 0, 0, 0, None, DOC, None, None, None, 1, None, None, None]]
-        self.doc_id, self.open, self.children, self.strip = doc_id, [0], [0], strip
+    def __init__(self, strip: bool = False):
+        self.strip, self.columns = strip, [[] for _ in range(11)]
+        self.ids, self.pre, self.size, self.level, self.parent, self.kind, self.uri, self.local, self.prefix, self.order, self.value = self.columns
+        self.declared, self.named, self.keys, self.values, self.ends = [], [], [], [], []
         self.text: list[str] = []
 
-    def add(self, kind: int, name: tuple = (None, None, None), value: str | None = None, attrs: list | None = None, declared: list | None = None) -> int:
-        pre = len(self.rows)
-        self.children[-1] += kind != ATTR
-        self.rows.append([self.doc_id, pre, 0, len(self.open), self.open[-1], kind, *name, None if kind == ATTR else self.children[-1], value, attrs, declared])
+    def begin(self, doc_id: int) -> None:
+        self.doc_id, self.next = doc_id, 0
+        self.text.clear()
+        self.mark = len(self.ids), len(self.keys)
+        self.open, self.children = [], [0]
+        self.add(DOC, None, None, None, None)
+        self.open, self.at, self.children = [0], [self.mark[0]], [0]
+
+    def add(self, kind: int, uri: str | None, local: str | None, prefix: str | None, value: str | None) -> int:
+        pre, up = self.next, self.open
+        self.next = pre + 1
+        self.children[-1] += 1
+        self.ids.append(self.doc_id)
+        self.pre.append(pre)
+        self.size.append(0)
+        self.level.append(len(up))
+        self.parent.append(up[-1] if up else None)
+        self.kind.append(kind)
+        self.uri.append(uri)
+        self.local.append(local)
+        self.prefix.append(prefix)
+        self.order.append(self.children[-1])
+        self.value.append(value)
+        self.declared.append(None)
+        self.named.append(None)
+        self.ends.append(len(self.keys))
         return pre
 
     def flush(self) -> None:
         text = "".join(self.text)
         self.text.clear()  # handlers hold on to the list
         if text and not (self.strip and not text.strip(" \t\r\n")) and len(self.open) > 1:
-            self.add(TEXT, value=text)
-
-    def start(self, name: tuple, attrs: list[tuple[tuple, str]], declared: list | None = None) -> None:
-        """attrs also stand in a map on the element, by local name or {uri}name; declared: the namespaces that it declares, by prefix."""
-        self.flush()
-        held = [(f"{{{n[0]}}}{n[1]}" if n[0] else n[1], v) for n, v in attrs] if attrs else None
-        self.open.append(self.add(ELEM, name, None, held, declared))
+            self.add(TEXT, None, None, None, text)
+
+    def start(self, name: tuple, keys: list[str], values: list[str], named: list[tuple] | None = None, declared: list | None = None) -> None:
+        """keys of attributes: local name or {uri}name; named: their (uri, local, prefix), where one has a namespace or looks so; declared: the namespaces that the element declares, by prefix."""
+        if self.text:
+            self.flush()
+        pre = self.add(ELEM, *name, None)
+        self.open.append(pre)
+        self.at.append(len(self.ids) - 1)
         self.children.append(0)
-        for n, v in attrs:
-            self.add(ATTR, n, v)
+        if declared:
+            self.declared[-1] = declared
+        if keys:
+            self.keys += keys
+            self.values += values
+            self.ends[-1] = len(self.keys)
+            self.named[-1] = named
+            self.next += len(keys)
 
     def end(self) -> None:
-        self.flush()
+        if self.text:
+            self.flush()
         pre = self.open.pop()
         self.children.pop()
-        self.rows[pre][2] = len(self.rows) - 1 - pre
+        self.size[self.at.pop()] = self.next - 1 - pre
 
     def leaf(self, kind: int, value: str, name: str | None = None) -> None:
         self.flush()
-        self.add(kind, (None, name, None), value)
+        self.add(kind, None, name, None, value)
 
-    def finish(self) -> list[list]:
+    def finish(self) -> None:
         self.flush()
-        while len(self.open) > 1:
+        while self.open:
             self.end()
-        self.rows[0][2] = len(self.rows) - 1
-        return self.rows
+
+    def drop(self) -> None:
+        """The document goes."""
+        rows, attrs = self.mark
+        for c in (*self.columns, self.declared, self.named, self.ends):
+            del c[rows:]
+        del self.keys[attrs:], self.values[attrs:]
+
+    def attributes(self, i: int) -> list[tuple[str, str]] | None:
+        a, b = self.ends[i - 1] if i else 0, self.ends[i]
+        return [*zip(self.keys[a:b], self.values[a:b], strict=True)] or None
+
+    def rows(self) -> list[list]:
+        """Rows of the node table, with the attributes."""
+        out = []
+        for i, r in enumerate(zip(*self.columns, strict=True)):
+            attrs = self.attributes(i)
+            out.append([*r, attrs, self.declared[i]])
+            for j, (k, v) in enumerate(attrs or ()):
+                out.append([r[0], r[1] + 1 + j, 0, r[3] + 1, r[1], ATTR, *(self.named[i][j] if self.named[i] else ("", k, "")), None, v, None, None])
+        return out
+
+    def batch(self) -> pa.RecordBatch:
+        """The columns of ``TREES``; they are empty then."""
+        n = len(self.ids)
+        held = [i for i in range(n) if self.ends[i] == (self.ends[i - 1] if i else 0)]
+        offsets: list = [0, *self.ends]
+        for i in held:
+            offsets[i] = None  # no map
+        maps = pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(self.keys, pa.string()), pa.array(self.values, pa.string()))
+        made = [pa.array(c, _TYPES[t]) for c, t in zip(self.columns, _KINDS, strict=False)]
+        out = pa.RecordBatch.from_arrays([*made, maps, pa.array(self.declared, _TYPES["map<string,string>"]), pa.array(self.named, _NAMED)], _TREE_NAMES)
+        for c in (*self.columns, self.declared, self.named, self.ends, self.keys, self.values):
+            c.clear()
+        return out
 
 
 def _name(name: str) -> tuple:
@@ -76,7 +167,13 @@ def _name(name: str) -> tuple:
 
 def parse_xml(doc_id: int, text: str | bytes, recover: bool = False, strip: bool = False) -> tuple[list[list], dict]:
     """(rows, facts) of one document. Not well-formed: no rows, or those before the error with ``recover``. External entities are not read."""
-    tree = _Tree(doc_id, strip)
+    tree = _Tree(strip)
+    facts = _xml_into(tree, _Names(), doc_id, text, recover)
+    return tree.rows(), facts
+
+
+def _xml_into(tree: _Tree, names: _Names, doc_id: int, text: str | bytes, recover: bool = False) -> dict:
+    tree.begin(doc_id)
     facts = {"encoding": None, "version": None, "standalone": None, "wellformed": True, "error": None, "line": None, "col": None}
     p = expat.ParserCreate(namespace_separator="\x1f")
     p.namespace_prefixes = True
@@ -86,10 +183,17 @@ def parse_xml(doc_id: int, text: str | bytes, recover: bool = False, strip: bool
     declared: list[tuple[str, str]] = []
 
     def start(name, attrs):
-        tree.start(_name(name), [(_name(n), v) for n, v in zip(attrs[::2], attrs[1::2], strict=True)], [*declared] or None)
+        if attrs:
+            keys, named = names.attributes(tuple(attrs[::2]))
+            tree.start(names[name], keys, attrs[1::2], named, [*declared])
+        else:
+            tree.start(names[name], (), (), None, [*declared])
         declared.clear()
 
-    p.StartElementHandler, p.EndElementHandler = start, lambda _: tree.end()
+    def end(_):
+        tree.end()
+
+    p.StartElementHandler, p.EndElementHandler = start, end
     p.StartNamespaceDeclHandler = lambda prefix, uri: declared.append((prefix or "", uri or ""))
     p.CharacterDataHandler = tree.text.append
     p.CommentHandler = lambda v: tree.leaf(COMMENT, v)
@@ -101,8 +205,10 @@ def parse_xml(doc_id: int, text: str | bytes, recover: bool = False, strip: bool
     except expat.ExpatError as e:
         facts |= {"wellformed": False, "error": expat.ErrorString(e.code), "line": e.lineno, "col": e.offset}
         if not recover:
-            return [], facts
-    return tree.finish(), facts
+            tree.drop()
+            return facts
+    tree.finish()
+    return facts
 
 
 #: Elements without content, and elements whose start closes an open one.
@@ -131,7 +237,9 @@ class _Html(HTMLParser):
 
     def _open(self, tag, attrs):
         self.names.append(tag)
-        self.tree.start(("", tag, ""), [(("", n, ""), v if v is not None else n) for n, v in dict(attrs).items()])
+        held = dict(attrs)
+        named = [("", n, "") for n in held] if any(n.startswith("{") for n in held) else None
+        self.tree.start(("", tag, ""), [*held], [v if v is not None else n for n, v in held.items()], named)
 
     def _close(self):
         self.names.pop()
@@ -170,11 +278,17 @@ class _Html(HTMLParser):
 
 def parse_html(doc_id: int, text: str) -> list[list]:
     """Rows of an HTML page: names in lower case, implied html, head and body, optional end tags supplied."""
-    tree = _Tree(doc_id)
+    tree = _Tree()
+    _html_into(tree, doc_id, text)
+    return tree.rows()
+
+
+def _html_into(tree: _Tree, doc_id: int, text: str) -> None:
+    tree.begin(doc_id)
     parser = _Html(tree)
     parser.feed(text)
     parser.close()
-    return tree.finish()
+    tree.finish()
 
 
 def _batch(rows: list[list], spec: str) -> pa.RecordBatch:
@@ -186,21 +300,51 @@ def _batch(rows: list[list], spec: str) -> pa.RecordBatch:
 ROWS_AT_ONCE = 50_000
 
 
-def shred(docs: DataFrame, id_col: str = "doc_id", text_col: str = "xml", html: bool = False, recover: bool = False, strip: bool = False) -> DataFrame:
-    """The node table of (id, text) rows; documents that are not well-formed give no nodes, or what precedes the error with ``recover``."""
+def trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "xml", html: bool = False, recover: bool = False, strip: bool = False) -> DataFrame:
+    """Nodes of (id, text) rows without rows for attributes, which elements carry: ``TREES``. Documents that are not well-formed give no nodes, or what precedes the error with ``recover``."""
 
     def run(batches):
+        tree, names = _Tree(strip), _Names()
         for batch in batches:
-            rows: list[list] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text is not None:
-                    rows += parse_html(doc_id, text) if html else parse_xml(doc_id, text, recover, strip)[0]
-                if len(rows) > ROWS_AT_ONCE:
-                    yield _batch(rows, NODES)
-                    rows = []
-            yield _batch(rows, NODES)
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                text = text.as_py()
+                if text is None:
+                    continue
+                if html:
+                    _html_into(tree, doc_id.as_py(), text)
+                else:
+                    _xml_into(tree, names, doc_id.as_py(), text, recover)
+                if len(tree.ids) + len(tree.keys) > ROWS_AT_ONCE:
+                    yield tree.batch()
+        yield tree.batch()
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, TREES)
+
+
+def _attribute(e: Column, i: Column) -> dict[str, Column]:
+    """Columns of the attribute with entry ``e`` of the map, in place ``i``."""
+    name = lambda part, plain: F.coalesce(F.col("named")[i][part], plain)
+    null = lambda kind: F.lit(None).cast(kind)
+    return {
+        "doc_id": F.col("doc_id"), "pre": F.col("pre") + 1 + i, "size": F.lit(0).cast("long"), "level": F.col("level") + 1, "parent": F.col("pre"), "kind": F.lit(ATTR),
+        "ns_uri": name("ns_uri", F.lit("")), "local": name("local", e["key"]), "prefix": name("prefix", F.lit("")), "sib_ord": null("int"), "value": e["value"], "attrs": null("map<string,string>"), "declared": null("map<string,string>"),
+    }
+
+
+def node_table(stored: DataFrame) -> DataFrame:
+    """The node table of stored ``TREES``. Rows of attributes are made on reading, from the maps of their elements; a filter by kind leaves one of the two parts."""
+    # explode, not posexplode: only of it Catalyst knows that nothing comes from no rows, and drops the part
+    numbered = F.transform(F.map_entries("attrs"), lambda e, i: F.struct(i.alias("i"), e.alias("e")))
+    held = stored.where(F.col("attrs").isNotNull()).select("doc_id", "pre", "level", "named", F.explode(numbered).alias("__a"))
+    return stored.select(*_NAMES).unionByName(held.select(*[c.alias(k) for k, c in _attribute(F.col("__a.e"), F.col("__a.i")).items()]))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, NODES)
+
+def shred(docs: DataFrame, id_col: str = "doc_id", text_col: str = "xml", html: bool = False, recover: bool = False, strip: bool = False) -> DataFrame:
+    """The node table of (id, text) rows, each document parsed once."""
+    own = F.struct(*_NAMES)
+    held = F.transform(F.map_entries("attrs"), lambda e, i: F.struct(*[c.alias(k) for k, c in _attribute(e, i).items()]))
+    rows = F.when(F.col("attrs").isNull(), F.array(own)).otherwise(F.concat(F.array(own), held))
+    return trees(docs, id_col, text_col, html, recover, strip).select(F.explode(rows).alias("n")).select("n.*")
 
 
 def document_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "xml") -> DataFrame:
@@ -209,8 +353,10 @@ def document_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "xml
     def run(batches):
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows.append([doc_id, *parse_xml(doc_id, text or "")[1].values()])
+            tree, names = _Tree(), _Names()
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                rows.append([doc_id.as_py(), *_xml_into(tree, names, doc_id.as_py(), text.as_py() or "").values()])
+                tree.drop()
             yield _batch(rows, DOCS)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, DOCS)
