@@ -21,7 +21,7 @@ def over_orders(name: str, columns: dict[str, tuple[str, str]], variables: dict
 
     def run(spark, sf_dir):
         x = XPath(fixtures.nodes(spark, sf_dir, "order_xml"))
-        return x.evaluate({a: e for a, (e, _) in columns.items()}, x.select("/order"), variables).drop("pre")
+        return x.evaluate({a: e for a, (e, _) in columns.items()}, x.select("/order"), variables, distinct=True).drop("pre")
 
     QUERIES[name] = run
     ORACLE[name] = "SELECT o_orderkey AS doc_id, " + ", ".join(f"{sql}{'::BIGINT' if sql.lstrip('-').isdigit() else ''} AS {a}" for a, (_, sql) in columns.items()) + f" FROM {_ORDERS}"
