@@ -77,17 +77,15 @@ for _name, _path, _sql in PATHS:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line elements of orders with their attributes as columns, in one pass over the node table."""
+    """Line elements of orders with their attributes as columns."""
     nodes = fixtures.nodes(spark, sf_dir, "order_xml")
     return attributes(nodes, "line", ["no", "part", "supp", "qty", "price", "disc", "ret"])
 
 
 def attributes(nodes: DataFrame, local: str, names: list[str]) -> DataFrame:
-    """(doc_id, pre, one column a name) of the elements called ``local``: the attributes of an element are pivoted by one aggregation."""
-    elements = nodes.where((F.col("kind") == xml.ELEM) & (F.col("local") == local)).select("doc_id", "pre", "parent", "size", "level")
-    values = nodes.where((F.col("kind") == xml.ATTR) & F.col("local").isin(names)).groupBy("doc_id", F.col("parent").alias("pre"))
-    values = values.agg(*[F.max(F.when(F.col("local") == n, F.col("value"))).alias(n) for n in names])
-    return elements.join(values, ["doc_id", "pre"], "left")
+    """(doc_id, pre, one column a name) of the elements called ``local``: attributes without a namespace, from the map that an element carries."""
+    elements = nodes.where((F.col("kind") == xml.ELEM) & (F.col("local") == local))
+    return elements.select("doc_id", "pre", "parent", "size", "level", *[F.try_element_at("attrs", F.lit(n)).alias(n) for n in names])
 
 
 _L = "(SELECT lineitem.*, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
