@@ -15,19 +15,25 @@ def generate_id(nodes: DataFrame) -> DataFrame:
 
 
 def paths(context: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(doc_id, pre, path): fn:path of the context's elements, attributes, texts, comments and instructions."""
-    same = Window.partitionBy("doc_id", "parent", "kind", "ns_uri", "local").orderBy("pre")
-    texts = Window.partitionBy("doc_id", "parent", "kind").orderBy("pre")
-    number = F.concat(F.lit("["), F.when(F.col("kind").isin(ELEM, PI), F.row_number().over(same)).otherwise(F.row_number().over(texts)), F.lit("]"))
-    name = F.concat(F.lit("Q{"), F.coalesce("ns_uri", F.lit("")), F.lit("}"), "local")
-    bare = F.when(F.coalesce("ns_uri", F.lit("")) == "", F.col("local")).otherwise(name)
-    step = F.when(F.col("kind") == ELEM, F.concat(name, number)).when(F.col("kind") == ATTR, F.concat(F.lit("@"), bare)).when(F.col("kind") == TEXT, F.concat(F.lit("text()"), number))
-    step = step.when(F.col("kind") == COMMENT, F.concat(F.lit("comment()"), number)).when(F.col("kind") == PI, F.concat(F.lit("processing-instruction("), "local", F.lit(")"), number))
-    steps = nodes.where(F.col("kind") != DOC).select("doc_id", F.col("pre").alias("a_pre"), F.col("size").alias("a_size"), step.alias("step"))
-    c = context.select(F.col("doc_id"), "pre")
-    found = c.join(steps, "doc_id").where((F.col("a_pre") <= F.col("pre")) & (F.col("pre") <= F.col("a_pre") + F.col("a_size")))
-    found = found.groupBy("doc_id", "pre").agg(F.sort_array(F.collect_list(F.struct("a_pre", "step"))).alias("s"))
-    return c.join(found, ["doc_id", "pre"], "left").select("doc_id", "pre", F.concat(F.lit("/"), F.coalesce(F.array_join(F.col("s.step"), "/"), F.lit(""))).alias("path"))
+    """(doc_id, pre, path): fn:path of the context's elements, attributes, texts, comments and instructions. Only elements are looked for above; with the columns of a node, an attribute names itself."""
+    number = lambda *by: F.concat(F.lit("["), F.row_number().over(Window.partitionBy("doc_id", "parent", *by).orderBy("pre")), F.lit("]"))
+    uri = F.coalesce("ns_uri", F.lit(""))
+    name = F.concat(F.lit("Q{"), uri, F.lit("}"), "local")
+    of_attribute = F.concat(F.lit("@"), F.when(uri == "", F.col("local")).otherwise(name))
+    above = nodes.where(F.col("kind") == ELEM).select("doc_id", F.col("pre").alias("a_pre"), F.col("size").alias("a_size"), F.concat(name, number("ns_uri", "local")).alias("step"))
+    leaves = nodes.where(F.col("kind").isin(TEXT, COMMENT))
+    leaves = leaves.select("doc_id", "pre", F.concat(F.when(F.col("kind") == TEXT, "text()").otherwise("comment()"), number("kind")).alias("own"))
+    asked = nodes.where(F.col("kind") == PI).select("doc_id", "pre", F.concat(F.lit("processing-instruction("), "local", F.lit(")"), number("local")).alias("own"))
+    leaves = leaves.unionByName(asked)
+    known = {"kind", "ns_uri", "local"} <= set(context.columns)
+    c = context.select("doc_id", "pre", F.when(F.col("kind") == ATTR, of_attribute).alias("named")) if known else context.select("doc_id", "pre")
+    if not known:
+        c = c.join(nodes.where(F.col("kind") == ATTR).select("doc_id", "pre", of_attribute.alias("named")), ["doc_id", "pre"], "left")
+    found = c.select("doc_id", "pre").join(above, "doc_id").where((F.col("a_pre") <= F.col("pre")) & (F.col("pre") <= F.col("a_pre") + F.col("a_size")))
+    found = found.groupBy("doc_id", "pre").agg(F.sort_array(F.collect_set(F.struct("a_pre", "step"))).alias("s"))
+    rows = c.join(found, ["doc_id", "pre"], "left").join(leaves, ["doc_id", "pre"], "left")
+    own = F.array_compact(F.array(F.coalesce("named", "own")))
+    return rows.select("doc_id", "pre", F.concat(F.lit("/"), F.array_join(F.concat(F.coalesce(F.col("s.step"), F.array().cast("array<string>")), own), "/")).alias("path"))
 
 
 def ids(nodes: DataFrame, names: list[str] | None = None) -> DataFrame:
