@@ -72,13 +72,22 @@ def zoned_text(z: Column) -> Column:
 _DURATION = r"^(-?)P(?=[0-9T])(?:([0-9]+)Y)?(?:([0-9]+)M)?(?:([0-9]+)D)?(?:T(?=[0-9])(?:([0-9]+)H)?(?:([0-9]+)M)?(?:([0-9]+(?:[.][0-9]+)?)S)?)?$"
 
 
+def _held(x: Column, made) -> Column:
+    """``made`` of a value that is worked out once, however often it is named: else nested calls repeat all that they are given."""
+    return F.element_at(F.transform(F.array(x), made), 1)
+
+
 def duration(text: Column) -> Column:
-    text = F.trim(text)
-    part = lambda i, kind: F.coalesce(F.regexp_extract(text, _DURATION, i).try_cast(kind), Lit(0).cast(kind))
-    sign = F.when(text.startswith("-"), -1).otherwise(1)
-    months = sign * (part(2, "int") * 12 + part(3, "int"))
-    seconds = sign * (part(4, "bigint") * 86400 + part(5, "bigint") * 3600 + part(6, "bigint") * 60 + part(7, "decimal(20,6)"))
-    return F.when(text.rlike(_DURATION), F.struct(months.cast("int").alias("months"), seconds.cast("decimal(38,6)").alias("seconds")))
+    def read(p):
+        part = lambda i, kind: F.when(p[i] != "", p[i].try_cast(kind)).otherwise(Lit(0).cast(kind))
+        sign = F.when(p[0] == "-", -1).otherwise(1)
+        months = sign * (part(1, "int") * 12 + part(2, "int"))
+        seconds = sign * (part(3, "bigint") * 86400 + part(4, "bigint") * 3600 + part(5, "bigint") * 60 + part(6, "decimal(20,6)"))
+        return F.when(p.isNotNull(), F.struct(months.cast("int").alias("months"), seconds.cast("decimal(38,6)").alias("seconds")))
+
+    # one match gives all parts
+    parts = lambda t: F.when(t.rlike(_DURATION), F.split(F.regexp_replace(t, _DURATION, "$1;$2;$3;$4;$5;$6;$7"), ";"))
+    return _held(_held(F.trim(text), parts), read)
 
 
 def years_from_duration(d: Column) -> Column:
@@ -117,6 +126,10 @@ def scale_duration(d: Column, by: Column) -> Column:
 
 def duration_text(d: Column, kind: str = "duration") -> Column:
     """Canonical text."""
+    return _held(d, lambda x: _duration_text(x, kind))
+
+
+def _duration_text(d: Column, kind: str) -> Column:
     months, seconds = F.abs(d["months"]), F.abs(d["seconds"])
     whole = seconds.cast("bigint")
     some = lambda n, unit: F.when(n != 0, F.concat(n.cast("string"), Lit(unit))).otherwise("")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nodeloom.functions import fn
+from nodeloom.sources import fixtures
 from nodeloom.sources.fixtures import table
 
 QUERIES: dict = {}
@@ -15,7 +16,7 @@ def _over(name: str, source: str, key: str, columns: dict) -> None:
     """columns: alias to (Column, SQL)."""
 
     def run(spark, sf_dir):
-        return table(spark, sf_dir, source).select(key, *[c().alias(a) for a, (c, _) in columns.items()])
+        return fixtures.spread(table(spark, sf_dir, source), key).select(key, *[c().alias(a) for a, (c, _) in columns.items()])
 
     QUERIES[name] = run
     ORACLE[name] = f"SELECT {key}, " + ", ".join(f"{sql} AS {a}" for a, (_, sql) in columns.items()) + f" FROM {source}"
