@@ -85,30 +85,43 @@ def transform(nodes: DataFrame, rules: list[Rule], mode: str | None = None, no_m
 
 
 def renumber(nodes: DataFrame) -> DataFrame:
-    """Places, sizes and parents anew after rows went: old places still nest, so counting starts up to each end gives the sizes."""
-    start = F.struct((F.col("pre") * 2).alias("at"), F.lit(0).alias("depth"), F.lit(1).alias("one"))
-    end = F.struct(((F.col("pre") + F.col("size")) * 2 + 1).alias("at"), (-F.col("level")).alias("depth"), F.lit(0).alias("one"))
-    events = nodes.select("doc_id", "pre", F.explode(F.array(start, end)).alias("e")).select("doc_id", "pre", "e.*")
+    """Places, sizes and parents anew after rows went: old places still nest, so counting starts up to each end gives the sizes.
+
+    Rows of attributes take no part in the counting: an element counts for as many rows as its map ``attrs`` has entries, and one more.
+    """
+    rows = nodes.where(F.col("kind") != ATTR)
+    weight = F.when(F.col("attrs").isNull(), 1).otherwise(F.size("attrs") + 1)
+    start = F.struct((F.col("pre") * 2).alias("at"), F.lit(0).alias("depth"), weight.alias("n"))
+    end = F.struct(((F.col("pre") + F.col("size")) * 2 + 1).alias("at"), (-F.col("level")).alias("depth"), F.lit(0).alias("n"))
+    events = rows.select("doc_id", "pre", F.explode(F.array(start, end)).alias("e")).select("doc_id", "pre", "e.*")
     w = Window.partitionBy("doc_id").orderBy("at", "depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    events = events.withColumn("seen", F.sum("one").over(w))
-    place = events.groupBy("doc_id", "pre").agg(F.max(F.when(F.col("one") == 1, F.col("seen"))).alias("first"), F.max("seen").alias("last"))
-    up = place.select("doc_id", F.col("pre").alias("parent"), (F.col("first") - 1).alias("new_parent"))
-    rows = nodes.join(place, ["doc_id", "pre"]).join(up, ["doc_id", "parent"], "left")
-    rows = rows.withColumn("pre", F.col("first") - 1).withColumn("size", F.col("last") - F.col("first")).withColumn("parent", F.col("new_parent"))
-    order = F.row_number().over(Window.partitionBy("doc_id", "parent", F.col("kind") == ATTR).orderBy("pre"))
-    return rows.withColumn("sib_ord", F.when(F.col("kind") != ATTR, order)).select(*nodes.columns)
+    events = events.withColumn("seen", F.sum("n").over(w))
+    place = events.groupBy("doc_id", "pre").agg(F.max(F.when(F.col("n") > 0, F.col("seen") - F.col("n"))).alias("new_pre"), F.max("seen").alias("last"))
+    up = place.select("doc_id", F.col("pre").alias("parent"), F.col("new_pre").alias("new_parent"))
+    rows = rows.join(place, ["doc_id", "pre"]).join(up, ["doc_id", "parent"], "left")
+    rows = rows.withColumn("pre", F.col("new_pre")).withColumn("size", F.col("last") - F.col("new_pre") - 1).withColumn("parent", F.col("new_parent"))
+    order = Window.partitionBy("doc_id", "parent").orderBy("pre")
+    rows = rows.withColumn("sib_ord", F.row_number().over(order))
+    held = nodes.where(F.col("kind") == ATTR).join(up, ["doc_id", "parent"])
+    held = held.withColumn("pre", F.col("new_parent") + F.row_number().over(order)).withColumn("parent", F.col("new_parent")).withColumn("kind", F.lit(ATTR))
+    return rows.select(*nodes.columns).unionByName(held.select(*nodes.columns))
 
 
 def unlink(nodes: DataFrame, targets: DataFrame) -> DataFrame:
-    """The documents without the subtrees of ``targets`` (doc_id, pre)."""
-    marked = nodes.join(targets.select("doc_id", "pre", F.lit(True).alias("__cut")).distinct(), ["doc_id", "pre"], "left")
+    """The documents without the subtrees of ``targets`` (doc_id, pre; with kind, parent, ns_uri and local, as paths give them, no row of an attribute is read to find those that go)."""
+    cut = targets.select("doc_id", "pre", F.lit(True).alias("__cut")).distinct()
+    away = targets if {"kind", "parent", "ns_uri", "local"} <= set(targets.columns) else nodes.join(cut, ["doc_id", "pre"], "left_semi")
+    away = away.where(F.col("kind") == ATTR)
     # attributes that go also leave the maps of their elements
-    gone = marked.where(F.col("__cut") & (F.col("kind") == ATTR)).groupBy("doc_id", F.col("parent").alias("pre")).agg(F.collect_set(_attribute_key()).alias("__gone"))
-    marked = marked.join(gone, ["doc_id", "pre"], "left")
-    marked = marked.withColumn("attrs", F.when(F.col("__gone").isNull(), F.col("attrs")).otherwise(F.map_filter("attrs", lambda k, _: ~F.array_contains("__gone", k))))
+    gone = away.groupBy("doc_id", F.col("parent").alias("pre")).agg(F.collect_set(_attribute_key()).alias("__gone"))
+    rows = nodes.where(F.col("kind") != ATTR).join(cut, ["doc_id", "pre"], "left").join(gone, ["doc_id", "pre"], "left")
+    rows = rows.withColumn("attrs", F.when(F.col("__gone").isNull(), F.col("attrs")).otherwise(F.map_filter("attrs", lambda k, _: ~F.array_contains("__gone", k))))
     upto = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = marked.withColumn("__reach", F.max(F.when(F.col("__cut"), F.col("pre") + F.col("size"))).over(upto))
-    return renumber(marked.where(F.col("__reach").isNull() | (F.col("__reach") < F.col("pre"))).select(*nodes.columns))
+    rows = rows.withColumn("__reach", F.max(F.when(F.col("__cut"), F.col("pre") + F.col("size"))).over(upto))
+    rows = rows.where(F.col("__reach").isNull() | (F.col("__reach") < F.col("pre"))).select(*nodes.columns)
+    # the attributes of what went find no element in ``renumber``
+    held = nodes.where(F.col("kind") == ATTR).join(away.select("doc_id", "pre"), ["doc_id", "pre"], "left_anti").withColumn("kind", F.lit(ATTR))
+    return renumber(rows.unionByName(held.select(*nodes.columns)))
 
 
 def _attribute_key() -> F.Column:

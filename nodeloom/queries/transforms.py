@@ -72,7 +72,10 @@ def built_in_rules(spark, sf_dir):
 @query("SELECT o_orderkey AS doc_id, 7 + count(l_orderkey) FILTER (l_returnflag <> 'R') * 8 AS size, count(l_orderkey) FILTER (l_returnflag <> 'R') AS lines FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def tree_unlink(spark, sf_dir):
     nodes = fixtures.nodes(spark, sf_dir, "order_xml")
-    out = templates.unlink(nodes, XPath(nodes).select("//line[@ret = 'R']"))
+    # the new tree is stored, as every node table is: its paths would else edit the documents anew for each step
+    kept = fixtures.Results(spark, nodes.buckets)
+    kept.add(templates.unlink(nodes, XPath(nodes).select("//line[@ret = 'R']")).where(C("kind") != xml.ATTR))
+    out = kept.table()
     size = out.where(C("kind") == xml.DOC).select("doc_id", "size")
     lines = XPath(out).select("/order/line").groupBy("doc_id").agg(F.count("*").alias("lines"))
     return size.join(lines, "doc_id", "left").select("doc_id", "size", F.coalesce("lines", L(0)).cast("long").alias("lines"))
